@@ -65,18 +65,18 @@ def split_tracked(incoming: DataFrame, existing: DataFrame) -> tuple[DataFrame,
 
 
 def merge_jobs(existing: DataFrame, incoming: DataFrame, as_of: Column | None = None,
-               order: str = "sub_id") -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+               order: tuple[str, ...] = ("sub_id",), id_col: str = "sub_id"
+               ) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Insert-if-absent batch. Returns (table, inserted, rejected, already_tracked).
 
     In-batch duplicates resolve like sequential requests: the first by ``order``
-    is inserted, later ones are "already tracked".
+    (arrival order; make it total) is inserted, later ones are "already tracked".
     """
     valid, rejected = split_valid(incoming)
-    firsts = first_per(valid, JOB_KEY, [order])
+    firsts = first_per(valid, JOB_KEY, list(order)).select(*valid.columns)
     new, tracked_first = split_tracked(firsts, existing)
-    later = valid.join(firsts.select(*JOB_KEY, F.col(order).alias("_first")), list(JOB_KEY)) \
-                 .where(F.col(order) != F.col("_first")).drop("_first")
-    inserted = normalize_job(new, as_of).withColumnRenamed(order, "id")
+    later = valid.exceptAll(firsts)
+    inserted = normalize_job(new, as_of).withColumnRenamed(id_col, "id")
     table = existing.withColumn("origin", F.lit("existing")).unionByName(
         inserted.withColumn("origin", F.lit("new")), allowMissingColumns=True)
     return table, inserted, rejected, tracked_first.unionByName(later)

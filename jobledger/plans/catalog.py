@@ -73,7 +73,7 @@ def reason_sql(title: str, url: str) -> str:
 
 
 def service_sql(path: str) -> str:
-    seg = f"list_filter(string_split(regexp_replace({path}, '^/api', ''), '/'), s -> s <> '')[1]"
+    seg = f"list_filter(string_split(regexp_replace({path}, '^/api', ''), '/'), lambda s: s <> '')[1]"
     cases = " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in R.SERVICE_NAMES.items())
     return f"(CASE WHEN {seg} IS NULL THEN 'UNKNOWN' ELSE (CASE {seg} {cases} ELSE upper({seg}) END) END)"
 
@@ -97,7 +97,7 @@ def status_sql(code: str) -> str:
 
 
 def title_case_sql(code: str) -> str:
-    return f"array_to_string(list_transform(string_split({code}, '_'), w -> substr(w, 1, 1) || lower(substr(w, 2))), ' ')"
+    return f"array_to_string(list_transform(string_split({code}, '_'), lambda w: substr(w, 1, 1) || lower(substr(w, 2))), ' ')"
 
 
 def rhu_sql(num: str, den: str, scale: int) -> str:
@@ -258,6 +258,9 @@ def q_jobs_dedup(spark, d):
 
 
 _VALID = f"SELECT * FROM job_submissions WHERE {reason_sql('title', 'url')} IS NULL"
+# arrival order of submissions; sub_id alone repeats in the data, so the order is made total
+ARRIVAL = ("sub_id", "applied_date", "title", "company", "location", "applied_text")
+_ARRIVAL_SQL = ", ".join(f"{c} ASC NULLS FIRST" for c in ARRIVAL)
 
 
 @query("jobs_new", f"""
@@ -288,7 +291,7 @@ _MERGE_COLS = ("id", "user_id", "title", "url", "status", "applied_date", "compa
 
 @query("jobs_merge", f"""
 WITH v AS ({_VALID}),
-f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id, url ORDER BY sub_id) AS rn FROM v) WHERE rn = 1),
+f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id, url ORDER BY {_ARRIVAL_SQL}) AS rn FROM v) WHERE rn = 1),
 n AS (SELECT * FROM f WHERE NOT EXISTS (SELECT 1 FROM applied_jobs j WHERE j.user_id = f.user_id AND j.url = f.url))
 SELECT id, user_id, title, url, status, applied_date, CAST(NULL AS VARCHAR) AS company,
        CAST(NULL AS VARCHAR) AS location, CAST(NULL AS VARCHAR) AS applied_text, 'existing' AS origin
@@ -299,19 +302,19 @@ SELECT sub_id, user_id, title, url, 'Applied', coalesce(applied_date, TIMESTAMP
 FROM n""", ("job_submissions", "applied_jobs"))
 def q_jobs_merge(spark, d):
     v = Views(spark, d)
-    table = jobs.merge_jobs(v.applied_jobs, v.job_submissions, _as_of())[0]
+    table = jobs.merge_jobs(v.applied_jobs, v.job_submissions, _as_of(), order=ARRIVAL)[0]
     return table.select(*_MERGE_COLS)
 
 
 @query("jobs_already_tracked", f"""
 WITH v AS ({_VALID}),
-r AS (SELECT *, row_number() OVER (PARTITION BY user_id, url ORDER BY sub_id) AS rn FROM v)
+r AS (SELECT *, row_number() OVER (PARTITION BY user_id, url ORDER BY {_ARRIVAL_SQL}) AS rn FROM v)
 SELECT sub_id, user_id, url FROM r
 WHERE rn > 1 OR EXISTS (SELECT 1 FROM applied_jobs j WHERE j.user_id = r.user_id AND j.url = r.url)""",
        ("job_submissions", "applied_jobs"))
 def q_jobs_already_tracked(spark, d):
     v = Views(spark, d)
-    return jobs.merge_jobs(v.applied_jobs, v.job_submissions, _as_of())[3].select("sub_id", "user_id", "url")
+    return jobs.merge_jobs(v.applied_jobs, v.job_submissions, _as_of(), order=ARRIVAL)[3].select("sub_id", "user_id", "url")
 
 
 _JOB_COLS = ("id", "user_id", "title", "url", "status", "applied_date")
@@ -722,7 +725,7 @@ SELECT nm.id AS user_id, s.user_id IS NOT NULL AS has_resume, nm.first_name, nm.
   CASE WHEN s.user_id IS NOT NULL THEN coalesce(nullif(coalesce(nm.email, ''), ''), {_saved('email')}, '') END AS info_email,
   json_extract_string(s.personal_info, '$.phone') AS info_phone,
   CASE WHEN s.user_id IS NOT NULL THEN CAST(len(list_filter(json_keys(s.personal_info),
-       k -> k NOT IN ('firstName', 'lastName', 'email'))) + 3 AS INT) END AS n_info_keys,
+       lambda k: k NOT IN ('firstName', 'lastName', 'email'))) + 3 AS INT) END AS n_info_keys,
   CASE WHEN s.user_id IS NOT NULL THEN coalesce(nullif(s.summary, ''), '') END AS professional_summary,
   CASE WHEN s.user_id IS NOT NULL THEN coalesce(nullif(s.display_mode, ''), 'twoColumnar') END AS skills_display_mode,
   CASE WHEN s.user_id IS NOT NULL THEN {q(profiles.MSG_LOADED)} ELSE {q(profiles.MSG_NO_SETTINGS)} END AS message
@@ -760,7 +763,7 @@ def q_search_strings(spark, d):
 
 
 @query("company_clean", f"""
-WITH c AS (SELECT page_id, list_filter(list_transform(companies_raw, x -> {trim_sql('x')}), x -> x IS NOT NULL AND x <> '') AS cs
+WITH c AS (SELECT page_id, list_filter(list_transform(companies_raw, lambda x: {trim_sql('x')}), lambda x: x IS NOT NULL AND x <> '') AS cs
            FROM lookup_requests)
 SELECT page_id, CAST(len(cs) AS INT) AS n_companies, array_to_string(cs, '|') AS companies, len(cs) = 0 AS rejected FROM c""",
        ("lookup_requests",))

@@ -171,8 +171,10 @@ def _closure(names) -> list[str]:
 
 def with_views(sql: str, *names: str) -> str:
     """Prefix ``sql`` with the view CTEs it reads (merging with its own WITH, if any)."""
-    ctes = ",\n".join(f"{n} AS ({VIEWS[n]})" for n in _closure(names))
     body = sql.strip()
+    if not names:
+        return body
+    ctes = ",\n".join(f"{n} AS ({VIEWS[n]})" for n in _closure(names))
     if body[:5].upper() == "WITH ":
         return f"WITH {ctes},\n{body[5:]}"
     return f"WITH {ctes}\n{body}"
