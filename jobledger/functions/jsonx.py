@@ -129,6 +129,15 @@ def _sensitive(key: Column) -> Column:
     return hit
 
 
+def _let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and hand it to ``body`` (a one-element transform).
+
+    A sub-expression referenced from inside a lambda is re-evaluated per
+    element; binding it here keeps every JSON text parsed a fixed number of times.
+    """
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def _value(raw: Column, vtype: Column, depth: int) -> Column:
     """Sanitised JSON text of one value given its raw text and variant type name."""
     if depth >= MAX_DEPTH:
@@ -145,31 +154,44 @@ def _array(raw: Column, depth: int) -> Column:
     if depth + 1 >= MAX_DEPTH:
         items = F.transform(texts, lambda x: json_quote(F.lit(DEPTH_MARK)))
     else:
-        types = F.from_json(raw, "array<variant>")
-        items = F.transform(texts, lambda x, i: _value(x, F.schema_of_variant(F.get(types, i)), depth + 1))
+        types = F.slice(F.transform(F.from_json(raw, "array<variant>"), F.schema_of_variant), 1, MAX_ARRAY)
+        items = _let(types, lambda ts: F.transform(
+            texts, lambda x, i: _value(x, F.get(ts, i), depth + 1)))
     return F.concat(F.lit("["), F.array_join(items, ",", "null"), F.lit("]"))
 
 
 def _object(raw: Column, depth: int) -> Column:
-    entries = F.map_entries(F.from_json(raw, "map<string,string>"))
-    # first index >= 50 whose key is not redacted: the object is cut there
-    cut = F.array_position(
-        F.transform(entries, lambda e, i: (i >= MAX_KEYS) & ~_sensitive(e["key"])), True)
-    kept = F.when(cut > 0, F.slice(entries, F.lit(1), cut - 1)).otherwise(entries)
+    strings = F.from_json(raw, "map<string,string>")
     if depth + 1 >= MAX_DEPTH:
-        def child(e):
-            return json_quote(F.lit(DEPTH_MARK))
+        entries = F.transform(F.map_entries(strings), lambda e: F.struct(
+            e["key"].alias("key"), e["value"].alias("value"), F.lit(None).cast("string").alias("vtype")))
     else:
-        types = F.from_json(raw, "map<string,variant>")
+        types = F.map_values(F.transform_values(F.from_json(raw, "map<string,variant>"),
+                                                lambda k, v: F.schema_of_variant(v)))
+        entries = _let(types, lambda ts: F.transform(F.map_entries(strings), lambda e, i: F.struct(
+            e["key"].alias("key"), e["value"].alias("value"), F.get(ts, i).alias("vtype"))))
 
-        def child(e):
-            return _value(e["value"], F.schema_of_variant(F.try_element_at(types, e["key"])), depth + 1)
-    pairs = F.transform(kept, lambda e: F.concat(
-        json_quote(e["key"]), F.lit(":"),
-        F.when(_sensitive(e["key"]), json_quote(F.lit(REDACTED))).otherwise(child(e))))
-    tail = F.when(cut > 0, F.array(F.concat(json_quote(F.lit(TOO_MANY_KEYS_KEY)), F.lit(":"),
-                                            json_quote(F.lit(TOO_MANY_KEYS))))).otherwise(F.array().cast("array<string>"))
-    return F.concat(F.lit("{"), F.array_join(F.concat(pairs, tail), ","), F.lit("}"))
+    def child(e):
+        if depth + 1 >= MAX_DEPTH:
+            return json_quote(F.lit(DEPTH_MARK))
+        return _value(e["value"], e["vtype"], depth + 1)
+
+    def render(es):
+        # first index >= 50 whose key is not redacted: the object is cut there
+        cut = F.array_position(F.transform(es, lambda e, i: (i >= MAX_KEYS) & ~_sensitive(e["key"])), True)
+
+        def with_cut(c):
+            kept = F.when(c > 0, F.slice(es, F.lit(1), c - 1)).otherwise(es)
+            pairs = F.transform(kept, lambda e: F.concat(
+                json_quote(e["key"]), F.lit(":"),
+                F.when(_sensitive(e["key"]), json_quote(F.lit(REDACTED))).otherwise(child(e))))
+            tail = F.when(c > 0, F.array(F.concat(json_quote(F.lit(TOO_MANY_KEYS_KEY)), F.lit(":"),
+                                                  json_quote(F.lit(TOO_MANY_KEYS))))).otherwise(
+                F.array().cast("array<string>"))
+            return F.concat(F.lit("{"), F.array_join(F.concat(pairs, tail), ","), F.lit("}"))
+        return _let(cut, with_cut)
+
+    return _let(entries, render)
 
 
 def sanitize_json(body) -> Column:
@@ -181,9 +203,12 @@ def sanitize_json(body) -> Column:
     """
     body = _c(body)
     vtype = F.schema_of_variant(F.try_parse_json(body))
-    top = (F.when(vtype == "STRING", _top_string(body))
-           .when(vtype.isNotNull(), F.regexp_replace(body, f"^{JS_SPACE}+|{JS_SPACE}+$", "")))
-    return F.when(vtype.isNotNull(), _value(top, vtype, 0))
+
+    def top(t):
+        raw = (F.when(t == "STRING", _top_string(body))
+               .when(t.isNotNull(), F.regexp_replace(body, f"^{JS_SPACE}+|{JS_SPACE}+$", "")))
+        return _let(raw, lambda r: F.when(t.isNotNull(), _value(r, t, 0)))
+    return _let(vtype, top)
 
 
 def parse_response(body) -> Column:

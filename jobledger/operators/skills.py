@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import js_split_ws, js_trim, normalize_skill
-from .common import broadcast_if_small, first_per
+from .common import broadcast_if_small, first_per, spread_for_cpu
 
 # A dictionary larger than this is joined without a broadcast hint.
 DICT_BROADCAST_ROWS = 2_000_000
@@ -53,7 +53,8 @@ def flat_skills(skills: DataFrame) -> DataFrame:
 
 def terms(texts: DataFrame, id_col: str, text_col: str, vocabulary: DataFrame | None = None) -> DataFrame:
     """Distinct (id, term): whitespace tokens in normal form, optionally kept to a vocabulary."""
-    tok = texts.select(F.col(id_col).alias("doc_id"), F.explode(js_split_ws(F.col(text_col))).alias("tok"))
+    src = spread_for_cpu(texts.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
+    tok = src.select("doc_id", F.explode(js_split_ws(F.col("text"))).alias("tok"))
     t = tok.select("doc_id", normalize_skill(F.col("tok")).alias("term")).where(F.col("term") != "")
     if vocabulary is not None:
         t = t.join(broadcast_if_small(vocabulary.select("term").distinct(), DICT_BROADCAST_ROWS), "term", "inner")

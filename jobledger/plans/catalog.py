@@ -488,7 +488,8 @@ def doc_bodies(spark, d) -> DataFrame:
 
 @query("body_sanitize")
 def q_body_sanitize(spark, d):
-    return doc_bodies(spark, d).select("doc_id", sanitize_json(F.col("body")).alias("sanitized"))
+    from ..operators.common import spread_for_cpu
+    return spread_for_cpu(doc_bodies(spark, d)).select("doc_id", sanitize_json(F.col("body")).alias("sanitized"))
 
 
 # =============================================================================

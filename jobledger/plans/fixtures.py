@@ -21,6 +21,46 @@ def _s(c):
     return c.cast("string")
 
 
+def audit_log_from(events: DataFrame) -> DataFrame:
+    """Request-log view over an events DataFrame (batch or streaming)."""
+    e = events
+    et, eid = F.col("event_type"), F.col("event_id")
+    base = e.select(
+        eid.alias("id"),
+        F.when(eid % 11 == 0, F.lit(None).cast("bigint")).otherwise(F.col("user_id")).alias("user_id"),
+        F.when(et == "click", "/api/applied-jobs").when(et == "view", "/api/chat")
+         .when(et == "purchase", "/api/keywords").when(et == "signup", "/auth/validate")
+         .otherwise("/api/hr-lookup").alias("path"),
+        F.when(et != "error", 200).when(eid % 4 == 0, 500).when(eid % 4 == 1, 401)
+         .when(eid % 4 == 2, 503).otherwise(400).alias("status_code"),
+        F.when((et == "error") & (eid % 3 == 0), "AI_SERVICE_ERROR")
+         .when((et == "error") & (eid % 3 == 1), "VALIDATION_ERROR").alias("error_code"),
+        F.floor(F.col("value") * 10).cast("int").alias("response_ms"),
+        F.col("props").alias("request_body"),
+        F.col("ts").alias("created_at"),
+        F.when(eid % 17 == 0, F.col("ts")).alias("deleted_at"),
+        et.alias("event_type"),
+    )
+    # extra columns of our own: a response body, an Origin header
+    return base.select(
+        "*",
+        F.when(F.col("error_code").isNotNull(),
+               F.concat(F.lit('{"success":false,"errorCode":"'), F.col("error_code"),
+                        F.lit('","message":"'), F.col("event_type"), F.lit(" failed for "),
+                        _s(F.col("id")), F.lit('"}')))
+         .when(F.col("status_code") >= 400,
+               F.concat(F.lit('{"success":false,"error":"'), F.col("event_type"), F.lit('"}')))
+         .otherwise(F.concat(F.lit('{"success":true,"data":'), F.col("request_body"), F.lit("}")))
+         .alias("response_body"),
+        F.when(F.col("id") % 6 == 0, F.lit(None).cast("string"))
+         .when(F.col("id") % 6 == 1, F.concat(F.lit("chrome-extension://ext"), _s(F.col("user_id"))))
+         .when(F.col("id") % 6 == 2, F.lit("moz-extension://abc"))
+         .when(F.col("id") % 6 == 3, F.concat(F.lit("http://localhost:"), _s(3000 + F.col("id") % 5)))
+         .when(F.col("id") % 6 == 4, F.lit("http://localhost"))
+         .otherwise(F.lit("https://app.example.com")).alias("origin"),
+    ).drop("event_type")
+
+
 class Views:
     """All adapter views for one scale-factor directory."""
 
@@ -34,42 +74,7 @@ class Views:
     # --- request log ------------------------------------------------------
     @cached_property
     def audit_log(self) -> DataFrame:
-        e = self.raw("events")
-        et, eid = F.col("event_type"), F.col("event_id")
-        base = e.select(
-            eid.alias("id"),
-            F.when(eid % 11 == 0, F.lit(None).cast("bigint")).otherwise(F.col("user_id")).alias("user_id"),
-            F.when(et == "click", "/api/applied-jobs").when(et == "view", "/api/chat")
-             .when(et == "purchase", "/api/keywords").when(et == "signup", "/auth/validate")
-             .otherwise("/api/hr-lookup").alias("path"),
-            F.when(et != "error", 200).when(eid % 4 == 0, 500).when(eid % 4 == 1, 401)
-             .when(eid % 4 == 2, 503).otherwise(400).alias("status_code"),
-            F.when((et == "error") & (eid % 3 == 0), "AI_SERVICE_ERROR")
-             .when((et == "error") & (eid % 3 == 1), "VALIDATION_ERROR").alias("error_code"),
-            F.floor(F.col("value") * 10).cast("int").alias("response_ms"),
-            F.col("props").alias("request_body"),
-            F.col("ts").alias("created_at"),
-            F.when(eid % 17 == 0, F.col("ts")).alias("deleted_at"),
-            et.alias("event_type"),
-        )
-        # extra columns of our own: a response body, an Origin header
-        return base.select(
-            "*",
-            F.when(F.col("error_code").isNotNull(),
-                   F.concat(F.lit('{"success":false,"errorCode":"'), F.col("error_code"),
-                            F.lit('","message":"'), F.col("event_type"), F.lit(" failed for "),
-                            _s(F.col("id")), F.lit('"}')))
-             .when(F.col("status_code") >= 400,
-                   F.concat(F.lit('{"success":false,"error":"'), F.col("event_type"), F.lit('"}')))
-             .otherwise(F.concat(F.lit('{"success":true,"data":'), F.col("request_body"), F.lit("}")))
-             .alias("response_body"),
-            F.when(F.col("id") % 6 == 0, F.lit(None).cast("string"))
-             .when(F.col("id") % 6 == 1, F.concat(F.lit("chrome-extension://ext"), _s(F.col("user_id"))))
-             .when(F.col("id") % 6 == 2, F.lit("moz-extension://abc"))
-             .when(F.col("id") % 6 == 3, F.concat(F.lit("http://localhost:"), _s(3000 + F.col("id") % 5)))
-             .when(F.col("id") % 6 == 4, F.lit("http://localhost"))
-             .otherwise(F.lit("https://app.example.com")).alias("origin"),
-        ).drop("event_type")
+        return audit_log_from(self.raw("events"))
 
     # --- accounts -------------------------------------------------------------
     @cached_property

@@ -1,0 +1,5 @@
+"""Catalog helpers (S9 table-existence check, S10 idempotent create)."""
+
+from ..operators.integrity import ensure_table, existing_tables
+
+__all__ = ["ensure_table", "existing_tables"]
