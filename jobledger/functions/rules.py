@@ -76,27 +76,40 @@ def _literal_map(d: dict) -> Column:
     return F.create_map(*items)
 
 
+def _lit_re(text: str) -> str:
+    return "".join("\\" + ch if ch in r".^$*+?()[]{}|\\" else ch for ch in text)
+
+
+def _ui_text_regex() -> str:
+    """One pattern over the lower-cased, trimmed title for every UI-text rule.
+
+    Exact texts, pattern-at-start/end/inside-with-blanks, and the "contains
+    both" rules (lookaheads, so overlapping words count like two contains()).
+    """
+    exact = "|".join(_lit_re(t) for t in EXACT_UI_TEXTS)
+    pats = "|".join(_lit_re(p) for p in UI_PATTERNS)
+    both = [("keyword",), ("analyzer",)], [("update",), ("terms", "our")], \
+        [("cover letter", "coverletter"), ("generator",)]
+    pairs = "|".join("".join("(?=.*(?:" + "|".join(_lit_re(w) for w in alt) + "))" for alt in rule) for rule in both)
+    return rf"(?s)^(?:{exact})\z|^(?:{pats}) | (?:{pats})\z| (?:{pats}) |^(?:{pairs})"
+
+
+TITLE_REJECT_RE = _ui_text_regex()
+
+
 def is_job_title(title) -> Column:
-    """True when ``title`` looks like a real job title (rules applied in source order)."""
+    """True when ``title`` looks like a real job title (rules applied in source order).
+
+    Written so the trimmed / lower-cased title is computed a fixed number of
+    times per row: lengths, one letters test, one combined UI-text regex.
+    (The source's "only digits, blanks, dashes, dots" rule can never fire after
+    the three-letters rule, so it has no code.)
+    """
     raw = _c(title)
     t = js_trim(raw)
-    low = F.lower(t)
     n = F.length(t)
-    pattern_hit = F.lit(False)
-    for p in UI_PATTERNS:
-        pattern_hit = pattern_hit | low.startswith(p + " ") | low.endswith(" " + p) | low.contains(" " + p + " ")
-    reject = (
-        raw.isNull() | (raw == "")
-        | (n < TITLE_MIN) | (n > TITLE_MAX)
-        | ~t.rlike("[a-zA-Z]{3}")
-        | low.isin(*EXACT_UI_TEXTS)
-        | pattern_hit
-        | (low.contains("keyword") & low.contains("analyzer"))
-        | (low.contains("update") & (low.contains("terms") | low.contains("our")))
-        | ((low.contains("cover letter") | low.contains("coverletter")) & low.contains("generator"))
-        # "only digits/blanks/dashes/dots" cannot fire after the 3-letter rule; kept for fidelity
-        | t.rlike(r"^[0-9\s\-\.]+$")
-    )
+    reject = ((raw == "") | (n < TITLE_MIN) | (n > TITLE_MAX) | ~raw.rlike("[a-zA-Z]{3}")
+              | F.lower(t).rlike(TITLE_REJECT_RE))
     return F.when(raw.isNull(), F.lit(False)).otherwise(~F.coalesce(reject, F.lit(True)))
 
 

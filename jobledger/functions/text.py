@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 # \x{..} escapes so the same pattern runs in Java regex and in RE2 (DuckDB).
 JS_SPACE = (r"[\t\n\x0B\f\r \x{00a0}\x{1680}\x{2000}-\x{200a}"
             r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]")
+# The same set spelled out as characters (for btrim, which strips any of them).
+JS_SPACE_CHARS = ("\t\n\x0b\x0c\r \u00a0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200B))
+                  + "\u2028\u2029\u202f\u205f\u3000\ufeff")
 TRUNCATED_SUFFIX = "... [truncated]"
 TOKENS_PER_WORD = 1.3
 # ---------------------------------------------------------------------------
@@ -26,8 +29,8 @@ def _c(c) -> Column:
 
 
 def js_trim(c) -> Column:
-    """String.prototype.trim: strip every Unicode blank, not only U+0020."""
-    return F.regexp_replace(_c(c), f"^{JS_SPACE}+|{JS_SPACE}+$", "")
+    """String.prototype.trim: strip every Unicode blank, not only U+0020 (no regex)."""
+    return F.btrim(_c(c), F.lit(JS_SPACE_CHARS))
 
 
 def is_blank(c) -> Column:

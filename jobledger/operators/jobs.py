@@ -30,6 +30,7 @@ def reject_reason(title: Column, url: Column) -> Column:
 
 
 def split_valid(incoming: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(valid, rejected with reason)."""
     v = incoming.withColumn("reject_reason", reject_reason(F.col("title"), F.col("url")))
     return v.where(F.col("reject_reason").isNull()).drop("reject_reason"), v.where(F.col("reject_reason").isNotNull())
 
@@ -74,12 +75,13 @@ def merge_jobs(existing: DataFrame, incoming: DataFrame, as_of: Column | None =
     """
     valid, rejected = split_valid(incoming)
     firsts = first_per(valid, JOB_KEY, list(order)).select(*valid.columns)
-    new, tracked_first = split_tracked(firsts, existing)
-    later = valid.exceptAll(firsts)
+    new = split_tracked(firsts, existing)[0].select(*valid.columns)
+    # everything valid that was not inserted (multiset difference keeps exact duplicates)
+    tracked = valid.exceptAll(new)
     inserted = normalize_job(new, as_of).withColumnRenamed(id_col, "id")
     table = existing.withColumn("origin", F.lit("existing")).unionByName(
         inserted.withColumn("origin", F.lit("new")), allowMissingColumns=True)
-    return table, inserted, rejected, tracked_first.unionByName(later)
+    return table, inserted, rejected, tracked
 
 
 def split_owned(changes: DataFrame, table: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules as R
 from ..functions.jsonx import sanitize_json
-from ..functions.text import JS_SPACE, js_trim, name_from_slug, split_name, text_stats
+from ..functions.text import JS_SPACE, JS_SPACE_CHARS, name_from_slug, split_name, text_stats
 from ..operators import accounts, audit, contacts, integrity, jobs, profiles, skills, textgen, usage
 from .fixtures import Views
 from .oracle_views import with_views
@@ -44,8 +44,11 @@ def q(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
+_TRIM_CHARS_SQL = " || ".join(f"chr({ord(ch)})" for ch in JS_SPACE_CHARS)
+
+
 def trim_sql(x: str) -> str:
-    return f"regexp_replace({x}, '^{WS}+|{WS}+$', '', 'g')"
+    return f"trim({x}, {_TRIM_CHARS_SQL})"
 
 
 def norm_sql(x: str) -> str:
@@ -849,8 +852,9 @@ SELECT doc_id, length(text) AS chars, len(string_split_regex(text, '{WS}+')) AS
        CAST(ceil(len(string_split_regex(text, '{WS}+')) * CAST(1.3 AS DOUBLE)) AS BIGINT) AS est_tokens
 FROM documents""")
 def q_text_stats(spark, d):
+    from ..operators.common import spread_for_cpu
     s = text_stats(F.col("text"))
-    return Views(spark, d).raw("documents").select("doc_id", *[s[c].alias(c) for c in ("chars", "words", "kb",
+    return spread_for_cpu(Views(spark, d).raw("documents")).select("doc_id", *[s[c].alias(c) for c in ("chars", "words", "kb",
                                                                                          "est_tokens")])
 
 
