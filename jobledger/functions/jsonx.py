@@ -15,7 +15,7 @@ sort their keys.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .text import JS_SPACE, TRUNCATED_SUFFIX, _c, shorten
@@ -62,8 +62,39 @@ def json_kind(c) -> Column:
 
 # --- fenced / lenient extraction --------------------------------------------
 
+def _extract_steps(lenient: bool):
+    """The extraction as ordered (name, expression) steps; later steps use earlier names."""
+    t = F.col("_text")
+    steps = [("_has_block", F.coalesce(t.rlike(FENCED_JSON), F.lit(False))),
+             ("_block", F.regexp_extract(t, FENCED_JSON, 1))]
+    steps += [("_block_ok", F.col("_has_block") & is_valid_json(F.col("_block"))),
+              ("_whole_ok", ~F.col("_has_block") & is_valid_json(t))]
+    if lenient:
+        steps += [("_greedy", F.when(~F.col("_has_block") & ~F.col("_whole_ok"),
+                                     F.regexp_extract(t, GREEDY_OBJECT, 0)))]
+        steps += [("_greedy_ok", F.coalesce(F.col("_greedy") != "", F.lit(False)) & is_valid_json(F.col("_greedy")))]
+    status = (F.when(F.col("_block_ok"), "ok").when(F.col("_has_block"), "bad_block")
+              .when(F.col("_whole_ok"), "ok"))
+    payload = F.when(F.col("_block_ok"), F.col("_block")).when(F.col("_whole_ok"), t)
+    if lenient:
+        status = status.when(F.col("_greedy_ok"), "ok")
+        payload = payload.when(F.col("_greedy_ok"), F.col("_greedy"))
+    return steps, status.otherwise("no_json"), payload
+
+
+def extract_json_columns(df: DataFrame, text_col: str, lenient: bool = False,
+                         status_col: str = "status", payload_col: str = "payload") -> DataFrame:
+    """``extract_json`` as staged projections: every regex / parse runs once per row."""
+    steps, status, payload = _extract_steps(lenient)
+    out = df.withColumn("_text", F.col(text_col))
+    for name, expr in steps:
+        out = out.withColumn(name, expr)
+    out = out.withColumn(status_col, status).withColumn(payload_col, payload)
+    return out.drop("_text", *[n for n, _ in steps])
+
+
 def extract_json(text, lenient: bool = False) -> Column:
-    """struct(status, payload) for a model reply.
+    """struct(status, payload) for a model reply (single-expression form).
 
     status: ``ok`` | ``bad_block`` (a fenced block that is not JSON; never falls
     through) | ``no_json``. payload is the JSON text that parsed. ``lenient``

@@ -12,10 +12,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # --- fixed values -----------------------------------------------------------
-# JavaScript's \s class (also what String.prototype.trim strips). Written with
-# \x{..} escapes so the same pattern runs in Java regex and in RE2 (DuckDB).
-JS_SPACE = (r"[\t\n\x0B\f\r \x{00a0}\x{1680}\x{2000}-\x{200a}"
-            r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]")
+# JavaScript's \s class (also what String.prototype.trim strips): ASCII blanks,
+# vertical tab, Unicode space separators (Zs), line/paragraph separators, BOM.
+# Written so the same pattern runs in Java regex and in RE2 (DuckDB).
+JS_SPACE_BODY = r"\s\x0B\p{Zs}\x{2028}\x{2029}\x{feff}"
+JS_SPACE = f"[{JS_SPACE_BODY}]"
 # The same set spelled out as characters (for btrim, which strips any of them).
 JS_SPACE_CHARS = ("\t\n\x0b\x0c\r \u00a0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200B))
                   + "\u2028\u2029\u202f\u205f\u3000\ufeff")
@@ -51,7 +52,7 @@ def js_split_ws(c) -> Column:
 
 def normalize_skill(c) -> Column:
     """Lower-case, then delete everything outside [a-z0-9] (so C, C++, C# collide)."""
-    return F.regexp_replace(F.lower(_c(c)), "[^a-z0-9]", "")
+    return F.regexp_replace(F.lower(_c(c)), "[^a-z0-9]+", "")
 
 
 def split_name(c) -> Column:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import js_split_ws, js_trim, normalize_skill
+from ..functions.text import JS_SPACE, JS_SPACE_BODY, js_trim, normalize_skill
 from .common import broadcast_if_small, first_per, spread_for_cpu
 
 # A dictionary larger than this is joined without a broadcast hint.
@@ -52,10 +52,15 @@ def flat_skills(skills: DataFrame) -> DataFrame:
 
 
 def terms(texts: DataFrame, id_col: str, text_col: str, vocabulary: DataFrame | None = None) -> DataFrame:
-    """Distinct (id, term): whitespace tokens in normal form, optionally kept to a vocabulary."""
+    """Distinct (id, term): whitespace tokens in normal form, optionally kept to a vocabulary.
+
+    Normalising a token only deletes characters inside it, so the whole text is
+    lower-cased and stripped of everything but [a-z0-9] and blanks in one pass,
+    then split on blanks; empty pieces (tokens with nothing left) are dropped.
+    """
     src = spread_for_cpu(texts.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
-    tok = src.select("doc_id", F.explode(js_split_ws(F.col("text"))).alias("tok"))
-    t = tok.select("doc_id", normalize_skill(F.col("tok")).alias("term")).where(F.col("term") != "")
+    kept = F.regexp_replace(F.lower(F.col("text")), f"[^a-z0-9{JS_SPACE_BODY}]+", "")
+    t = src.select("doc_id", F.explode(F.split(kept, f"{JS_SPACE}+", -1)).alias("term")).where(F.col("term") != "")
     if vocabulary is not None:
         t = t.join(broadcast_if_small(vocabulary.select("term").distinct(), DICT_BROADCAST_ROWS), "term", "inner")
     return t.select("doc_id", "term").distinct()

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import prompt_texts as P
-from ..functions.jsonx import check_shape, extract_json
+from ..functions.jsonx import check_shape, extract_json_columns
 from ..functions.text import text_stats
 from .common import spread_for_cpu
 
@@ -107,8 +107,8 @@ def stage_share(parts: DataFrame, part_col: str, key_col: str) -> DataFrame:
 
 
 def parse_replies(calls: DataFrame, lenient: bool = False) -> DataFrame:
-    r = extract_json(F.col("response_text"), lenient)
-    return calls.select("id", r["status"].alias("status"), r["payload"].alias("payload"))
+    return extract_json_columns(calls.select("id", "response_text"), "response_text", lenient).select(
+        "id", "status", "payload")
 
 
 def reply_shapes(replies: DataFrame) -> DataFrame:
