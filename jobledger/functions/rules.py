@@ -240,3 +240,10 @@ def origin_class(origin, production_origins: tuple[str, ...] = ()) -> Column:
     if production_origins:
         expr = expr.when(o.isin(*production_origins), F.lit("production"))
     return expr.otherwise(F.lit("other"))
+
+
+def client_ip(direct, socket, forwarded) -> Column:
+    """First truthy of: direct address, socket address, X-Forwarded-For header; else null."""
+    def truthy(c):
+        return F.nullif(_c(c), F.lit(""))
+    return F.coalesce(truthy(direct), truthy(socket), truthy(forwarded))

@@ -957,3 +957,82 @@ def _shape_sql() -> str:
 @query("reply_shapes", _shape_sql(), ("llm_calls",))
 def q_reply_shapes(spark, d):
     return textgen.reply_shapes(textgen.parse_replies(Views(spark, d).llm_calls, lenient=True))
+
+
+# =============================================================================
+# catalogue, truncations, client address
+# =============================================================================
+
+def _catalogue_entries(spark, d):
+    """A model-catalogue-shaped view over ``part`` (ours): name, capability list, limits."""
+    p = Views(spark, d).raw("part")
+    name = F.lower(F.concat(F.col("p_type"), F.lit("-"), F.replace(F.col("p_name"), F.lit(" "), F.lit("-"))))
+    return p.select(name.alias("name"), F.col("p_brand").alias("display_name"),
+                    F.when(F.col("p_size") % 5 == 0, F.lit("")).otherwise(F.col("p_name")).alias("description"),
+                    F.when(F.col("p_size") % 4 == 0, F.lit(None).cast("int")).otherwise(F.col("p_size")).alias("input_limit"),
+                    F.lit(None).cast("int").alias("output_limit"),
+                    F.split(F.col("p_name"), " ").alias("capabilities"), F.col("p_partkey"))
+
+
+_CAT_SQL = """SELECT lower(p_type || '-' || replace(p_name, ' ', '-')) AS name, p_brand AS display_name,
+  CASE WHEN p_size % 5 = 0 THEN '' ELSE p_name END AS description,
+  CASE WHEN p_size % 4 = 0 THEN NULL ELSE p_size END AS input_limit, CAST(NULL AS INT) AS output_limit,
+  string_split(p_name, ' ') AS capabilities, p_partkey FROM part"""
+
+
+@query("catalogue_filter", f"""
+WITH c AS ({_CAT_SQL})
+SELECT name, coalesce(nullif(display_name, ''), 'N/A') AS display_name, coalesce(nullif(description, ''), 'N/A') AS description,
+  coalesce(CAST(input_limit AS VARCHAR), 'N/A') AS input_limit, coalesce(CAST(output_limit AS VARCHAR), 'N/A') AS output_limit,
+  array_to_string(capabilities, ', ') AS methods
+FROM c WHERE contains(name, 'economy') AND list_contains(capabilities, 'widget') ORDER BY name""")
+def q_catalogue_filter(spark, d):
+    from ..operators.catalogue import catalogue
+    return catalogue(_catalogue_entries(spark, d), "economy", "widget")
+
+
+@query("catalogue_preferred", f"""
+WITH c AS ({_CAT_SQL})
+SELECT p_partkey, name FROM c WHERE contains(name, 'small') AND (contains(name, 'red') OR contains(name, 'blue')
+  OR contains(name, 'gear'))""")
+def q_catalogue_preferred(spark, d):
+    from ..operators.catalogue import preferred
+    return preferred(_catalogue_entries(spark, d), "small", ("red", "blue", "gear")).select("p_partkey", "name")
+
+
+@query("truncations", f"""
+SELECT doc_id,
+  {shorten_sql('text', 1000, 1000, '... [truncated]')} AS body_cut,
+  substr(text, 1, 500) AS raw_cut,
+  {shorten_sql('text', 100, 97, '...')} AS short_message,
+  substr(source, 1, 8) || '...' AS key_hint,
+  substr(text, 1, 50) || '...' AS agent_hint,
+  substr(text, 1, 50) || CASE WHEN length(text) > 50 THEN '...' ELSE '' END AS title_hint,
+  substr(CAST(doc_id AS VARCHAR), 1, 12) || '...' AS id_hint
+FROM documents""")
+def q_truncations(spark, d):
+    from ..functions.text import TRUNCATED_SUFFIX, shorten
+    t = F.col("text")
+    return Views(spark, d).raw("documents").select(
+        "doc_id",
+        shorten(t, 1000, 1000, TRUNCATED_SUFFIX).alias("body_cut"),
+        F.substring(t, 1, 500).alias("raw_cut"),
+        shorten(t, 100, 97, "...").alias("short_message"),
+        F.concat(F.substring("source", 1, 8), F.lit("...")).alias("key_hint"),
+        F.concat(F.substring(t, 1, 50), F.lit("...")).alias("agent_hint"),
+        F.concat(F.substring(t, 1, 50), F.when(F.length(t) > 50, F.lit("...")).otherwise(F.lit(""))).alias("title_hint"),
+        F.concat(F.substring(F.col("doc_id").cast("string"), 1, 12), F.lit("...")).alias("id_hint"))
+
+
+@query("client_ips", """
+SELECT id, coalesce(nullif(CASE id % 4 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE '10.0.0.' || CAST(id % 250 AS VARCHAR) END, ''),
+                    nullif(CASE WHEN id % 8 < 4 THEN '::1' END, ''),
+                    nullif('203.0.113.' || CAST(id % 200 AS VARCHAR), '')) AS client_ip
+FROM audit_log""", ("audit_log",))
+def q_client_ips(spark, d):
+    a = Views(spark, d).audit_log
+    direct = (F.when(F.col("id") % 4 == 0, F.lit(None).cast("string")).when(F.col("id") % 4 == 1, F.lit(""))
+              .otherwise(F.concat(F.lit("10.0.0."), (F.col("id") % 250).cast("string"))))
+    sock = F.when(F.col("id") % 8 < 4, F.lit("::1"))
+    fwd = F.concat(F.lit("203.0.113."), (F.col("id") % 200).cast("string"))
+    return a.select("id", R.client_ip(direct, sock, fwd).alias("client_ip"))
