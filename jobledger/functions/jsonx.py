@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import JS_SPACE, TRUNCATED_SUFFIX, _c, shorten
+from .text import JS_SPACE, JS_SPACE_CHARS, TRUNCATED_SUFFIX, _c, shorten
 
 # --- fixed values -----------------------------------------------------------
 MAX_DEPTH = 3
@@ -151,78 +151,121 @@ def sanitize_headers(headers) -> Column:
 
 
 # --- body sanitiser (depth 3, unrolled) --------------------------------------
+#
+# The expression is generated as Spark SQL text and parsed once (one JVM call
+# instead of thousands of Column-builder calls); the rule itself is the same
+# nested transform / CASE structure either way.
 
-def _sensitive(key: Column) -> Column:
-    low = F.lower(key)
-    hit = F.lit(False)
-    for s in SENSITIVE_BODY_KEYS:
-        hit = hit | low.contains(s)
-    return hit
+def _sql_lit(text: str) -> str:
+    """Spark SQL string literal (backslash escapes, non-ASCII as \\uXXXX)."""
+    out = []
+    for ch in text:
+        if ch in "\\'":
+            out.append("\\" + ch)
+        elif ord(ch) < 0x20 or ord(ch) > 0x7E:
+            out.append("\\u%04x" % ord(ch))
+        else:
+            out.append(ch)
+    return "'" + "".join(out) + "'"
 
 
-def _let(value: Column, body) -> Column:
-    """Evaluate ``value`` once and hand it to ``body`` (a one-element transform).
+def _json_text(value: str) -> str:
+    """SQL literal holding the JSON string text of a constant."""
+    return _sql_lit('"' + value.replace("\\", "\\\\").replace('"', '\\"') + '"')
 
-    A sub-expression referenced from inside a lambda is re-evaluated per
-    element; binding it here keeps every JSON text parsed a fixed number of times.
-    """
-    return F.get(F.transform(F.array(value), body), 0)
 
+class _Names:
+    def __init__(self):
+        self.n = 0
 
-def _value(raw: Column, vtype: Column, depth: int) -> Column:
-    """Sanitised JSON text of one value given its raw text and variant type name."""
-    if depth >= MAX_DEPTH:
-        return json_quote(F.lit(DEPTH_MARK))
-    return (F.when(raw.isNull() | vtype.isNull() | (vtype == "VOID"), F.lit("null"))
-            .when(vtype == "STRING", json_quote(shorten(raw, MAX_STRING, MAX_STRING, TRUNCATED_SUFFIX)))
-            .when(vtype.startswith("ARRAY"), _array(raw, depth))
-            .when(vtype.startswith("OBJECT"), _object(raw, depth))
-            .otherwise(raw))
+    def __call__(self, prefix: str) -> str:
+        self.n += 1
+        return f"{prefix}{self.n}"
+
+
+def _let_sql(g: _Names, value: str, body) -> str:
+    v = g("v")
+    return f"get(transform(array({value}), {v} -> {body(v)}), 0)"
+
+
+def _quote_sql(g: _Names, x: str) -> str:
+    return _let_sql(g, f"to_json(array({x}))", lambda w: f"substring({w}, 2, length({w}) - 2)")
+
+
+def _sens_sql(key: str) -> str:
+    return "(" + " OR ".join(f"contains(lower({key}), {_sql_lit(s)})" for s in SENSITIVE_BODY_KEYS) + ")"
 
 
-def _array(raw: Column, depth: int) -> Column:
-    texts = F.slice(F.from_json(raw, "array<string>"), 1, MAX_ARRAY)
+def _value_sql(g: _Names, raw: str, vtype: str, depth: int) -> str:
+    if depth >= MAX_DEPTH:
+        return _json_text(DEPTH_MARK)
+    cut = (f"CASE WHEN length({raw}) > {MAX_STRING} THEN concat(substring({raw}, 1, {MAX_STRING}), "
+           f"{_sql_lit(TRUNCATED_SUFFIX)}) ELSE {raw} END")
+    return (f"CASE WHEN {raw} IS NULL OR {vtype} IS NULL OR {vtype} = 'VOID' THEN 'null' "
+            f"WHEN {vtype} = 'STRING' THEN {_quote_sql(g, cut)} "
+            f"WHEN startswith({vtype}, 'ARRAY') THEN {_array_sql(g, raw, depth)} "
+            f"WHEN startswith({vtype}, 'OBJECT') THEN {_object_sql(g, raw, depth)} "
+            f"ELSE {raw} END")
+
+
+def _array_sql(g: _Names, raw: str, depth: int) -> str:
+    texts = f"slice(from_json({raw}, 'array<string>'), 1, {MAX_ARRAY})"
     if depth + 1 >= MAX_DEPTH:
-        items = F.transform(texts, lambda x: json_quote(F.lit(DEPTH_MARK)))
+        x = g("x")
+        items = f"transform({texts}, {x} -> {_json_text(DEPTH_MARK)})"
     else:
-        types = F.slice(F.transform(F.from_json(raw, "array<variant>"), F.schema_of_variant), 1, MAX_ARRAY)
-        items = _let(types, lambda ts: F.transform(
-            texts, lambda x, i: _value(x, F.get(ts, i), depth + 1)))
-    return F.concat(F.lit("["), F.array_join(items, ",", "null"), F.lit("]"))
+        t = g("t")
+        types = f"slice(transform(from_json({raw}, 'array<variant>'), {t} -> schema_of_variant({t})), 1, {MAX_ARRAY})"
+
+        def each(ts):
+            x, i = g("x"), g("i")
+            return f"transform({texts}, ({x}, {i}) -> {_value_sql(g, x, f'get({ts}, {i})', depth + 1)})"
+        items = _let_sql(g, types, each)
+    return f"concat('[', array_join({items}, ',', 'null'), ']')"
 
 
-def _object(raw: Column, depth: int) -> Column:
-    strings = F.from_json(raw, "map<string,string>")
+def _object_sql(g: _Names, raw: str, depth: int) -> str:
+    strings = f"from_json({raw}, 'map<string,string>')"
+    e, i = g("e"), g("i")
     if depth + 1 >= MAX_DEPTH:
-        entries = F.transform(F.map_entries(strings), lambda e: F.struct(
-            e["key"].alias("key"), e["value"].alias("value"), F.lit(None).cast("string").alias("vtype")))
+        entries = (f"transform(map_entries({strings}), {e} -> named_struct('key', {e}.key, 'value', {e}.value, "
+                   f"'vtype', CAST(NULL AS STRING), 'sens', {_sens_sql(f'{e}.key')}))")
     else:
-        types = F.map_values(F.transform_values(F.from_json(raw, "map<string,variant>"),
-                                                lambda k, v: F.schema_of_variant(v)))
-        entries = _let(types, lambda ts: F.transform(F.map_entries(strings), lambda e, i: F.struct(
-            e["key"].alias("key"), e["value"].alias("value"), F.get(ts, i).alias("vtype"))))
-
-    def child(e):
-        if depth + 1 >= MAX_DEPTH:
-            return json_quote(F.lit(DEPTH_MARK))
-        return _value(e["value"], e["vtype"], depth + 1)
+        k, v = g("k"), g("v")
+        types = f"map_values(transform_values(from_json({raw}, 'map<string,variant>'), ({k}, {v}) -> schema_of_variant({v})))"
+        entries = _let_sql(g, types, lambda ts: (
+            f"transform(map_entries({strings}), ({e}, {i}) -> named_struct('key', {e}.key, 'value', {e}.value, "
+            f"'vtype', get({ts}, {i}), 'sens', {_sens_sql(f'{e}.key')}))"))
 
     def render(es):
-        # first index >= 50 whose key is not redacted: the object is cut there
-        cut = F.array_position(F.transform(es, lambda e, i: (i >= MAX_KEYS) & ~_sensitive(e["key"])), True)
+        a, j = g("a"), g("j")
+        first_cut = f"array_position(transform({es}, ({a}, {j}) -> {j} >= {MAX_KEYS} AND NOT {a}.sens), true)"
 
         def with_cut(c):
-            kept = F.when(c > 0, F.slice(es, F.lit(1), c - 1)).otherwise(es)
-            pairs = F.transform(kept, lambda e: F.concat(
-                json_quote(e["key"]), F.lit(":"),
-                F.when(_sensitive(e["key"]), json_quote(F.lit(REDACTED))).otherwise(child(e))))
-            tail = F.when(c > 0, F.array(F.concat(json_quote(F.lit(TOO_MANY_KEYS_KEY)), F.lit(":"),
-                                                  json_quote(F.lit(TOO_MANY_KEYS))))).otherwise(
-                F.array().cast("array<string>"))
-            return F.concat(F.lit("{"), F.array_join(F.concat(pairs, tail), ","), F.lit("}"))
-        return _let(cut, with_cut)
+            b = g("b")
+            kept = f"CASE WHEN {c} > 0 THEN slice({es}, 1, {c} - 1) ELSE {es} END"
+            child = _json_text(DEPTH_MARK) if depth + 1 >= MAX_DEPTH else \
+                _value_sql(g, f"{b}.value", f"{b}.vtype", depth + 1)
+            pairs = (f"transform({kept}, {b} -> concat({_quote_sql(g, f'{b}.key')}, ':', "
+                     f"CASE WHEN {b}.sens THEN {_json_text(REDACTED)} ELSE {child} END))")
+            marker = _sql_lit(f'"{TOO_MANY_KEYS_KEY}":"{TOO_MANY_KEYS}"')
+            tail = f"CASE WHEN {c} > 0 THEN array({marker}) ELSE CAST(array() AS array<string>) END"
+            return "concat('{', array_join(concat(" + pairs + ", " + tail + "), ','), '}')"
+        return _let_sql(g, first_cut, with_cut)
+    return _let_sql(g, entries, render)
+
+
+def sanitize_json_sql(body: str) -> str:
+    """SQL text of the sanitiser for the SQL expression ``body`` (e.g. a column name)."""
+    g = _Names()
+    parsed = f"try_parse_json({body})"
+    trimmed = f"btrim({body}, {_sql_lit(JS_SPACE_CHARS)})"
 
-    return _let(entries, render)
+    def top(t):
+        raw = f"CASE WHEN {t} = 'STRING' THEN try_variant_get({parsed}, '$', 'string') ELSE {trimmed} END"
+        return f"CASE WHEN {t} IS NULL THEN CAST(NULL AS STRING) ELSE " + \
+            _let_sql(g, raw, lambda r: _value_sql(g, r, t, 0)) + " END"
+    return _let_sql(g, f"schema_of_variant({parsed})", top)
 
 
 def sanitize_json(body) -> Column:
@@ -231,23 +274,22 @@ def sanitize_json(body) -> Column:
     Objects keep key order; sensitive keys -> "[REDACTED]"; > 50 keys -> cut with
     a "..." marker; arrays keep 10 items; strings keep 1000 chars; anything at
     depth 3 becomes "[Max Depth Reached]". Null or invalid JSON -> null.
+    ``body`` is a column name (quoted with backticks here) or a SQL expression string.
     """
-    body = _c(body)
-    vtype = F.schema_of_variant(F.try_parse_json(body))
+    if not isinstance(body, str):
+        raise TypeError("sanitize_json takes a column name; add computed bodies with withColumn first")
+    ref = body if ("(" in body or "`" in body) else f"`{body}`"
+    return F.expr(sanitize_json_sql(ref))
 
-    def top(t):
-        raw = (F.when(t == "STRING", _top_string(body))
-               .when(t.isNotNull(), F.regexp_replace(body, f"^{JS_SPACE}+|{JS_SPACE}+$", "")))
-        return _let(raw, lambda r: F.when(t.isNotNull(), _value(r, t, 0)))
-    return _let(vtype, top)
 
+def parse_response(body: str) -> Column:
+    """Response body for the audit record: JSON -> sanitised; text -> first 500 chars; empty -> null.
 
-def parse_response(body) -> Column:
-    """Response body for the audit record: JSON -> sanitised; text -> first 500 chars; empty -> null."""
-    body = _c(body)
-    return (F.when(body.isNull() | (body == ""), F.lit(None).cast("string"))
-            .when(is_valid_json(body), sanitize_json(body))
-            .otherwise(json_quote(F.substring(body, 1, MAX_RAW_RESPONSE))))
+    ``body`` is a column name."""
+    c = F.col(body)
+    return (F.when(c.isNull() | (c == ""), F.lit(None).cast("string"))
+            .when(is_valid_json(c), sanitize_json(body))
+            .otherwise(json_quote(F.substring(c, 1, MAX_RAW_RESPONSE))))
 
 
 def _top_string(body: Column) -> Column:

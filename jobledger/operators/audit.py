@@ -22,8 +22,8 @@ def audit_record(requests: DataFrame, sanitize_bodies: bool = False) -> DataFram
                    .withColumn("error_code", ef["error_code"])
                    .withColumn("error_message", ef["error_message"]))
     if sanitize_bodies:
-        out = (out.withColumn("request_body", sanitize_json(F.col("request_body")))
-                  .withColumn("response_body", parse_response(F.col("response_body"))))
+        out = (out.withColumn("request_body", sanitize_json("request_body"))
+                  .withColumn("response_body", parse_response("response_body")))
     return out.drop("user_email")
 
 

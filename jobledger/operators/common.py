@@ -45,11 +45,14 @@ def broadcast_if_small(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
     return F.broadcast(df) if n <= max_rows else df
 
 
-def spread_for_cpu(df: DataFrame) -> DataFrame:
-    """Round-robin a scan that yields fewer partitions than the cluster has cores.
+def spread_for_cpu(df: DataFrame, *keys: str) -> DataFrame:
+    """Spread a scan that yields fewer partitions than the cluster has cores.
 
     Only tiny inputs (one file, one row group) trigger it; a large scan already
-    has many more splits than cores and passes through untouched.
+    has many more splits than cores and passes through untouched. With ``keys``
+    the spread is a hash partitioning (no local sort, unlike round-robin).
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, *keys) if keys else df.repartition(cores)

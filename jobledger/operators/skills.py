@@ -58,7 +58,7 @@ def terms(texts: DataFrame, id_col: str, text_col: str, vocabulary: DataFrame |
     lower-cased and stripped of everything but [a-z0-9] and blanks in one pass,
     then split on blanks; empty pieces (tokens with nothing left) are dropped.
     """
-    src = spread_for_cpu(texts.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
+    src = spread_for_cpu(texts.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "doc_id")
     kept = F.regexp_replace(F.lower(F.col("text")), f"[^a-z0-9{JS_SPACE_BODY}]+", "")
     t = src.select("doc_id", F.explode(F.split(kept, f"{JS_SPACE}+", -1)).alias("term")).where(F.col("term") != "")
     if vocabulary is not None:

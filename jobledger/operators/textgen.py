@@ -59,7 +59,7 @@ def keyword_prompts(postings: DataFrame, skills: DataFrame) -> DataFrame:
     """
     lists = skills.groupBy("owner_id").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("pos", "skill"))), lambda s: s["skill"]).alias("skills"))
-    j = spread_for_cpu(postings).join(lists, postings.doc_id == lists.owner_id, "left")
+    j = spread_for_cpu(postings, "doc_id").join(lists, postings.doc_id == lists.owner_id, "left")
     ok = F.col("text").isNotNull() & (F.col("text") != "") & F.col("skills").isNotNull()
     p = F.when(ok, prompt("keywords", job_description=F.col("text"), skills=F.col("skills")))
     st = text_stats(p)

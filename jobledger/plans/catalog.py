@@ -479,7 +479,8 @@ def q_request_summary(spark, d):
 
 def doc_bodies(spark, d) -> DataFrame:
     """Request-like JSON bodies built from whole documents (nested, long strings, long arrays)."""
-    docs = Views(spark, d).raw("documents")
+    from ..operators.common import spread_for_cpu
+    docs = spread_for_cpu(Views(spark, d).raw("documents"), "doc_id")
     body = F.to_json(F.struct(
         F.struct(F.col("doc_id").alias("id"),
                  F.struct("lang", "source", F.array("lang", "source").alias("tags")).alias("meta")).alias("doc"),
@@ -492,7 +493,7 @@ def doc_bodies(spark, d) -> DataFrame:
 @query("body_sanitize")
 def q_body_sanitize(spark, d):
     from ..operators.common import spread_for_cpu
-    return spread_for_cpu(doc_bodies(spark, d)).select("doc_id", sanitize_json(F.col("body")).alias("sanitized"))
+    return doc_bodies(spark, d).select("doc_id", sanitize_json("body").alias("sanitized"))
 
 
 # =============================================================================
@@ -854,7 +855,7 @@ FROM documents""")
 def q_text_stats(spark, d):
     from ..operators.common import spread_for_cpu
     s = text_stats(F.col("text"))
-    return spread_for_cpu(Views(spark, d).raw("documents")).select("doc_id", *[s[c].alias(c) for c in ("chars", "words", "kb",
+    return spread_for_cpu(Views(spark, d).raw("documents"), "doc_id").select("doc_id", *[s[c].alias(c) for c in ("chars", "words", "kb",
                                                                                          "est_tokens")])
 
 
