@@ -137,6 +137,24 @@ def error_fields(status, body) -> Column:
     return F.struct(F.when(err, code).alias("error_code"), F.when(err, msg).alias("error_message"))
 
 
+ERROR_BODY_SCHEMA = "errorCode string, error_code string, message string, error string"
+
+
+def with_error_fields(df: DataFrame, status_col: str, body_col: str,
+                      code_col: str = "error_code", message_col: str = "error_message") -> DataFrame:
+    """``error_fields`` as staged projections: the body is parsed once into the four
+    fields it can hold, then code and message are derived from that struct."""
+    status = F.col(status_col)
+    err = F.coalesce(status >= 400, F.lit(False))
+    out = df.withColumn("_err", F.from_json(F.col(body_col), ERROR_BODY_SCHEMA))
+
+    def field(name):
+        return F.nullif(F.col(f"_err.{name}"), F.lit(""))
+    code = F.coalesce(field("errorCode"), field("error_code"), F.concat(F.lit("HTTP_"), status.cast("string")))
+    msg = shorten(F.coalesce(field("message"), field("error")), MAX_STRING, MAX_STRING, TRUNCATED_SUFFIX)
+    return out.withColumn(code_col, F.when(err, code)).withColumn(message_col, F.when(err, msg)).drop("_err")
+
+
 # --- header redaction --------------------------------------------------------
 
 def sanitize_headers(headers) -> Column:

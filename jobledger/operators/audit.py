@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.jsonx import error_fields, parse_response, sanitize_json
+from ..functions.jsonx import parse_response, sanitize_json, with_error_fields
 from ..functions.rules import (alert_gate, alert_text, is_slow, needs_attention, origin_class,
                                service_name, status_for_code)
 from ..functions.text import error_title
@@ -16,11 +16,9 @@ def audit_record(requests: DataFrame, sanitize_bodies: bool = False) -> DataFram
 
     ``user_email`` is only for alerting and is dropped before the audit sink.
     """
-    ef = error_fields(F.col("status_code"), F.col("response_body"))
     out = (requests.withColumn("service", service_name(F.col("path")))
-                   .withColumn("is_slow", is_slow(F.col("response_ms")))
-                   .withColumn("error_code", ef["error_code"])
-                   .withColumn("error_message", ef["error_message"]))
+                   .withColumn("is_slow", is_slow(F.col("response_ms"))))
+    out = with_error_fields(out, "status_code", "response_body")
     if sanitize_bodies:
         out = (out.withColumn("request_body", sanitize_json("request_body"))
                   .withColumn("response_body", parse_response("response_body")))
