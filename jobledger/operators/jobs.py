@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.rules import is_job_title
 from ..functions.text import falsy_to_null
-from .common import first_per
+from .common import first_per, spread_for_cpu
 
 # --- fixed values -----------------------------------------------------------
 REJECT_MISSING = "Title and URL are required"
@@ -29,9 +29,11 @@ def reject_reason(title: Column, url: Column) -> Column:
     return F.when(missing, F.lit(REJECT_MISSING)).when(~is_job_title(title), F.lit(REJECT_TITLE))
 
 
-def split_valid(incoming: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(valid, rejected with reason)."""
-    v = incoming.withColumn("reject_reason", reject_reason(F.col("title"), F.col("url")))
+def split_valid(incoming: DataFrame, spread_key: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(valid, rejected with reason). ``spread_key``: a skinny input (fewer partitions
+    than cores) is hash-spread on this column before the CPU-bound title check."""
+    src = spread_for_cpu(incoming, spread_key) if spread_key else incoming
+    v = src.withColumn("reject_reason", reject_reason(F.col("title"), F.col("url")))
     return v.where(F.col("reject_reason").isNull()).drop("reject_reason"), v.where(F.col("reject_reason").isNotNull())
 
 
@@ -73,7 +75,7 @@ def merge_jobs(existing: DataFrame, incoming: DataFrame, as_of: Column | None =
     In-batch duplicates resolve like sequential requests: the first by ``order``
     (arrival order; make it total) is inserted, later ones are "already tracked".
     """
-    valid, rejected = split_valid(incoming)
+    valid, rejected = split_valid(incoming, id_col)
     firsts = first_per(valid, JOB_KEY, list(order)).select(*valid.columns)
     new = split_tracked(firsts, existing)[0].select(*valid.columns)
     # everything valid that was not inserted (multiset difference keeps exact duplicates)

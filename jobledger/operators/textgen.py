@@ -68,6 +68,20 @@ def keyword_prompts(postings: DataFrame, skills: DataFrame) -> DataFrame:
                     F.when(ok, st["est_tokens"]).alias("est_tokens"))
 
 
+def build_prompts(requests: DataFrame, kind: str, keys: list[str], required: dict[str, Column],
+                  inputs: dict[str, Column]) -> DataFrame:
+    """Prompt rows for one request kind: ``status`` is ``rejected`` when a required
+    field is missing (falsy), else ``ok`` with the prompt text and its size stats."""
+    ok = F.lit(True)
+    for c in required.values():
+        ok = ok & c.isNotNull() & (c.cast("string") != "")
+    p = F.when(ok, prompt(kind, **inputs))
+    st = text_stats(p)
+    return requests.select(*keys, F.when(ok, "ok").otherwise("rejected").alias("status"), p.alias("prompt"),
+                           F.when(ok, st["chars"]).alias("chars"), F.when(ok, st["words"]).alias("words"),
+                           F.when(ok, st["est_tokens"]).alias("est_tokens"))
+
+
 def call_metrics(calls: DataFrame) -> DataFrame:
     """Per call: input share %, tokens/s total, in and out; null when unknown or ms = 0."""
     i, o, ms = F.col("in_tokens"), F.col("out_tokens"), F.col("ms")

@@ -1037,3 +1037,100 @@ def q_client_ips(spark, d):
     sock = F.when(F.col("id") % 8 < 4, F.lit("::1"))
     fwd = F.concat(F.lit("203.0.113."), (F.col("id") % 200).cast("string"))
     return a.select("id", R.client_ip(direct, sock, fwd).alias("client_ip"))
+
+
+# --- more prompt kinds -----------------------------------------------------------
+
+def _prompt_stats_sql(p: str, ok: str) -> str:
+    return (f"CASE WHEN {ok} THEN 'ok' ELSE 'rejected' END AS status, CASE WHEN {ok} THEN {p} END AS prompt, "
+            f"CASE WHEN {ok} THEN length({p}) END AS chars, "
+            f"CASE WHEN {ok} THEN len(string_split_regex({p}, '{WS}+')) END AS words, "
+            f"CASE WHEN {ok} THEN CAST(ceil(len(string_split_regex({p}, '{WS}+')) * CAST(1.3 AS DOUBLE)) AS BIGINT) END "
+            f"AS est_tokens")
+
+
+def _truthy_sql(*cols: str) -> str:
+    return "(" + " AND ".join(f"{c} IS NOT NULL AND {c} <> ''" for c in cols) + ")"
+
+
+def _chat_inputs(spark, d):
+    """User turns are questions; the posting is the document with the conversation's id; the
+    resume is the user's profile text (a string, kept as is)."""
+    v = Views(spark, d)
+    q_ = v.raw("conversations").where(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("question"))
+    docs = v.raw("documents").select(F.col("doc_id").alias("conv_id"), F.col("text").alias("job_description"))
+    res = v.users.select(F.col("id").alias("conv_id"), F.col("full_name").alias("resume"))
+    return q_.join(docs, "conv_id", "left").join(res, "conv_id", "left")
+
+
+@query("prompt_chat", None)
+def q_prompt_chat(spark, d):
+    r = _chat_inputs(spark, d)
+    cols = {k: F.col(k) for k in ("question", "job_description", "resume")}
+    return textgen.build_prompts(r, "chat", ["conv_id", "turn"], cols, cols)
+
+
+def _chat_sql() -> str:
+    from ..functions import prompt_texts as P
+    p = (f"{q(P.CHAT_SYSTEM + chr(10) + chr(10) + 'Job Description:' + chr(10))} || d.text || "
+         f"{q(chr(10) + chr(10) + 'Candidate Resume (JSON):' + chr(10))} || u.full_name || "
+         f"{q(chr(10) + chr(10) + 'User Question:' + chr(10))} || c.text")
+    ok = _truthy_sql("c.text", "d.text", "u.full_name")
+    return f"""
+SELECT c.conv_id, c.turn, {_prompt_stats_sql(p, ok)}
+FROM conversations c LEFT JOIN documents d ON d.doc_id = c.conv_id LEFT JOIN users u ON u.id = c.conv_id
+WHERE c.role = 'user'"""
+
+
+QUERIES["prompt_chat"] = (q_prompt_chat, with_views(_chat_sql(), "users"))
+
+
+def _resume_json(c_email, c_name, c_seg) -> F.Column:
+    return F.to_json(F.struct(c_name.alias("name"), c_email.alias("email"), c_seg.alias("segment")))
+
+
+@query("prompt_cover_letter", None)
+def q_prompt_cover_letter(spark, d):
+    v = Views(spark, d)
+    docs = v.raw("documents").select("doc_id", F.col("text").alias("job_description"))
+    cust = v.raw("customer").select(F.col("c_custkey").alias("doc_id"), "c_name", "c_mktsegment")
+    users = v.users.select(F.col("id").alias("doc_id"), "email")
+    r = docs.join(cust, "doc_id", "left").join(users, "doc_id", "left")
+    resume = F.when(F.col("c_name").isNotNull(), _resume_json(F.col("email"), F.col("c_name"), F.col("c_mktsegment")))
+    r = r.withColumn("resume_json", resume)
+    req = {"job_description": F.col("job_description"), "resume_json": F.col("resume_json")}
+    return textgen.build_prompts(r, "coverletter", ["doc_id"], req, req)
+
+
+def _cover_sql() -> str:
+    from ..functions import prompt_texts as P
+    rj = ("CASE WHEN c.c_name IS NOT NULL THEN '{\"name\":' || to_json(c.c_name) || ',\"email\":' || to_json(u.email) "
+          "|| ',\"segment\":' || to_json(c.c_mktsegment) || '}' END")
+    p = (f"{q(P.COVERLETTER_SYSTEM + chr(10) + ' Job Description:' + chr(10))} || d.text || "
+         f"{q(chr(10) + chr(10) + 'resume:' + chr(10))} || ({rj}) || {q(chr(10) + chr(10) + 'Response Format:' + P.COVERLETTER_SCHEMA)}")
+    ok = f"(d.text IS NOT NULL AND d.text <> '' AND ({rj}) IS NOT NULL)"
+    return f"""
+SELECT d.doc_id, {_prompt_stats_sql(p, ok)}
+FROM documents d LEFT JOIN customer c ON c.c_custkey = d.doc_id LEFT JOIN users u ON u.id = d.doc_id"""
+
+
+QUERIES["prompt_cover_letter"] = (q_prompt_cover_letter, with_views(_cover_sql(), "users"))
+
+
+@query("prompt_resume_parse", None)
+def q_prompt_resume_parse(spark, d):
+    from ..functions.text import js_trim
+    docs = Views(spark, d).raw("documents").select("doc_id", F.col("text").alias("resume_text"))
+    req = {"resume_text": js_trim(F.col("resume_text"))}
+    return textgen.build_prompts(docs, "upload_resume", ["doc_id"], req, {"resume_text": F.col("resume_text")})
+
+
+def _resume_parse_sql() -> str:
+    from ..functions import prompt_texts as P
+    p = (f"{q(P.RESUME_SYSTEM + chr(10) + ' Candidate resume: ')} || text || "
+         f"{q(chr(10) + ' Experience Schema: ' + P.EXPERIENCE_SCHEMA + ' and arrange all information in this format Resume Schema: ' + P.RESUME_SCHEMA)}")
+    ok = f"(text IS NOT NULL AND {trim_sql('text')} <> '')"
+    return f"SELECT doc_id, {_prompt_stats_sql(p, ok)} FROM documents"
+
+
+QUERIES["prompt_resume_parse"] = (q_prompt_resume_parse, _resume_parse_sql())
