@@ -143,3 +143,13 @@ def csv_cell(c) -> Column:
     return (F.when(s.isNull(), F.lit(""))
             .when(s.rlike('[",\n]'), F.concat(F.lit('"'), F.replace(s, F.lit('"'), F.lit('""')), F.lit('"')))
             .otherwise(s))
+
+
+def duration_ms(start, end) -> "Column":
+    """Milliseconds between two timestamps (end - start)."""
+    return F.timestamp_diff("MILLISECOND", _c(start), _c(end))
+
+
+def iso_text(ts) -> "Column":
+    """ISO-8601 text with milliseconds and a Z suffix, as ``Date.toISOString()`` prints it."""
+    return F.date_format(_c(ts), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")

@@ -37,12 +37,17 @@ def canonical(skills: DataFrame, dictionary: DataFrame) -> DataFrame:
 
 
 def validate_skill_array(arr: Column) -> Column:
-    """No-dictionary form on an array column: drop empties, trim, keep first per normal form."""
+    """No-dictionary form on an array column: drop empties, trim, keep the first item per
+    normal form, in input order. Sort-based (n log n): sort by (normal form, position),
+    keep each run's head, restore input order."""
     a = F.filter(arr, lambda x: x.isNotNull() & (x != ""))
-    keep = F.filter(F.transform(a, lambda x, i: F.struct(x.alias("v"), i.alias("i"))),
-                    lambda s: ~F.exists(F.slice(a, F.lit(1), s["i"]),
-                                        lambda y: normalize_skill(y) == normalize_skill(s["v"])))
-    return F.transform(keep, lambda s: js_trim(s["v"]))
+    tagged = F.transform(a, lambda x, i: F.struct(normalize_skill(x).alias("n"), i.alias("i"), js_trim(x).alias("v")))
+
+    def heads(srt):
+        firsts = F.filter(srt, lambda e, j: (j == 0) | (F.get(srt, j - 1)["n"] != e["n"]))
+        back = F.array_sort(F.transform(firsts, lambda e: F.struct(e["i"].alias("i"), e["v"].alias("v"))))
+        return F.transform(back, lambda e: e["v"])
+    return F.get(F.transform(F.array(F.array_sort(tagged)), heads), 0)
 
 
 def flat_skills(skills: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ prompt table, job 2 reads replies and parses / measures them.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import prompt_texts as P
@@ -51,19 +51,32 @@ def prompt(kind: str, **cols: Column) -> Column:
     raise ValueError(f"unknown prompt kind {kind!r}")
 
 
-def keyword_prompts(postings: DataFrame, skills: DataFrame) -> DataFrame:
+# Request bodies above this size are refused by the service (413), so no prompt is built.
+BODY_LIMIT_BYTES = 10 * 1024 * 1024
+
+
+def keyword_prompts(postings: DataFrame, skills: DataFrame, body_limit: int = BODY_LIMIT_BYTES) -> DataFrame:
     """Keyword-comparison prompts: one per posting whose candidate sent a skills list.
 
-    ``skills`` is long (owner_id, pos, skill); a candidate's list is one request
-    body (bounded by the 10 MB body limit), so regrouping it by owner is bounded.
+    ``skills`` is long (owner_id, pos, skill). A list is one request body, so a list
+    whose JSON exceeds the body limit is refused (status ``too_large``) instead of
+    being gathered: sizes are summed first (map-side combinable) and only lists
+    within the limit are regrouped, so no task ever holds an unbounded group.
     """
-    lists = skills.groupBy("owner_id").agg(
+    sizes = skills.groupBy("owner_id").agg(
+        (F.sum(F.octet_length(F.to_json(F.array("skill"))) - 1) + 1).alias("json_bytes"))
+    fits = sizes.where(F.col("json_bytes") <= body_limit).select("owner_id")
+    lists = skills.join(fits, "owner_id", "left_semi").groupBy("owner_id").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("pos", "skill"))), lambda s: s["skill"]).alias("skills"))
-    j = spread_for_cpu(postings, "doc_id").join(lists, postings.doc_id == lists.owner_id, "left")
+    big = sizes.where(F.col("json_bytes") > body_limit).select("owner_id", F.lit(True).alias("too_large"))
+    j = (spread_for_cpu(postings, "doc_id")
+         .join(lists, postings.doc_id == lists.owner_id, "left").drop("owner_id")
+         .join(big, postings.doc_id == big.owner_id, "left"))
     ok = F.col("text").isNotNull() & (F.col("text") != "") & F.col("skills").isNotNull()
     p = F.when(ok, prompt("keywords", job_description=F.col("text"), skills=F.col("skills")))
     st = text_stats(p)
-    return j.select("doc_id", F.when(ok, "ok").otherwise("rejected").alias("status"), p.alias("prompt"),
+    status = F.when(ok, "ok").when(F.coalesce(F.col("too_large"), F.lit(False)), "too_large").otherwise("rejected")
+    return j.select("doc_id", status.alias("status"), p.alias("prompt"),
                     F.when(ok, st["chars"]).alias("chars"), F.when(ok, st["words"]).alias("words"),
                     F.when(ok, st["est_tokens"]).alias("est_tokens"))
 
@@ -113,10 +126,10 @@ def token_metrics(calls: DataFrame) -> DataFrame:
 
 
 def stage_share(parts: DataFrame, part_col: str, key_col: str) -> DataFrame:
-    """Share (%) of each part in the total. ``parts`` must already be aggregated
-    (one row per key, e.g. per service), so the global window sees few rows."""
-    total = F.sum(F.col(part_col)).over(Window.partitionBy())
-    return parts.select(key_col, part_col, total.alias("total"),
+    """Share (%) of each part in the total. The total is a scalar subquery (one
+    aggregate, computed once), so no task has to see all parts together."""
+    total = parts.select(F.sum(F.col(part_col))).scalar()
+    return parts.select(key_col, part_col, total.cast("bigint").alias("total"),
                         _round_half_up(F.col(part_col) * 100, total, 1).alias("share_pct"))
 
 

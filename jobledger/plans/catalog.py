@@ -1134,3 +1134,33 @@ def _resume_parse_sql() -> str:
 
 
 QUERIES["prompt_resume_parse"] = (q_prompt_resume_parse, _resume_parse_sql())
+
+
+@query("prompt_experience", None)
+def q_prompt_experience(spark, d):
+    """Experience rewrite prompts: the posting plus the candidate's experience list, built
+    from the candidate's own customer row (one entry per candidate, no grouping)."""
+    v = Views(spark, d)
+    docs = v.raw("documents").select("doc_id", F.col("text").alias("job_description"))
+    cust = v.raw("customer").select(
+        F.col("c_custkey").alias("doc_id"),
+        F.to_json(F.array(F.struct(F.col("c_name").alias("company"), F.col("c_mktsegment").alias("position"),
+                                   F.array("c_mktsegment", "c_name").alias("description")))).alias("experience_json"))
+    r = docs.join(cust, "doc_id", "left")
+    req = {"job_description": F.col("job_description"), "experience_json": F.col("experience_json")}
+    return textgen.build_prompts(r, "experience", ["doc_id"], req, req)
+
+
+def _experience_sql() -> str:
+    from ..functions import prompt_texts as P
+    ej = ("CASE WHEN c.c_custkey IS NOT NULL THEN '[{\"company\":' || to_json(c.c_name) || ',\"position\":' "
+          "|| to_json(c.c_mktsegment) || ',\"description\":[' || to_json(c.c_mktsegment) || ',' || to_json(c.c_name) "
+          "|| ']}]' END")
+    p = (f"{q(P.EXPERIENCE_SYSTEM + chr(10) + ' Job Description:' + chr(10))} || d.text || "
+         f"{q(chr(10) + ' Experience:' + chr(10))} || ({ej}) || {q(chr(10) + 'Response Format:' + P.EXPERIENCE_SCHEMA)}")
+    ok = f"(d.text IS NOT NULL AND d.text <> '' AND ({ej}) IS NOT NULL)"
+    return f"""
+SELECT d.doc_id, {_prompt_stats_sql(p, ok)} FROM documents d LEFT JOIN customer c ON c.c_custkey = d.doc_id"""
+
+
+QUERIES["prompt_experience"] = (q_prompt_experience, _experience_sql())

@@ -126,3 +126,11 @@ def test_status_for_code(spark):
     out = evaluate(spark, lambda d: rules.status_for_code(F.col("c"), F.col("s")),
                    [("AI_TIMEOUT", None), ("NOPE", None), ("NOT_FOUND", 418)], "c string, s int")
     assert out == [504, 500, 418]
+
+
+def test_dates(spark):
+    import datetime as dt
+    df = spark.createDataFrame([(dt.datetime(2024, 1, 1, 0, 0, 0), dt.datetime(2024, 1, 1, 0, 0, 1, 250000))],
+                               "a timestamp_ntz, b timestamp_ntz")
+    r = df.select(text.duration_ms("a", "b").alias("ms"), text.iso_text("b").alias("iso")).first()
+    assert r.ms == 1250 and r.iso == "2024-01-01T00:00:01.250Z"

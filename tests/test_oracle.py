@@ -25,3 +25,16 @@ def test_flagship_value(spark, name):
     import __spark_entry__ as E
     # hand-checked by running the raw rolling-count SQL over the adapter view
     assert E.queries()[name](spark, SF_SMALL).collect()[0].n == 360
+
+
+def test_survey_cross_check_numbers(spark):
+    """Counts recorded independently in SURVEY §5 for first drafts of these queries (sf0.01)."""
+    import __spark_entry__ as E
+    from conftest import SF_CHECK
+    Q = E.queries()
+    codes = {r.code: r["count"] for r in Q["key_status"](spark, SF_CHECK).groupBy("code").count().collect()}
+    assert codes == {"OK": 989, "API_KEY_INACTIVE": 256, "USER_DELETED": 88, "USER_NOT_VERIFIED": 88, "DATA_ERROR": 79}
+    assert Q["usage_rolling"](spark, SF_CHECK).first().n == 3761
+    assert Q["usage_daily"](spark, SF_CHECK).count() == 3482
+    assert Q["skills_canonical"](spark, SF_CHECK).count() == 6500
+    assert Q["contact_links"](spark, SF_CHECK).count() == 142

@@ -53,3 +53,28 @@ def test_skills_canonical_golden(spark):
     dct = skills.build_dict(Views(spark, SF_SMALL).skill_dict)
     got = [r.skill for r in skills.canonical(raw, dct).orderBy("pos").collect()]
     assert got == ["Node.js", "C++", "Rust", "***"]
+
+
+def test_keyword_prompts_refuse_oversize_lists(spark):
+    from jobledger.operators import textgen
+    posts = spark.createDataFrame([(1, "job text"), (2, "job text"), (3, "")], "doc_id long, text string")
+    sk = spark.createDataFrame([(1, i, f"skill{i}") for i in range(50)] + [(2, 0, "SQL")],
+                               "owner_id long, pos int, skill string")
+    got = {r.doc_id: r.status for r in textgen.keyword_prompts(posts, sk, body_limit=100).collect()}
+    assert got == {1: "too_large", 2: "ok", 3: "rejected"}
+    ok = textgen.keyword_prompts(posts, sk).where("doc_id = 1").first()
+    assert ok.status == "ok" and '"skill49"]' in ok.prompt
+
+
+def test_hot_key_dedup_and_topk(spark):
+    """One key holding most rows: aggregate-based dedup and limited top-k stay exact."""
+    from pyspark.sql import functions as F
+    from jobledger.operators.common import first_per, top_k_per_group
+    rows = [(1, i, f"r{i}") for i in range(5000)] + [(k, 0, f"c{k}") for k in range(2, 200)]
+    df = spark.createDataFrame(rows, "k long, o long, v string").repartition(8)
+    f = {r.k: r.v for r in first_per(df, ["k"], ["o"]).collect()}
+    assert f[1] == "r0" and len(f) == 199
+    last = {r.k: r.v for r in first_per(df, ["k"], ["o"], last=True).collect()}
+    assert last[1] == "r4999"
+    top = top_k_per_group(df, ["k"], [F.col("o").desc()], 3).where("k = 1").orderBy("o").collect()
+    assert [r.o for r in top] == [4997, 4998, 4999]
