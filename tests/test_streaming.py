@@ -45,3 +45,33 @@ def test_quota_stream_equals_batch(spark):
     got = spark.sql("SELECT user_id, day, max(used) AS used FROM quota_st2 GROUP BY user_id, day").collect()
     batch = usage.usage_daily(audit_log_from(spark.read.parquet(src))).select("user_id", "day", "used").collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, batch))
+
+
+def test_quota_stream_drops_late_calls(spark):
+    """Lateness rule: a call older than the watermark (max event time - 1 day) is not counted."""
+    import datetime as dt
+    tmp = tempfile.mkdtemp(prefix="jl-late-")
+    src = os.path.join(tmp, "events")
+    schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+
+    def put(rows, name):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("overwrite").parquet(os.path.join(tmp, name))
+        part = [f for f in os.listdir(os.path.join(tmp, name)) if f.endswith(".parquet")][0]
+        os.makedirs(src, exist_ok=True)
+        shutil.copy(os.path.join(tmp, name, part), os.path.join(src, f"{name}.parquet"))
+
+    day = lambda d, h=12: dt.datetime(2024, 1, d, h)
+    # event_id values avoid the view's null-user / deleted shaping (multiples of 11 and 17)
+    put([(1, day(1), 5, "view", 1.0, "{}"), (2, day(3), 5, "view", 1.0, "{}")], "b1")
+    stream = spark.readStream.schema(schema).parquet(src)
+    q = (quota_stream(audit_log_from(stream)).writeStream.outputMode("update").format("memory")
+         .queryName("quota_late").option("checkpointLocation", f"{tmp}/ckpt").start())
+    try:
+        q.processAllAvailable()
+        put([(3, day(1, 13), 5, "view", 1.0, "{}"), (4, day(3, 13), 5, "view", 1.0, "{}")], "b2")
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    got = {r.day.day: r.used for r in spark.sql(
+        "SELECT day, max(used) AS used FROM quota_late GROUP BY day").collect()}
+    assert got == {1: 1, 3: 2}
