@@ -113,3 +113,26 @@ def newest_first(jobs: DataFrame, user_id=None) -> DataFrame:
     if user_id is not None:
         jobs = jobs.where(F.col("user_id") == F.lit(user_id))
     return jobs.orderBy(F.col("user_id"), F.col("applied_date").desc(), F.col("id").desc())
+
+
+def replay_changes(table: DataFrame, steps, checkpoint_every: int = 4,
+                   as_of: Column | None = None, order: tuple[str, ...] = ("sub_id",)) -> DataFrame:
+    """Apply a sequence of change batches in order: ("status", df) | ("delete", df) | ("insert", df).
+
+    Each step builds on the previous table, so the plan grows with the number of
+    steps; every ``checkpoint_every`` steps the table is checkpointed into the
+    cluster's ``spark.checkpoint.dir`` (reliable storage, survives executor loss).
+    """
+    from ..session import cut_lineage
+    for n, (kind, batch) in enumerate(steps, start=1):
+        if kind == "status":
+            table = set_status(table, batch)
+        elif kind == "delete":
+            table = delete_jobs(table, batch)
+        elif kind == "insert":
+            table = merge_jobs(table, batch, as_of, order=order)[0].drop("origin")
+        else:
+            raise ValueError(f"unknown change kind {kind!r}")
+        if checkpoint_every and n % checkpoint_every == 0:
+            table = cut_lineage(table)
+    return table

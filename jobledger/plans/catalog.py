@@ -1164,3 +1164,28 @@ SELECT d.doc_id, {_prompt_stats_sql(p, ok)} FROM documents d LEFT JOIN customer
 
 
 QUERIES["prompt_experience"] = (q_prompt_experience, _experience_sql())
+
+
+@query("jobs_replay", f"""
+WITH s1 AS (
+  SELECT j.id, j.user_id, j.title, j.url, coalesce(c.status, j.status) AS status, j.applied_date
+  FROM applied_jobs j LEFT JOIN (
+    SELECT id, user_id, max(status) AS status FROM job_changes WHERE status IS NOT NULL AND status <> ''
+    GROUP BY id, user_id) c ON c.id = j.id AND c.user_id = j.user_id),
+s2 AS (SELECT * FROM s1 WHERE NOT EXISTS (
+  SELECT 1 FROM job_changes c WHERE c.status = 'Rejected' AND c.id = s1.id AND c.user_id = s1.user_id)),
+v AS ({_VALID}),
+f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id, url ORDER BY {_ARRIVAL_SQL}) AS rn FROM v) WHERE rn = 1),
+n AS (SELECT * FROM f WHERE NOT EXISTS (SELECT 1 FROM s2 WHERE s2.user_id = f.user_id AND s2.url = f.url))
+SELECT id, user_id, title, url, status, applied_date FROM s2
+UNION ALL
+SELECT sub_id, user_id, title, url, 'Applied', coalesce(applied_date, TIMESTAMP '{AS_OF}') FROM n""",
+       ("job_changes", "applied_jobs", "job_submissions"))
+def q_jobs_replay(spark, d):
+    """Status changes, then deletes (changes to 'Rejected'), then new submissions, with a
+    checkpoint after the second step."""
+    v = Views(spark, d)
+    steps = [("status", v.job_changes), ("delete", v.job_changes.where(F.col("status") == "Rejected")),
+             ("insert", v.job_submissions)]
+    t = jobs.replay_changes(v.applied_jobs, steps, checkpoint_every=2, as_of=_as_of(), order=ARRIVAL)
+    return t.select(*_JOB_COLS)

@@ -50,14 +50,22 @@ def start_audit_stream(requests: DataFrame, table_path: str, alerts_path: str, c
     return w.start()
 
 
+def _utc_instant(ntz):
+    """The instant whose UTC wall clock equals a zone-free timestamp (session-zone independent)."""
+    return F.make_timestamp_ltz(F.year(ntz), F.month(ntz), F.dayofmonth(ntz), F.hour(ntz), F.minute(ntz),
+                                F.date_part(F.lit("SECOND"), ntz), F.lit("UTC"))
+
+
 def quota_stream(requests: DataFrame, watermark: str = "1 day", limit: int = usage.DAILY_LIMIT,
                  exclude: str | None = None) -> DataFrame:
-    """Daily quota per user as a windowed streaming aggregate (append mode emits closed days)."""
+    """Daily quota per user as a windowed streaming aggregate (append mode emits closed days).
+
+    Windows align to UTC days; the zone-free ``created_at`` is read as UTC, so the
+    days match the batch ``usage_daily`` whatever the session time zone is.
+    """
     calls = usage.api_calls(requests, exclude).where(F.col("user_id").isNotNull())
-    # event-time windows need TIMESTAMP (with zone); the stored column is zone-free
-    calls = calls.withColumn("event_time", F.col("created_at").cast("timestamp"))
+    calls = calls.withColumn("event_time", _utc_instant(F.col("created_at")))
     counted = (calls.withWatermark("event_time", watermark)
                .groupBy(F.window("event_time", "1 day"), "user_id")
-               .agg(F.count(F.lit(1)).alias("used")))
-    return counted.select("user_id", F.col("window.start").cast("timestamp_ntz").alias("day"), "used",
-                          *usage.quota(F.col("used"), limit))
+               .agg(F.count(F.lit(1)).alias("used"), F.min(usage.day_of(F.col("created_at"))).alias("day")))
+    return counted.select("user_id", "day", "used", *usage.quota(F.col("used"), limit))

@@ -75,3 +75,25 @@ def test_quota_stream_drops_late_calls(spark):
     got = {r.day.day: r.used for r in spark.sql(
         "SELECT day, max(used) AS used FROM quota_late GROUP BY day").collect()}
     assert got == {1: 1, 3: 2}
+
+
+def test_results_do_not_depend_on_session_zone(spark):
+    """Zone-free inputs: batch days, the flagship and the stream give the same answer in any session zone."""
+    import __spark_entry__ as E
+    base = {q: sorted(map(tuple, E.queries()[q](spark, SF_SMALL).collect())) for q in ("usage_daily", "usage_rolling")}
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+    try:
+        for q, rows in base.items():
+            assert sorted(map(tuple, E.queries()[q](spark, SF_SMALL).collect())) == rows, q
+        tmp = tempfile.mkdtemp(prefix="jl-tz-")
+        stream, src = _events_stream(spark, tmp)
+        agg = quota_stream(audit_log_from(stream))
+        qr = (agg.writeStream.outputMode("update").format("memory").queryName("quota_tz")
+              .option("checkpointLocation", f"{tmp}/ckpt").trigger(availableNow=True).start())
+        qr.awaitTermination(300)
+        got = spark.sql("SELECT user_id, day, max(used) AS used FROM quota_tz GROUP BY user_id, day").collect()
+        batch = [(r[0], r[1], r[2]) for r in base["usage_daily"]]
+        assert sorted(map(tuple, got)) == sorted(batch)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
