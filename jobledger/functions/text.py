@@ -127,8 +127,8 @@ def text_stats(c) -> Column:
     est_tokens = ceil(words * 1.3) in double arithmetic, like JavaScript.
     """
     c = _c(c)
-    chars = F.length(c)
-    words = F.size(js_split_ws(c))
+    chars = F.length(c).cast("bigint")
+    words = F.size(js_split_ws(c)).cast("bigint")
     return F.struct(
         chars.alias("chars"),
         words.alias("words"),

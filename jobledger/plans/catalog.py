@@ -786,7 +786,8 @@ WHERE rn <= CASE kind WHEN 'hr_linkedin' THEN 3 ELSE 1 END"""
 
 @query("contact_links", _LINKS, ("search_hits",))
 def q_contact_links(spark, d):
-    return contacts.contact_links(Views(spark, d).search_hits).select("company", "kind", "rank", "hit_id", "link", "rn")
+    links = contacts.contact_links(Views(spark, d).search_hits)
+    return links.select("company", "kind", "rank", "hit_id", "link", F.col("rn").cast("bigint").alias("rn"))
 
 
 def _slug_sql(x: str) -> tuple[str, str]:
