@@ -90,7 +90,7 @@ def build_prompts(requests: DataFrame, kind: str, keys: list[str], required: dic
         ok = ok & c.isNotNull() & (c.cast("string") != "")
     p = F.when(ok, prompt(kind, **inputs))
     st = text_stats(p)
-    return requests.select(*keys, F.when(ok, "ok").otherwise("rejected").alias("status"), p.alias("prompt"),
+    return spread_for_cpu(requests, keys[0]).select(*keys, F.when(ok, "ok").otherwise("rejected").alias("status"), p.alias("prompt"),
                            F.when(ok, st["chars"]).alias("chars"), F.when(ok, st["words"]).alias("words"),
                            F.when(ok, st["est_tokens"]).alias("est_tokens"))
 
