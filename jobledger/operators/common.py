@@ -1,11 +1,10 @@
 """Shared set-wise building blocks, written to survive skewed keys.
 
-* ``first_per`` picks one row per key with ``min_by``/``max_by`` over a struct:
-  an aggregate with a map-side partial step, so a key holding a third of all
-  rows is reduced inside every map task before the shuffle.
 * ``top_k_per_group`` filters ``row_number() <= k`` with a literal bound, which
   lets Spark insert a partial ``WindowGroupLimit`` below the shuffle (each map
   task keeps at most k rows per group); a per-row k is applied after that.
+* ``first_per`` is the k = 1 case (one row per key), so a key holding a third
+  of all rows is reduced inside every map task before the shuffle.
 * ``broadcast_if_small`` broadcasts only after a bounded row count proves the
   side small; otherwise the join is left to the planner / AQE.
 """
@@ -20,12 +19,16 @@ from pyspark.sql import functions as F
 
 def first_per(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], *,
               last: bool = False) -> DataFrame:
-    """One row per ``keys``: the row with the smallest (``last``: largest) ``order`` tuple."""
-    rest = [c for c in df.columns if c not in keys]
-    packed = F.struct(*[F.col(c) for c in rest])
-    ordering = F.struct(*[F.col(o) if isinstance(o, str) else o for o in order])
-    pick = F.max_by(packed, ordering) if last else F.min_by(packed, ordering)
-    return df.groupBy(*keys).agg(pick.alias("_row")).select(*keys, *[F.col(f"_row.{c}").alias(c) for c in rest])
+    """One row per ``keys``: the row with the smallest (``last``: largest) ``order`` tuple.
+
+    ``row_number() <= 1`` with a literal bound: Spark plans a partial
+    ``WindowGroupLimit`` below the shuffle, so each map task forwards at most one
+    row per key and a key holding a third of all rows is reduced before the
+    exchange. Nulls order lowest (first ascending, last descending).
+    """
+    cols = [F.col(o) if isinstance(o, str) else o for o in order]
+    ordering = [c.desc_nulls_last() if last else c.asc_nulls_first() for c in cols]
+    return top_k_per_group(df, keys, ordering, 1)
 
 
 def top_k_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k_max: int,
