@@ -310,10 +310,6 @@ def parse_response(body: str) -> Column:
             .otherwise(json_quote(F.substring(c, 1, MAX_RAW_RESPONSE))))
 
 
-def _top_string(body: Column) -> Column:
-    return F.try_variant_get(F.try_parse_json(body), "$", "string")
-
-
 # --- request summary and response shape -------------------------------------
 
 def request_summary(body, api_key_header=None) -> Column:

@@ -78,13 +78,35 @@ def present_missing(required: DataFrame, held: DataFrame) -> tuple[DataFrame, Da
             required.join(h, ["doc_id", "term"], "left_anti"))
 
 
+def canonical_arrays(df: DataFrame, key: str, col: str, dictionary: DataFrame) -> DataFrame:
+    """Dictionary validation of an array column, one list per ``key`` (unique per row).
+
+    Explode with positions, canonicalise with the (size-checked, broadcast) dictionary,
+    regroup in order. A list is one request body, so the regroup is bounded.
+    """
+    long = df.select(F.col(key).alias("owner_id"), F.posexplode(col).alias("pos", "skill"))
+    canon = canonical(long, dictionary)
+    back = canon.groupBy("owner_id").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("pos", "skill"))), lambda s: s["skill"]).alias("_canon"))
+    out = df.join(back, df[key] == back.owner_id, "left").drop("owner_id")
+    return out.withColumn(col, F.when(F.col(col).isNull(), F.lit(None))
+                          .otherwise(F.coalesce(F.col("_canon"), F.array().cast("array<string>")))).drop("_canon")
+
+
 def upsert_skills(table: DataFrame, incoming: DataFrame, full: bool = True,
-                  order: tuple[str, ...] = ("updated_at", "save_id")) -> DataFrame:
-    """Latest incoming record per user, then full-outer merge on user_id.
+                  order: tuple[str, ...] = ("updated_at", "save_id"),
+                  dictionary: DataFrame | None = None) -> DataFrame:
+    """Validate incoming lists, take the latest record per user, then full-outer merge on user_id.
 
+    Validation is the service's: trim, drop empties, first item per normal form,
+    dictionary names when a dictionary is given (``save_id`` keys the lists).
     full: a matched row takes every new field (absent display fields become null);
     partial: only ``skills`` (and updated_at) are replaced, other fields kept.
     """
+    if dictionary is not None:
+        incoming = canonical_arrays(incoming, "save_id", "skills", dictionary)
+    else:
+        incoming = incoming.withColumn("skills", validate_skill_array(F.col("skills")))
     cols = ["skills", "skills_display_mode", "skills_line_time", "updated_at"]
     latest = first_per(incoming.select("user_id", *cols, *[c for c in order if c not in cols]),
                        ["user_id"], list(order), last=True)

@@ -78,3 +78,21 @@ def test_hot_key_dedup_and_topk(spark):
     assert last[1] == "r4999"
     top = top_k_per_group(df, ["k"], [F.col("o").desc()], 3).where("k = 1").orderBy("o").collect()
     assert [r.o for r in top] == [4997, 4998, 4999]
+
+
+def test_upsert_validates_skill_lists(spark):
+    import datetime as dt
+    from jobledger.operators import skills as S
+    t0 = dt.datetime(2024, 1, 1)
+    table = spark.createDataFrame([(1, ["Old"], "twoColumnar", "[]", t0)],
+                                  "user_id long, skills array<string>, skills_display_mode string, "
+                                  "skills_line_time string, updated_at timestamp_ntz")
+    inc = spark.createDataFrame([(1, [" nodejs ", "Node.js", "c++", "C", ""], None, None, t0, 7),
+                                 (2, ["Rust "], "lineTime", None, t0, 8)],
+                                "user_id long, skills array<string>, skills_display_mode string, "
+                                "skills_line_time string, updated_at timestamp_ntz, save_id long")
+    plain = {r.user_id: r.skills for r in S.upsert_skills(table, inc).collect()}
+    assert plain == {1: ["nodejs", "c++"], 2: ["Rust"]}
+    dct = S.build_dict(Views(spark, SF_SMALL).skill_dict)
+    canon = {r.user_id: r.skills for r in S.upsert_skills(table, inc, dictionary=dct).collect()}
+    assert canon == {1: ["Node.js", "C++"], 2: ["Rust"]}
