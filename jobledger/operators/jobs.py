@@ -17,6 +17,8 @@ from .common import first_per, spread_for_cpu
 REJECT_MISSING = "Title and URL are required"
 REJECT_TITLE = ("Invalid job title. The title appears to be navigation or button text, not an actual "
                 "job posting. Please ensure you are tracking an actual job posting.")
+REJECT_NO_STATUS = "Status is required"
+REJECT_NOT_FOUND = "Applied job not found"
 DEFAULT_STATUS = "Applied"
 DEFAULT_TYPE = "Website"
 JOB_KEY = ("user_id", "url")
@@ -92,6 +94,22 @@ def split_owned(changes: DataFrame, table: DataFrame) -> tuple[DataFrame, DataFr
     return changes.join(keys, ["id", "user_id"], "left_semi"), changes.join(keys, ["id", "user_id"], "left_anti")
 
 
+def change_outcomes(changes: DataFrame, table: DataFrame, kind: str = "status") -> DataFrame:
+    """Per change request: null reason when applied, else the service's message.
+
+    Status changes check the status first, then ownership; deletes check ownership.
+    Ownership is a left join flag on (id, user_id), so each change is one output row.
+    """
+    owned = table.select("id", "user_id").distinct().withColumn("_owned", F.lit(True))
+    j = changes.join(owned, ["id", "user_id"], "left")
+    found = F.coalesce(F.col("_owned"), F.lit(False))
+    reason = F.when(~found, F.lit(REJECT_NOT_FOUND))
+    if kind == "status":
+        reason = F.when(F.col("status").isNull() | (F.col("status") == ""), F.lit(REJECT_NO_STATUS)) \
+            .otherwise(reason)
+    return j.withColumn("reject_reason", reason).drop("_owned")
+
+
 def delete_jobs(table: DataFrame, changes: DataFrame) -> DataFrame:
     """Hard delete of rows named by (id, owner); other owners' requests change nothing."""
     return table.join(changes.select("id", "user_id"), ["id", "user_id"], "left_anti")

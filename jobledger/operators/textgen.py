@@ -51,8 +51,20 @@ def prompt(kind: str, **cols: Column) -> Column:
     raise ValueError(f"unknown prompt kind {kind!r}")
 
 
+# --- fixed values -----------------------------------------------------------
 # Request bodies above this size are refused by the service (413), so no prompt is built.
 BODY_LIMIT_BYTES = 10 * 1024 * 1024
+TOO_LARGE_MESSAGE = "request entity too large"
+# Validation message per request kind when a required field is missing.
+REQUIRED_MESSAGES = {
+    "chat": "Missing required fields: question, jobDescription, and resume are required",
+    "coverletter": "Missing required fields: jobDescription and resume are required",
+    "experience": "Missing required fields: jobDescription and experience are required",
+    "keywords": "Missing required fields: jobDescription and skills are required",
+    "upload_resume": "Empty resume text. Please provide valid resume content.",
+}
+NO_RESUME_MESSAGE = "No resume provided. Please provide resumeText."
+# ---------------------------------------------------------------------------
 
 
 def keyword_prompts(postings: DataFrame, skills: DataFrame, body_limit: int = BODY_LIMIT_BYTES) -> DataFrame:
@@ -75,22 +87,32 @@ def keyword_prompts(postings: DataFrame, skills: DataFrame, body_limit: int = BO
     ok = F.col("text").isNotNull() & (F.col("text") != "") & F.col("skills").isNotNull()
     p = F.when(ok, prompt("keywords", job_description=F.col("text"), skills=F.col("skills")))
     st = text_stats(p)
-    status = F.when(ok, "ok").when(F.coalesce(F.col("too_large"), F.lit(False)), "too_large").otherwise("rejected")
-    return j.select("doc_id", status.alias("status"), p.alias("prompt"),
+    large = F.coalesce(F.col("too_large"), F.lit(False))
+    status = F.when(ok, "ok").when(large, "too_large").otherwise("rejected")
+    reason = F.when(ok, F.lit(None).cast("string")).when(large, F.lit(TOO_LARGE_MESSAGE)) \
+        .otherwise(F.lit(REQUIRED_MESSAGES["keywords"]))
+    return j.select("doc_id", status.alias("status"), reason.alias("reject_reason"), p.alias("prompt"),
                     F.when(ok, st["chars"]).alias("chars"), F.when(ok, st["words"]).alias("words"),
                     F.when(ok, st["est_tokens"]).alias("est_tokens"))
 
 
 def build_prompts(requests: DataFrame, kind: str, keys: list[str], required: dict[str, Column],
-                  inputs: dict[str, Column]) -> DataFrame:
-    """Prompt rows for one request kind: ``status`` is ``rejected`` when a required
-    field is missing (falsy), else ``ok`` with the prompt text and its size stats."""
+                  inputs: dict[str, Column], missing_first: Column | None = None) -> DataFrame:
+    """Prompt rows for one request kind: ``status`` is ``rejected`` (with the service's
+    validation message) when a required field is missing (falsy), else ``ok`` with the
+    prompt text and its size stats. ``missing_first``: a condition checked before the
+    others, with its own message (resume upload: no text at all)."""
     ok = F.lit(True)
     for c in required.values():
         ok = ok & c.isNotNull() & (c.cast("string") != "")
     p = F.when(ok, prompt(kind, **inputs))
     st = text_stats(p)
-    return spread_for_cpu(requests, keys[0]).select(*keys, F.when(ok, "ok").otherwise("rejected").alias("status"), p.alias("prompt"),
+    reason = F.when(ok, F.lit(None).cast("string"))
+    if missing_first is not None:
+        reason = reason.when(missing_first, F.lit(NO_RESUME_MESSAGE))
+    reason = reason.otherwise(F.lit(REQUIRED_MESSAGES[kind]))
+    return spread_for_cpu(requests, keys[0]).select(*keys, F.when(ok, "ok").otherwise("rejected").alias("status"),
+                                                    reason.alias("reject_reason"), p.alias("prompt"),
                            F.when(ok, st["chars"]).alias("chars"), F.when(ok, st["words"]).alias("words"),
                            F.when(ok, st["est_tokens"]).alias("est_tokens"))
 

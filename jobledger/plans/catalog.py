@@ -868,9 +868,11 @@ def _kw_prompt_sql() -> str:
     ok = "d.text IS NOT NULL AND d.text <> '' AND l.skills_json IS NOT NULL"
     return f"""
 WITH l AS (SELECT owner_id, CAST(to_json(list(skill ORDER BY pos)) AS VARCHAR) AS skills_json FROM skills_raw GROUP BY owner_id),
-pr AS (SELECT d.doc_id, CASE WHEN {ok} THEN 'ok' ELSE 'rejected' END AS status, CASE WHEN {ok} THEN {p} END AS prompt
+pr AS (SELECT d.doc_id, CASE WHEN {ok} THEN 'ok' ELSE 'rejected' END AS status,
+              CASE WHEN {ok} THEN NULL ELSE {q(textgen.REQUIRED_MESSAGES['keywords'])} END AS reject_reason,
+              CASE WHEN {ok} THEN {p} END AS prompt
        FROM documents d LEFT JOIN l ON l.owner_id = d.doc_id)
-SELECT doc_id, status, prompt, length(prompt) AS chars, len(string_split_regex(prompt, '{WS}+')) AS words,
+SELECT doc_id, status, reject_reason, prompt, length(prompt) AS chars, len(string_split_regex(prompt, '{WS}+')) AS words,
        CAST(ceil(len(string_split_regex(prompt, '{WS}+')) * CAST(1.3 AS DOUBLE)) AS BIGINT) AS est_tokens
 FROM pr"""
 
@@ -1042,8 +1044,9 @@ def q_client_ips(spark, d):
 
 # --- more prompt kinds -----------------------------------------------------------
 
-def _prompt_stats_sql(p: str, ok: str) -> str:
-    return (f"CASE WHEN {ok} THEN 'ok' ELSE 'rejected' END AS status, CASE WHEN {ok} THEN {p} END AS prompt, "
+def _prompt_stats_sql(p: str, ok: str, reason: str) -> str:
+    return (f"CASE WHEN {ok} THEN 'ok' ELSE 'rejected' END AS status, "
+            f"CASE WHEN {ok} THEN NULL ELSE {reason} END AS reject_reason, CASE WHEN {ok} THEN {p} END AS prompt, "
             f"CASE WHEN {ok} THEN length({p}) END AS chars, "
             f"CASE WHEN {ok} THEN len(string_split_regex({p}, '{WS}+')) END AS words, "
             f"CASE WHEN {ok} THEN CAST(ceil(len(string_split_regex({p}, '{WS}+')) * CAST(1.3 AS DOUBLE)) AS BIGINT) END "
@@ -1078,7 +1081,7 @@ def _chat_sql() -> str:
          f"{q(chr(10) + chr(10) + 'User Question:' + chr(10))} || c.text")
     ok = _truthy_sql("c.text", "d.text", "u.full_name")
     return f"""
-SELECT c.conv_id, c.turn, {_prompt_stats_sql(p, ok)}
+SELECT c.conv_id, c.turn, {_prompt_stats_sql(p, ok, q(textgen.REQUIRED_MESSAGES['chat']))}
 FROM conversations c LEFT JOIN documents d ON d.doc_id = c.conv_id LEFT JOIN users u ON u.id = c.conv_id
 WHERE c.role = 'user'"""
 
@@ -1111,7 +1114,7 @@ def _cover_sql() -> str:
          f"{q(chr(10) + chr(10) + 'resume:' + chr(10))} || ({rj}) || {q(chr(10) + chr(10) + 'Response Format:' + P.COVERLETTER_SCHEMA)}")
     ok = f"(d.text IS NOT NULL AND d.text <> '' AND ({rj}) IS NOT NULL)"
     return f"""
-SELECT d.doc_id, {_prompt_stats_sql(p, ok)}
+SELECT d.doc_id, {_prompt_stats_sql(p, ok, q(textgen.REQUIRED_MESSAGES['coverletter']))}
 FROM documents d LEFT JOIN customer c ON c.c_custkey = d.doc_id LEFT JOIN users u ON u.id = d.doc_id"""
 
 
@@ -1123,7 +1126,8 @@ def q_prompt_resume_parse(spark, d):
     from ..functions.text import js_trim
     docs = Views(spark, d).raw("documents").select("doc_id", F.col("text").alias("resume_text"))
     req = {"resume_text": js_trim(F.col("resume_text"))}
-    return textgen.build_prompts(docs, "upload_resume", ["doc_id"], req, {"resume_text": F.col("resume_text")})
+    return textgen.build_prompts(docs, "upload_resume", ["doc_id"], req, {"resume_text": F.col("resume_text")},
+                                 missing_first=F.col("resume_text").isNull())
 
 
 def _resume_parse_sql() -> str:
@@ -1131,7 +1135,8 @@ def _resume_parse_sql() -> str:
     p = (f"{q(P.RESUME_SYSTEM + chr(10) + ' Candidate resume: ')} || text || "
          f"{q(chr(10) + ' Experience Schema: ' + P.EXPERIENCE_SCHEMA + ' and arrange all information in this format Resume Schema: ' + P.RESUME_SCHEMA)}")
     ok = f"(text IS NOT NULL AND {trim_sql('text')} <> '')"
-    return f"SELECT doc_id, {_prompt_stats_sql(p, ok)} FROM documents"
+    reason = f"CASE WHEN text IS NULL THEN {q(textgen.NO_RESUME_MESSAGE)} ELSE {q(textgen.REQUIRED_MESSAGES['upload_resume'])} END"
+    return f"SELECT doc_id, {_prompt_stats_sql(p, ok, reason)} FROM documents"
 
 
 QUERIES["prompt_resume_parse"] = (q_prompt_resume_parse, _resume_parse_sql())
@@ -1161,7 +1166,8 @@ def _experience_sql() -> str:
          f"{q(chr(10) + ' Experience:' + chr(10))} || ({ej}) || {q(chr(10) + 'Response Format:' + P.EXPERIENCE_SCHEMA)}")
     ok = f"(d.text IS NOT NULL AND d.text <> '' AND ({ej}) IS NOT NULL)"
     return f"""
-SELECT d.doc_id, {_prompt_stats_sql(p, ok)} FROM documents d LEFT JOIN customer c ON c.c_custkey = d.doc_id"""
+SELECT d.doc_id, {_prompt_stats_sql(p, ok, q(textgen.REQUIRED_MESSAGES['experience']))}
+FROM documents d LEFT JOIN customer c ON c.c_custkey = d.doc_id"""
 
 
 QUERIES["prompt_experience"] = (q_prompt_experience, _experience_sql())
@@ -1190,3 +1196,15 @@ def q_jobs_replay(spark, d):
              ("insert", v.job_submissions)]
     t = jobs.replay_changes(v.applied_jobs, steps, checkpoint_every=2, as_of=_as_of(), order=ARRIVAL)
     return t.select(*_JOB_COLS)
+
+
+@query("status_change_outcomes", f"""
+SELECT c.id, c.user_id, c.status,
+  CASE WHEN c.status IS NULL OR c.status = '' THEN {q(jobs.REJECT_NO_STATUS)}
+       WHEN NOT EXISTS (SELECT 1 FROM applied_jobs j WHERE j.id = c.id AND j.user_id = c.user_id)
+       THEN {q(jobs.REJECT_NOT_FOUND)} END AS reject_reason
+FROM job_changes c""", ("job_changes", "applied_jobs"))
+def q_status_change_outcomes(spark, d):
+    v = Views(spark, d)
+    return jobs.change_outcomes(v.job_changes, v.applied_jobs, "status").select("id", "user_id", "status",
+                                                                               "reject_reason")
