@@ -14,6 +14,7 @@ LINKS_PER_KIND = {"linkedin": 1, "website": 1, "hr_linkedin": 3}
 CSV_HEADERS = ("Company Name", "Website", "Company LinkedIn URL", "HR LinkedIn URL", "HR LinkedIn URLs",
                "HR First Name", "HR Last Name")
 CSV_COMPANY_THRESHOLD = 5
+REJECT_NO_COMPANIES = "No companies provided. Please provide at least one company name."
 # ---------------------------------------------------------------------------
 
 

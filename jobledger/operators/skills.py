@@ -15,6 +15,9 @@ from .common import broadcast_if_small, first_per, spread_for_cpu
 
 # A dictionary larger than this is joined without a broadcast hint.
 DICT_BROADCAST_ROWS = 2_000_000
+# --- fixed values -----------------------------------------------------------
+REJECT_NO_SKILLS = "Skills array is required"
+# ---------------------------------------------------------------------------
 
 
 def build_dict(lines: DataFrame, name_col: str = "name", pos_col: str = "pos") -> DataFrame:
@@ -103,6 +106,8 @@ def upsert_skills(table: DataFrame, incoming: DataFrame, full: bool = True,
     full: a matched row takes every new field (absent display fields become null);
     partial: only ``skills`` (and updated_at) are replaced, other fields kept.
     """
+    # a save without a list is refused (400) and changes nothing; an empty list is a valid save
+    incoming = incoming.where(F.col("skills").isNotNull())
     if dictionary is not None:
         incoming = canonical_arrays(incoming, "save_id", "skills", dictionary)
     else:
@@ -123,6 +128,11 @@ def upsert_skills(table: DataFrame, incoming: DataFrame, full: bool = True,
     return j.select(*out)
 
 
+def save_outcomes(incoming: DataFrame) -> DataFrame:
+    """Per save request: null reason when accepted, else the service's message."""
+    return incoming.withColumn("reject_reason", F.when(F.col("skills").isNull(), F.lit(REJECT_NO_SKILLS)))
+
+
 def skills_for(users: DataFrame, user_skills: DataFrame) -> DataFrame:
     """Every user's skills record, or the empty default when none is stored."""
     u = users.select(F.col("id").alias("user_id"))

@@ -770,12 +770,14 @@ def q_search_strings(spark, d):
 @query("company_clean", f"""
 WITH c AS (SELECT page_id, list_filter(list_transform(companies_raw, lambda x: {trim_sql('x')}), lambda x: x IS NOT NULL AND x <> '') AS cs
            FROM lookup_requests)
-SELECT page_id, CAST(len(cs) AS INT) AS n_companies, array_to_string(cs, '|') AS companies, len(cs) = 0 AS rejected FROM c""",
+SELECT page_id, CAST(len(cs) AS INT) AS n_companies, array_to_string(cs, '|') AS companies, len(cs) = 0 AS rejected,
+       CASE WHEN len(cs) = 0 THEN {q(contacts.REJECT_NO_COMPANIES)} END AS reject_reason FROM c""",
        ("lookup_requests",))
 def q_company_clean(spark, d):
     r = Views(spark, d).lookup_requests.select("page_id", contacts.clean_companies(F.col("companies_raw")).alias("cs"))
+    none = F.size("cs") == 0
     return r.select("page_id", F.size("cs").alias("n_companies"), F.array_join("cs", "|").alias("companies"),
-                    (F.size("cs") == 0).alias("rejected"))
+                    none.alias("rejected"), F.when(none, F.lit(contacts.REJECT_NO_COMPANIES)).alias("reject_reason"))
 
 
 _LINKS = """SELECT company, kind, rank, hit_id, link, rn FROM (

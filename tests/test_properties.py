@@ -96,3 +96,19 @@ def test_upsert_validates_skill_lists(spark):
     dct = S.build_dict(Views(spark, SF_SMALL).skill_dict)
     canon = {r.user_id: r.skills for r in S.upsert_skills(table, inc, dictionary=dct).collect()}
     assert canon == {1: ["Node.js", "C++"], 2: ["Rust"]}
+
+
+def test_save_without_list_changes_nothing(spark):
+    import datetime as dt
+    from jobledger.operators import skills as S
+    t0 = dt.datetime(2024, 1, 1)
+    table = spark.createDataFrame([(1, ["Old"], "twoColumnar", "[]", t0)],
+                                  "user_id long, skills array<string>, skills_display_mode string, "
+                                  "skills_line_time string, updated_at timestamp_ntz")
+    inc = spark.createDataFrame([(1, None, "lineTime", None, t0, 7), (2, [], None, None, t0, 8)],
+                                "user_id long, skills array<string>, skills_display_mode string, "
+                                "skills_line_time string, updated_at timestamp_ntz, save_id long")
+    got = {r.user_id: (r.skills, r.skills_display_mode) for r in S.upsert_skills(table, inc).collect()}
+    assert got == {1: (["Old"], "twoColumnar"), 2: ([], None)}
+    reasons = {r.save_id: r.reject_reason for r in S.save_outcomes(inc).collect()}
+    assert reasons == {7: S.REJECT_NO_SKILLS, 8: None}
