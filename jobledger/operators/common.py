@@ -55,7 +55,11 @@ def spread_for_cpu(df: DataFrame, *keys: str) -> DataFrame:
     has many more splits than cores and passes through untouched. With ``keys``
     the spread is a hash partitioning (no local sort, unlike round-robin).
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
+    try:
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        parts = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - e.g. a Spark Connect session has no RDD view
+        return df
+    if parts >= cores:
         return df
     return df.repartition(cores, *keys) if keys else df.repartition(cores)

@@ -42,14 +42,18 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Use the cluster's ``spark.checkpoint.dir``; create a scratch one only if unset (tests)."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    current = spark.sparkContext.getCheckpointDir()
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - Spark Connect: the server owns the checkpoint dir
+        return configured
+    current = sc.getCheckpointDir()
     if current:
         return current
     if configured:
-        spark.sparkContext.setCheckpointDir(configured)
+        sc.setCheckpointDir(configured)
     else:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="jobledger-ckpt-"))
-    return spark.sparkContext.getCheckpointDir()
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="jobledger-ckpt-"))
+    return sc.getCheckpointDir()
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
