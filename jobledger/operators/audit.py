@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.jsonx import parse_response, sanitize_json, with_error_fields
-from ..functions.rules import (alert_gate, alert_text, is_slow, needs_attention, origin_class,
+from ..functions.jsonx import parse_response, sanitize_headers, sanitize_json, with_error_fields
+from ..functions.rules import (alert_gate, alert_text, client_ip, is_slow, needs_attention, origin_class,
                                service_name, status_for_code)
 from ..functions.text import error_title
 
@@ -14,11 +14,20 @@ from ..functions.text import error_title
 def audit_record(requests: DataFrame, sanitize_bodies: bool = False) -> DataFrame:
     """Audit row per request: service, slow flag, error code/message from the response.
 
+    Optional inputs are used when present: ``request_headers`` (map, redacted),
+    ``ip`` / ``socket_address`` / ``forwarded_for`` (-> ``ip_address``).
+    ``sanitize_bodies`` stores redacted, cut bodies as the service does.
     ``user_email`` is only for alerting and is dropped before the audit sink.
     """
     out = (requests.withColumn("service", service_name(F.col("path")))
                    .withColumn("is_slow", is_slow(F.col("response_ms"))))
     out = with_error_fields(out, "status_code", "response_body")
+    if "request_headers" in out.columns:
+        out = out.withColumn("request_headers", sanitize_headers(F.col("request_headers")))
+    addr = [c for c in ("ip", "socket_address", "forwarded_for") if c in out.columns]
+    if addr:
+        cols = [F.col(c) for c in addr] + [F.lit(None).cast("string")] * (3 - len(addr))
+        out = out.withColumn("ip_address", client_ip(*cols))
     if sanitize_bodies:
         out = (out.withColumn("request_body", sanitize_json("request_body"))
                   .withColumn("response_body", parse_response("response_body")))

@@ -22,8 +22,8 @@ from ..operators import audit, usage
 
 
 def enrich(requests: DataFrame) -> DataFrame:
-    """Streaming or batch: the audit record, with a day column for partitioning."""
-    return audit.audit_record(requests).withColumn("day", F.to_date("created_at"))
+    """Streaming or batch: the audit record with redacted bodies, plus a day column."""
+    return audit.audit_record(requests, sanitize_bodies=True).withColumn("day", F.to_date("created_at"))
 
 
 def _write_batch(table_path: str, alerts_path: str):
