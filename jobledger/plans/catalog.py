@@ -110,7 +110,8 @@ def rhu_sql(num: str, den: str, scale: int) -> str:
 
 
 def outcome_sql(presented: str, key_found: str, owner_found: str, active: str, kdel: str, udel: str,
-                verified: str) -> tuple[str, str]:
+                verified: str, emit_codes: bool = True) -> tuple[str, str]:
+    silent = set() if emit_codes else {"MISSING_API_KEY", "INVALID_API_KEY", "API_KEY_INACTIVE"}
     ladder = [(f"{presented} IS NULL OR {presented} = ''", "MISSING_API_KEY", 401),
               (f"NOT ({key_found})", "INVALID_API_KEY", 401),
               (f"NOT ({owner_found})", "DATA_ERROR", 500),
@@ -118,7 +119,7 @@ def outcome_sql(presented: str, key_found: str, owner_found: str, active: str, k
               (f"coalesce({kdel}, false)", "API_KEY_INACTIVE", 403),
               (f"coalesce({udel}, false)", "USER_DELETED", 403),
               (f"NOT coalesce({verified}, false)", "USER_NOT_VERIFIED", 403)]
-    code = "CASE " + " ".join(f"WHEN {c} THEN {q(k)}" for c, k, _ in ladder) + " ELSE 'OK' END"
+    code = "CASE " + " ".join(f"WHEN {c} THEN {'NULL' if k in silent else q(k)}" for c, k, _ in ladder) + " ELSE 'OK' END"
     status = "CASE " + " ".join(f"WHEN {c} THEN {s}" for c, _, s in ladder) + " ELSE 200 END"
     return code, status
 
@@ -1210,3 +1211,17 @@ def q_status_change_outcomes(spark, d):
     v = Views(spark, d)
     return jobs.change_outcomes(v.job_changes, v.applied_jobs, "status").select("id", "user_id", "status",
                                                                                "reject_reason")
+
+
+_KM_CODE, _KM_STATUS = outcome_sql("r.presented_key", "k.id IS NOT NULL", "u.id IS NOT NULL", "k.is_active",
+                                   "k.is_deleted", "u.is_deleted", "u.verified", emit_codes=False)
+
+
+@query("key_check_middleware", f"""
+SELECT r.request_id, k.id AS key_id, r.created_at, {_KM_CODE} AS code, {_KM_STATUS} AS status
+FROM key_requests r LEFT JOIN api_keys k ON {trim_sql('r.presented_key')} = k.key
+LEFT JOIN users u ON k.user_id = u.id""", ("key_requests", "api_keys", "users"))
+def q_key_check_middleware(spark, d):
+    """The middleware's form of the ladder: no code on missing, unknown or inactive keys."""
+    v = Views(spark, d)
+    return accounts.check_requests(v.key_requests, v.api_keys, v.users, emit_codes=False)
