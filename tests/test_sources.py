@@ -75,6 +75,7 @@ def test_append_audit_and_catalog(spark):
     assert export.append_audit(rec, out)
     back = spark.read.parquet(out)
     assert back.count() == v.audit_log.count() and "user_email" not in back.columns and "day" in back.columns
-    ensure_table(spark, "jl_probe", "id BIGINT, name STRING")
-    ensure_table(spark, "jl_probe", "id BIGINT, name STRING")
+    loc = tempfile.mkdtemp(prefix="jl-tbl-") + "/jl_probe"
+    ensure_table(spark, "jl_probe", "id BIGINT, name STRING", loc)
+    ensure_table(spark, "jl_probe", "id BIGINT, name STRING", loc)
     assert existing_tables(spark, ["jl_probe", "nope"]) == ["jl_probe"]
