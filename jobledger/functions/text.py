@@ -3,7 +3,8 @@
 All functions take ``Column`` or a column name and return a ``Column``; they
 stay inside whole-stage codegen. JavaScript string semantics that Spark's
 built-ins do not share (trim of all Unicode blanks, ``split(/\\s+/)``,
-``charAt(0).toUpperCase()``) are spelled out with regexes below.
+``charAt(0).toUpperCase()``) are spelled out below (btrim over the JS blank set,
+regexes over a Java/RE2-compatible blank class).
 """
 
 from __future__ import annotations
