@@ -40,3 +40,43 @@ def test_scan_prunes_columns(spark):
     import __spark_entry__ as E
     plan = _plan(E.queries()["contact_links"](spark, SF_SMALL))
     assert "html" not in plan
+
+
+def test_hot_key_join_is_split_by_aqe(spark):
+    """A key holding most requests: the key-check join runs as a skew-split sort-merge join."""
+    from pyspark.sql import functions as F
+    from jobledger.operators import accounts
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.skewJoin.enabled": "true",
+            "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+            "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k",
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k",
+            "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        n = 60000
+        req = spark.range(n).select(F.col("id").alias("request_id"),
+                                    F.when(F.col("id") % 10 < 8, F.lit("key_1"))
+                                     .otherwise(F.concat(F.lit("key_"), (F.col("id") % 500).cast("string")))
+                                     .alias("presented_key"),
+                                    F.lit(None).cast("timestamp_ntz").alias("created_at"))
+        keys = spark.range(500).select(F.col("id"), F.concat(F.lit("key_"), F.col("id").cast("string")).alias("key"),
+                                       F.col("id").alias("user_id"), F.lit(True).alias("is_active"),
+                                       F.lit(False).alias("is_deleted"))
+        users = spark.range(500).select(F.col("id"), F.lit("a@b").alias("email"), F.lit("A B").alias("full_name"),
+                                        F.lit(False).alias("is_deleted"), F.lit(True).alias("verified"))
+        out = accounts.check_requests(req, keys, users)
+        statuses = out.select("status")
+        rows = statuses.collect()  # runs this very plan, so its AQE plan becomes final
+        assert len(rows) == n and all(r.status == 200 for r in rows)
+        final = statuses._jdf.queryExecution().executedPlan().toString()
+        assert "skew=true" in final, final[:3000]
+    finally:
+        for k, v in old.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
