@@ -112,3 +112,12 @@ def test_save_without_list_changes_nothing(spark):
     assert got == {1: (["Old"], "twoColumnar"), 2: ([], None)}
     reasons = {r.save_id: r.reject_reason for r in S.save_outcomes(inc).collect()}
     assert reasons == {7: S.REJECT_NO_SKILLS, 8: None}
+
+
+def test_canonical_with_empty_dictionary(spark):
+    """The dictionary files may be absent: validation is then trim + first-per-normal-form only."""
+    raw = spark.createDataFrame([(1, i, s) for i, s in enumerate(["nodejs", " Node.js ", "c++", "C", "***", "###"])],
+                                "owner_id long, pos int, skill string")
+    empty = spark.createDataFrame([], "pos int, name string")
+    got = [r.skill for r in skills.canonical(raw, skills.build_dict(empty)).orderBy("pos").collect()]
+    assert got == ["nodejs", "c++", "***"]
