@@ -80,3 +80,11 @@ def test_hot_key_join_is_split_by_aqe(spark):
                 spark.conf.unset(k)
             else:
                 spark.conf.set(k, v)
+
+
+def test_filters_on_stored_columns_reach_the_scan(spark):
+    import __spark_entry__ as E
+    cases = {"skills_upsert": "EqualTo(event_type,purchase)", "prompt_chat": "EqualTo(role,user)"}
+    for name, pushed in cases.items():
+        plan = _plan(E.queries()[name](spark, SF_SMALL))
+        assert pushed in plan, (name, pushed)
