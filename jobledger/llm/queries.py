@@ -5,13 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import maxscore, rabitq
+from . import maxscore, packing, quality, rabitq, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    got = warc.round_trip(pages, "page_id", "url", "html")
+    return got.select(F.col("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op4_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _table(spark, sf_dir, "embeddings")
     return maxscore.top_k(vectors, vectors.filter(F.col("vec_id") % 50 == 0))
@@ -22,27 +28,73 @@ def op5_rabitq(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rabitq.search(vectors, vectors.filter(F.col("vec_id") % 20 == 0))
 
 
+def held_out(id_col: str):
+    """True for the fifth of the ids that no label is learnt from."""
+    return F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    labels = _table(spark, sf_dir, "labels").filter(~held_out("doc_id"))
+    model = toxicity.fit(docs, labels, F.col("toxic"))
+    return toxicity.score(docs, model).select(
+        "doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+#: Grades of op8 and the pipeline: 0 junk, 1 sound but toxic, 2 sound. Kept: P(grade >= 1) >= 0.5.
+GRADES, KEEP_GRADE, KEEP_P = 3, 1, 0.5
+
+
+def grade():
+    return F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).otherwise(2)
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    labels = _table(spark, sf_dir, "labels").filter(~held_out("doc_id"))
+    model = quality.fit(docs, labels, grade(), GRADES)
+    return quality.score(docs, model, KEEP_GRADE).select(
+        "doc_id", held_out("doc_id").alias("held_out"), "expected_grade", "p_keep",
+        (F.col("p_keep") >= KEEP_P).alias("kept"))
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"))
+
+
+OP2_SQL = """WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, strlen(html) AS payload_bytes, sha1(html) AS payload_digest FROM p),
+m AS (SELECT payload_digest, max(page_id) AS kept FROM d WHERE payload_bytes >= 1000 GROUP BY 1)
+SELECT page_id, payload_bytes, d.payload_digest,
+       CASE WHEN page_id < kept THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id < kept THEN kept END AS refers_to
+FROM d LEFT JOIN m ON d.payload_digest = m.payload_digest AND payload_bytes >= 1000"""
+
 _USABLE = """v AS (
-  SELECT vec_id, list_transform(embedding, x -> CAST(x AS DOUBLE)) AS e FROM embeddings
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
-    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0)"""
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)"""
 
 OP4_SQL = f"""WITH {_USABLE},
-w AS (SELECT vec_id, list_transform(e, x -> CAST(floor(256 * x) AS BIGINT)) AS e FROM v),
+w AS (SELECT vec_id, list_transform(e, lambda x: CAST(floor(256 * x) AS BIGINT)) AS e FROM v),
 s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
-             CAST(list_sum(list_transform(list_zip(q.e, c.e), p -> p[1] * p[2])) AS BIGINT) AS score
+             CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
       FROM w q JOIN w c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM s)
 SELECT query_id, CAST(n AS INTEGER) AS "rank", vec_id, score FROM r WHERE n <= 5"""
 
 OP5_SQL = f"""WITH {_USABLE},
-w AS (SELECT * FROM v WHERE len(list_filter(e, x -> x <> 0)) > 0),
+w AS (SELECT * FROM v WHERE len(list_filter(e, lambda x: x <> 0)) > 0),
 s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_inner_product(q.e, c.e) AS score
       FROM w q JOIN w c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM s)
 SELECT query_id, CAST(n AS INTEGER) AS "rank", vec_id, score FROM r WHERE n <= 20"""
 
 QUERIES = {
+    "op2_warc": (op2_warc, OP2_SQL),
     "op4_maxscore": (op4_maxscore, OP4_SQL),
     "op5_rabitq": (op5_rabitq, OP5_SQL),
+    "op6_toxicity": (op6_toxicity, None),
+    "op8_quality": (op8_quality, None),
+    "op9_packing": (op9_packing, None),
 }
