@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import maxscore, packing, quality, rabitq, toxicity, warc
+from . import line_dedup, maxscore, packing, pieces, quality, rabitq, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup(_table(spark, sf_dir, "documents")).select("doc_id", "source", "text", "n_dropped")
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages")
     got = warc.round_trip(pages, "page_id", "url", "html")
@@ -62,6 +66,23 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ids of every text, and the text decoded from them."""
+    return pieces.decode(pieces.encode(_table(spark, sf_dir, "documents")))
+
+
+OP1_SQL = """WITH d AS (SELECT doc_id, source, text, coalesce(source, '') AS host FROM documents),
+l AS (SELECT doc_id, source, host, text, unnest(string_split(text, chr(10))) AS line,
+             unnest(range(len(string_split(text, chr(10))))) AS i FROM d),
+t AS (SELECT *, trim(line, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) AS bare FROM l),
+total AS (SELECT host, count(DISTINCT coalesce(text, '')) AS total FROM d GROUP BY 1),
+freq AS (SELECT host, bare, count(DISTINCT text) AS pages FROM t WHERE bare <> '' GROUP BY 1, 2),
+drop_ AS (SELECT host, bare FROM freq JOIN total USING (host) WHERE pages >= 5 AND pages > 0.05 * total),
+k AS (SELECT t.*, drop_.bare IS NOT NULL AS cut FROM t LEFT JOIN drop_ ON t.host = drop_.host AND t.bare = drop_.bare)
+SELECT doc_id, source, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT cut), '') AS text,
+       CAST(count(*) FILTER (WHERE cut) AS BIGINT) AS n_dropped FROM k GROUP BY doc_id, source, text
+UNION ALL SELECT doc_id, source, NULL, 0 FROM d WHERE text IS NULL"""
+
 OP2_SQL = """WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
 d AS (SELECT page_id, strlen(html) AS payload_bytes, sha1(html) AS payload_digest FROM p),
 m AS (SELECT payload_digest, max(page_id) AS kept FROM d WHERE payload_bytes >= 1000 GROUP BY 1)
@@ -91,10 +112,12 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 SELECT query_id, CAST(n AS INTEGER) AS "rank", vec_id, score FROM r WHERE n <= 20"""
 
 QUERIES = {
+    "op1_line_dedup": (op1_line_dedup, OP1_SQL),
     "op2_warc": (op2_warc, OP2_SQL),
     "op4_maxscore": (op4_maxscore, OP4_SQL),
     "op5_rabitq": (op5_rabitq, OP5_SQL),
     "op6_toxicity": (op6_toxicity, None),
     "op8_quality": (op8_quality, None),
     "op9_packing": (op9_packing, None),
+    "op10_pieces": (op10_pieces, None),
 }
