@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, maxscore, packing, pieces, quality, rabitq, toxicity, warc
+from . import line_dedup, maxscore, packing, pieces, pii, quality, rabitq, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +45,12 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.spans(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone",
+                        F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans")
+
+
 #: Grades of op8 and the pipeline: 0 junk, 1 sound but toxic, 2 sound. Kept: P(grade >= 1) >= 0.5.
 GRADES, KEEP_GRADE, KEEP_P = 3, 1, 0.5
 
@@ -117,6 +123,7 @@ QUERIES = {
     "op4_maxscore": (op4_maxscore, OP4_SQL),
     "op5_rabitq": (op5_rabitq, OP5_SQL),
     "op6_toxicity": (op6_toxicity, None),
+    "op7_pii": (op7_pii, None),
     "op8_quality": (op8_quality, None),
     "op9_packing": (op9_packing, None),
     "op10_pieces": (op10_pieces, None),
