@@ -56,6 +56,7 @@ def records(rows: DataFrame, id_col: str, url_col: str, payload_col: str,
     large = F.octet_length("payload") >= min_revisit
     groups = (base.filter(large).groupBy("digest").agg(F.max("id").alias("kept"), F.min("id").alias("least"))
               .filter("least < kept").select(F.col("digest").alias("group"), "kept"))
+    groups = written(groups, "equal-payloads")  # its size is known then: payloads are shuffled only if it is large
     revisit = F.coalesce(F.col("id") < F.col("kept"), F.lit(False))
     out = base.join(groups, large & (F.col("digest") == F.col("group")), "left")
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "),
