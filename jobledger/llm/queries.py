@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, maxscore, packing, pieces, pii, quality, rabitq, toxicity, warc
+from . import line_dedup, maxscore, ngram_join, packing, pieces, pii, quality, rabitq, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,10 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(F.col("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(_table(spark, sf_dir, "documents"), words=3, percent=90)
+
+
 def op4_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _table(spark, sf_dir, "embeddings")
     return maxscore.top_k(vectors, vectors.filter(F.col("vec_id") % 50 == 0))
@@ -120,6 +124,7 @@ SELECT query_id, CAST(n AS INTEGER) AS "rank", vec_id, score FROM r WHERE n <= 2
 QUERIES = {
     "op1_line_dedup": (op1_line_dedup, OP1_SQL),
     "op2_warc": (op2_warc, OP2_SQL),
+    "op3_ngram_join": (op3_ngram_join, None),
     "op4_maxscore": (op4_maxscore, OP4_SQL),
     "op5_rabitq": (op5_rabitq, OP5_SQL),
     "op6_toxicity": (op6_toxicity, None),
