@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 from . import hashed_text as H
 
 EPOCHS = 12
-BATCH = 256
+BATCH = 256  # rows of a step at most; small samples take smaller steps, so that there are enough of them
+STEPS = 64
 RATE = 0.1
 DECAY = 1e-4
 _RUNS = [(re.compile(r"[a-zß-öø-ÿ]+"), "a"), (re.compile(r"[A-ZÀ-ÖØ-Þ]+"), "A"), (re.compile(r"[0-9]+"), "0"),
@@ -66,7 +67,9 @@ def featurizer():
             for s, times in shapes.items():
                 out.add(derived["shape", s, _step(times / n)])
             out.add(derived["distinct", int(20 * len(counts) / n), n.bit_length()])
+            out.add(derived["distinct", int(5 * len(counts) / n)])
             out.add(derived["again", _step(again / n)])
+            out.add(derived["repeats", again * 20 > n])
             out.add(derived["lines", int(10 * len(set(lines)) / len(lines))])
             out.add(derived["mean", int(len(text) / n)])
         words_of.trim()
@@ -98,13 +101,14 @@ class Ordinal:
         below = self.at_most(row, term, rows)
         return [(1 - below).sum(axis=1), 1 - below[:, keep_grade - 1]]
 
-    def fit(self, y, offsets, terms, epochs=EPOCHS, batch=BATCH, rate=RATE, decay=DECAY, seed=5):
+    def fit(self, y, offsets, terms, epochs=EPOCHS, rate=RATE, decay=DECAY, seed=5):
         """Stochastic gradient descent with per-coordinate steps (Adagrad) on the negative log-likelihood."""
         share = np.clip([(y <= j).mean() for j in range(self.grades - 1)], 1e-3, 1 - 1e-3)
         start = np.log(share / (1 - share))
         self.first = float(start[0])
         self.gaps = np.log(np.maximum(np.diff(start), 1e-2))
         rng = np.random.default_rng(seed)
+        batch = int(np.clip(len(y) // STEPS, 8, BATCH))
         g_w, g_t = np.full(self.w.shape, 1e-8), np.full(self.grades - 1, 1e-8)
         for _ in range(epochs):
             order = rng.permutation(len(y))

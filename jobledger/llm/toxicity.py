@@ -23,7 +23,8 @@ from . import hashed_text as H
 
 FACTORS = 8
 EPOCHS = 12
-BATCH = 256
+BATCH = 256  # rows of a step at most; small samples take smaller steps, so that there are enough of them
+STEPS = 64
 RATE = 0.1
 DECAY = 1e-4
 PREFIXES = (4, 5)
@@ -66,9 +67,10 @@ class Machine:
     def score(self, row, term, rows) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.raw(row, term, rows)[0], -40, 40)))
 
-    def fit(self, y, offsets, terms, epochs=EPOCHS, batch=BATCH, rate=RATE, decay=DECAY, seed=11):
+    def fit(self, y, offsets, terms, epochs=EPOCHS, rate=RATE, decay=DECAY, seed=11):
         """Stochastic gradient descent with per-coordinate steps (Adagrad) on the logistic loss."""
         rng = np.random.default_rng(seed)
+        batch = int(np.clip(len(y) // STEPS, 8, BATCH))
         share = np.clip(y.mean(), 1e-3, 1 - 1e-3)
         self.bias = float(np.log(share / (1 - share)))
         g_b, g_w, g_v = 1e-8, np.full(self.w.shape, 1e-8), np.full(self.v.shape, 1e-8)
@@ -83,7 +85,7 @@ class Machine:
                 used, at = np.unique(term, return_inverse=True)
                 d_w = np.bincount(at, err[row], len(used)) + decay * self.w[used]
                 pull = err[row][:, None] * (total[row] - v)
-                d_v = np.stack([np.bincount(at, pull[:, f], len(used)) for f in range(factors)], axis=1)
+                d_v = np.stack([np.bincount(at, pull[:, f], len(used)) for f in range(factors)], axis=1).astype(float)
                 d_v += decay * self.v[used]
                 g_b += err.sum() ** 2
                 self.bias -= rate * err.sum() / np.sqrt(g_b)
