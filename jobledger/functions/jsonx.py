@@ -18,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import json_semantics
 from .text import JS_SPACE, JS_SPACE_CHARS, TRUNCATED_SUFFIX, _c, shorten
 
 # --- fixed values -----------------------------------------------------------
@@ -48,8 +49,14 @@ def json_quote(s) -> Column:
 
 
 def is_valid_json(c) -> Column:
-    """Strict JSON validity (whole text). Duplicate object keys count as invalid."""
-    return F.try_parse_json(_c(c)).isNotNull()
+    """Strict JSON validity of the whole text (nothing may follow the value).
+
+    Of duplicate object keys the last wins, as ``session.json_semantics`` sets the parser.
+    """
+    c = _c(c)
+    alone = F.try_parse_json(F.concat(F.lit("["), c, F.lit("]")))  # text behind the value spoils the array
+    return (F.try_parse_json(c).isNotNull() & alone.isNotNull()
+            & F.try_variant_get(alone, "$[1]", "variant").isNull())
 
 
 def json_kind(c) -> Column:
@@ -84,7 +91,13 @@ def _extract_steps(lenient: bool):
 
 def extract_json_columns(df: DataFrame, text_col: str, lenient: bool = False,
                          status_col: str = "status", payload_col: str = "payload") -> DataFrame:
-    """``extract_json`` as staged projections: every regex / parse runs once per row."""
+    """Status and payload of a model reply, as staged projections: every regex / parse runs once per row.
+
+    status: ``ok`` | ``bad_block`` (a fenced block that is not JSON; never falls through) |
+    ``no_json``. payload is the JSON text that parsed. ``lenient`` adds the greedy
+    first-``{``-to-last-``}`` fallback.
+    """
+    json_semantics(df.sparkSession)
     steps, status, payload = _extract_steps(lenient)
     out = df.withColumn("_text", F.col(text_col))
     for name, expr in steps:
@@ -93,60 +106,23 @@ def extract_json_columns(df: DataFrame, text_col: str, lenient: bool = False,
     return out.drop("_text", *[n for n, _ in steps])
 
 
-def extract_json(text, lenient: bool = False) -> Column:
-    """struct(status, payload) for a model reply (single-expression form).
-
-    status: ``ok`` | ``bad_block`` (a fenced block that is not JSON; never falls
-    through) | ``no_json``. payload is the JSON text that parsed. ``lenient``
-    adds the greedy first-``{``-to-last-``}`` fallback.
-    """
-    text = _c(text)
-    has_block = F.coalesce(text.rlike(FENCED_JSON), F.lit(False))
-    block = F.regexp_extract(text, FENCED_JSON, 1)
-    block_ok = is_valid_json(block)
-    whole_ok = is_valid_json(text)
-    status = (F.when(has_block & block_ok, "ok").when(has_block, "bad_block")
-              .when(whole_ok, "ok"))
-    payload = F.when(has_block & block_ok, block).when(~has_block & whole_ok, text)
-    if lenient:
-        greedy = F.regexp_extract(text, GREEDY_OBJECT, 0)
-        greedy_ok = F.coalesce(text.rlike(GREEDY_OBJECT), F.lit(False)) & is_valid_json(greedy)
-        status = status.when(greedy_ok, "ok")
-        payload = payload.when(~has_block & ~whole_ok & greedy_ok, greedy)
-    status = status.otherwise("no_json")
-    return F.struct(status.alias("status"), payload.alias("payload"))
-
-
 # --- error fields from a response body --------------------------------------
 
-def error_fields(status, body) -> Column:
-    """struct(error_code, error_message) for one response; only when status >= 400.
-
-    code = errorCode or error_code or ``HTTP_<status>``; message = message or
-    error (empty counts as absent). Message is sanitised (1000-char cut).
-    """
-    status, body = _c(status), _c(body)
-    err = F.coalesce(status >= 400, F.lit(False))
-
-    def field(name):
-        return F.nullif(F.get_json_object(body, f"$.{name}"), F.lit(""))
-
-    code = F.coalesce(field("errorCode"), field("error_code"),
-                      F.concat(F.lit("HTTP_"), status.cast("string")))
-    msg = shorten(F.coalesce(field("message"), field("error")), MAX_STRING, MAX_STRING, TRUNCATED_SUFFIX)
-    return F.struct(F.when(err, code).alias("error_code"), F.when(err, msg).alias("error_message"))
-
-
 ERROR_BODY_SCHEMA = "errorCode string, error_code string, message string, error string"
 
 
 def with_error_fields(df: DataFrame, status_col: str, body_col: str,
                       code_col: str = "error_code", message_col: str = "error_message") -> DataFrame:
-    """``error_fields`` as staged projections: the body is parsed once into the four
-    fields it can hold, then code and message are derived from that struct."""
+    """Error code and message of responses with status >= 400, as staged projections.
+
+    code = errorCode or error_code or ``HTTP_<status>``; message = message or error (empty counts
+    as absent), cut at 1000 characters. Only a body that is JSON as a whole has fields.
+    """
+    json_semantics(df.sparkSession)
     status = F.col(status_col)
     err = F.coalesce(status >= 400, F.lit(False))
-    out = df.withColumn("_err", F.from_json(F.col(body_col), ERROR_BODY_SCHEMA))
+    out = df.withColumn("_err", F.from_json(
+        F.when(is_valid_json(F.col(body_col)), F.col(body_col)), ERROR_BODY_SCHEMA, {"allowSingleQuotes": "false"}))
 
     def field(name):
         return F.nullif(F.col(f"_err.{name}"), F.lit(""))
@@ -270,13 +246,22 @@ def _object_sql(g: _Names, raw: str, depth: int) -> str:
             tail = f"CASE WHEN {c} > 0 THEN array({marker}) ELSE CAST(array() AS array<string>) END"
             return "concat('{', array_join(concat(" + pairs + ", " + tail + "), ','), '}')"
         return _let_sql(g, first_cut, with_cut)
-    return _let_sql(g, entries, render)
+    def once(es):
+        """Of entries with the same key the last one, at the place of the first."""
+        a, b, n = g("a"), g("b"), g("n")
+        names = f"array_distinct(transform({es}, {a} -> {a}.key))"
+        return (f"CASE WHEN size({names}) = size({es}) THEN {es} ELSE "
+                f"transform({names}, {n} -> element_at(filter({es}, {b} -> {b}.key = {n}), -1)) END")
+
+    return _let_sql(g, entries, lambda es: _let_sql(g, once(es), render))
 
 
 def sanitize_json_sql(body: str) -> str:
     """SQL text of the sanitiser for the SQL expression ``body`` (e.g. a column name)."""
     g = _Names()
-    parsed = f"try_parse_json({body})"
+    alone = f"try_parse_json(concat('[', {body}, ']'))"  # as in is_valid_json
+    parsed = (f"try_parse_json(CASE WHEN {alone} IS NOT NULL AND try_variant_get({alone}, '$[1]', 'variant') IS NULL "
+              f"THEN {body} END)")
     trimmed = f"btrim({body}, {_sql_lit(JS_SPACE_CHARS)})"
 
     def top(t):

@@ -11,12 +11,12 @@ from ..functions.rules import (alert_gate, alert_text, client_ip, is_slow, needs
 from ..functions.text import error_title
 
 
-def audit_record(requests: DataFrame, sanitize_bodies: bool = False) -> DataFrame:
+def audit_record(requests: DataFrame) -> DataFrame:
     """Audit row per request: service, slow flag, error code/message from the response.
 
     Optional inputs are used when present: ``request_headers`` (map, redacted),
     ``ip`` / ``socket_address`` / ``forwarded_for`` (-> ``ip_address``).
-    ``sanitize_bodies`` stores redacted, cut bodies as the service does.
+    Bodies are redacted and cut; there is no form of the record with raw bodies.
     ``user_email`` is only for alerting and is dropped before the audit sink.
     """
     out = (requests.withColumn("service", service_name(F.col("path")))
@@ -28,9 +28,10 @@ def audit_record(requests: DataFrame, sanitize_bodies: bool = False) -> DataFram
     if addr:
         cols = [F.col(c) for c in addr] + [F.lit(None).cast("string")] * (3 - len(addr))
         out = out.withColumn("ip_address", client_ip(*cols))
-    if sanitize_bodies:
-        out = (out.withColumn("request_body", sanitize_json("request_body"))
-                  .withColumn("response_body", parse_response("response_body")))
+    if "request_body" in out.columns:
+        out = out.withColumn("request_body", sanitize_json("request_body"))
+    if "response_body" in out.columns:
+        out = out.withColumn("response_body", parse_response("response_body"))
     return out.drop("user_email")
 
 

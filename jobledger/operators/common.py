@@ -5,8 +5,9 @@
   task keeps at most k rows per group); a per-row k is applied after that.
 * ``first_per`` is the k = 1 case (one row per key), so a key holding a third
   of all rows is reduced inside every map task before the shuffle.
-* ``broadcast_if_small`` broadcasts only after a bounded row count proves the
-  side small; otherwise the join is left to the planner / AQE.
+
+Joins carry no hints: the planner broadcasts a side by its size in bytes, at run
+time too (AQE), and splits skewed partitions of the others.
 """
 
 from __future__ import annotations
@@ -40,26 +41,3 @@ def top_k_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
     if k is not None:
         out = out.where(F.col(rn) <= k)
     return out.drop("_rn") if rank_col is None else out
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
-    """Broadcast hint only when a bounded count shows at most ``max_rows`` rows."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
-def spread_for_cpu(df: DataFrame, *keys: str) -> DataFrame:
-    """Spread a scan that yields fewer partitions than the cluster has cores.
-
-    Only tiny inputs (one file, one row group) trigger it; a large scan already
-    has many more splits than cores and passes through untouched. With ``keys``
-    the spread is a hash partitioning (no local sort, unlike round-robin).
-    """
-    try:
-        cores = df.sparkSession.sparkContext.defaultParallelism
-        parts = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - e.g. a Spark Connect session has no RDD view
-        return df
-    if parts >= cores:
-        return df
-    return df.repartition(cores, *keys) if keys else df.repartition(cores)

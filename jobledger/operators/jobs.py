@@ -6,12 +6,12 @@ DataFrame; write it to a new path (or ``MERGE INTO`` with a table format).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rules import is_job_title
 from ..functions.text import falsy_to_null
-from .common import first_per, spread_for_cpu
+from .common import first_per
 
 # --- fixed values -----------------------------------------------------------
 REJECT_MISSING = "Title and URL are required"
@@ -31,11 +31,9 @@ def reject_reason(title: Column, url: Column) -> Column:
     return F.when(missing, F.lit(REJECT_MISSING)).when(~is_job_title(title), F.lit(REJECT_TITLE))
 
 
-def split_valid(incoming: DataFrame, spread_key: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(valid, rejected with reason). ``spread_key``: a skinny input (fewer partitions
-    than cores) is hash-spread on this column before the CPU-bound title check."""
-    src = spread_for_cpu(incoming, spread_key) if spread_key else incoming
-    v = src.withColumn("reject_reason", reject_reason(F.col("title"), F.col("url")))
+def split_valid(incoming: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(valid, rejected with reason)."""
+    v = incoming.withColumn("reject_reason", reject_reason(F.col("title"), F.col("url")))
     return v.where(F.col("reject_reason").isNull()).drop("reject_reason"), v.where(F.col("reject_reason").isNotNull())
 
 
@@ -77,11 +75,16 @@ def merge_jobs(existing: DataFrame, incoming: DataFrame, as_of: Column | None =
     In-batch duplicates resolve like sequential requests: the first by ``order``
     (arrival order; make it total) is inserted, later ones are "already tracked".
     """
-    valid, rejected = split_valid(incoming, id_col)
+    valid, rejected = split_valid(incoming)
     firsts = first_per(valid, JOB_KEY, list(order)).select(*valid.columns)
     new = split_tracked(firsts, existing)[0].select(*valid.columns)
-    # everything valid that was not inserted (multiset difference keeps exact duplicates)
-    tracked = valid.exceptAll(new)
+    # what is valid and was not inserted: an anti-join on the narrow arrival order, which has no hot value;
+    # of rows equal in it one was inserted, the others are told apart by their number
+    nth = F.row_number().over(Window.partitionBy(*JOB_KEY, *order).orderBy(F.lit(1)))
+    same = [F.col(f"v.{c}").eqNullSafe(F.col(f"n.{c}")) for c in (*JOB_KEY, *order)]
+    tracked = (valid.withColumn("_nth", nth).alias("v")
+               .join(new.select(*JOB_KEY, *order).withColumn("_one", F.lit(1)).alias("n"),
+                     [*same, F.col("v._nth") == F.col("n._one")], "left_anti").select(*valid.columns))
     inserted = normalize_job(new, as_of).withColumnRenamed(id_col, "id")
     table = existing.withColumn("origin", F.lit("existing")).unionByName(
         inserted.withColumn("origin", F.lit("new")), allowMissingColumns=True)
@@ -116,11 +119,11 @@ def delete_jobs(table: DataFrame, changes: DataFrame) -> DataFrame:
 
 
 def set_status(table: DataFrame, changes: DataFrame) -> DataFrame:
-    """Apply non-empty status changes by (id, owner); the latest change per id wins."""
+    """Apply non-empty status changes by (id, owner); the change with the largest ``seq`` per id wins."""
+    if "seq" not in changes.columns:
+        raise ValueError("status changes need an order column 'seq'")
     ok = changes.where(F.col("status").isNotNull() & (F.col("status") != ""))
-    order = ["seq"] if "seq" in changes.columns else ["status"]
-    latest = first_per(ok.select("id", "user_id", "status", *[c for c in order if c != "status"]),
-                       ["id", "user_id"], order, last=True)
+    latest = first_per(ok.select("id", "user_id", "status", "seq"), ["id", "user_id"], ["seq", "status"], last=True)
     upd = latest.select("id", "user_id", F.col("status").alias("new_status"))
     out = table.join(upd, ["id", "user_id"], "left")
     return out.withColumn("status", F.coalesce(F.col("new_status"), F.col("status"))).drop("new_status")

@@ -10,20 +10,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import JS_SPACE, JS_SPACE_BODY, js_trim, normalize_skill
-from .common import broadcast_if_small, first_per, spread_for_cpu
+from ..functions.text import JS_SPACE, JS_SPACE_BODY, falsy_to_null, js_trim, normalize_skill
+from .common import first_per
 
-# A dictionary larger than this is joined without a broadcast hint.
-DICT_BROADCAST_ROWS = 2_000_000
 # --- fixed values -----------------------------------------------------------
 REJECT_NO_SKILLS = "Skills array is required"
 # ---------------------------------------------------------------------------
 
 
-def build_dict(lines: DataFrame, name_col: str = "name", pos_col: str = "pos") -> DataFrame:
-    """(norm, name): trimmed non-blank, non-# lines; the last line wins on equal normal form."""
-    t = lines.select(F.col(pos_col).alias("pos"), js_trim(F.col(name_col)).alias("name"))
-    t = t.where((F.col("name") != "") & ~F.col("name").startswith("#"))
+def build_dict(lines: DataFrame, name_col: str = "name", pos_col: str = "pos", is_lines: bool = True) -> DataFrame:
+    """(norm, name); the last entry wins on equal normal form.
+
+    ``is_lines``: names are trimmed, blank and ``#`` lines dropped. Otherwise (entries of a
+    category document) names stay as they are.
+    """
+    t = lines.select(F.col(pos_col).alias("pos"), F.col(name_col).alias("name")).where(F.col("name").isNotNull())
+    if is_lines:
+        t = t.withColumn("name", js_trim(F.col("name"))).where((F.col("name") != "") & ~F.col("name").startswith("#"))
     t = t.withColumn("norm", normalize_skill(F.col("name")))
     return t.groupBy("norm").agg(F.max_by("name", "pos").alias("name"))
 
@@ -33,7 +36,7 @@ def canonical(skills: DataFrame, dictionary: DataFrame) -> DataFrame:
     input; one row per (owner, normal form), the first position wins."""
     s = skills.where(F.col("skill").isNotNull() & (F.col("skill") != ""))
     s = s.withColumn("norm", normalize_skill(F.col("skill")))
-    d = broadcast_if_small(dictionary.select("norm", F.col("name").alias("dict_name")), DICT_BROADCAST_ROWS)
+    d = dictionary.select("norm", F.col("name").alias("dict_name"))
     j = s.join(d, "norm", "left").select(
         "owner_id", "norm", "pos", F.coalesce(F.col("dict_name"), js_trim(F.col("skill"))).alias("skill"))
     return first_per(j, ["owner_id", "norm"], ["pos"]).select("owner_id", "pos", "skill")
@@ -66,11 +69,13 @@ def terms(texts: DataFrame, id_col: str, text_col: str, vocabulary: DataFrame |
     lower-cased and stripped of everything but [a-z0-9] and blanks in one pass,
     then split on blanks; empty pieces (tokens with nothing left) are dropped.
     """
-    src = spread_for_cpu(texts.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "doc_id")
+    src = texts.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kept = F.regexp_replace(F.lower(F.col("text")), f"[^a-z0-9{JS_SPACE_BODY}]+", "")
     t = src.select("doc_id", F.explode(F.split(kept, f"{JS_SPACE}+", -1)).alias("term")).where(F.col("term") != "")
     if vocabulary is not None:
-        t = t.join(broadcast_if_small(vocabulary.select("term").distinct(), DICT_BROADCAST_ROWS), "term", "inner")
+        # distinct first: a frequent term is one row per text before the join
+        t = t.select("doc_id", "term").distinct().join(vocabulary.select("term").distinct(), "term", "left_semi")
+        return t.select("doc_id", "term")
     return t.select("doc_id", "term").distinct()
 
 
@@ -84,7 +89,7 @@ def present_missing(required: DataFrame, held: DataFrame) -> tuple[DataFrame, Da
 def canonical_arrays(df: DataFrame, key: str, col: str, dictionary: DataFrame) -> DataFrame:
     """Dictionary validation of an array column, one list per ``key`` (unique per row).
 
-    Explode with positions, canonicalise with the (size-checked, broadcast) dictionary,
+    Explode with positions, canonicalise with the dictionary,
     regroup in order. A list is one request body, so the regroup is bounded.
     """
     long = df.select(F.col(key).alias("owner_id"), F.posexplode(col).alias("pos", "skill"))
@@ -113,6 +118,9 @@ def upsert_skills(table: DataFrame, incoming: DataFrame, full: bool = True,
     else:
         incoming = incoming.withColumn("skills", validate_skill_array(F.col("skills")))
     cols = ["skills", "skills_display_mode", "skills_line_time", "updated_at"]
+    if full:  # empty display fields are stored as null
+        for c in ("skills_display_mode", "skills_line_time"):
+            incoming = incoming.withColumn(c, falsy_to_null(F.col(c)))
     latest = first_per(incoming.select("user_id", *cols, *[c for c in order if c not in cols]),
                        ["user_id"], list(order), last=True)
     n = latest.select("user_id", *[F.col(c).alias(f"n_{c}") for c in cols], F.lit(True).alias("_new"))

@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from ..functions import prompt_texts as P
 from ..functions.jsonx import check_shape, extract_json_columns
 from ..functions.text import text_stats
-from .common import spread_for_cpu
 
 
 def _round_half_up(num: Column, den: Column, scale: int) -> Column:
@@ -52,9 +51,6 @@ def prompt(kind: str, **cols: Column) -> Column:
 
 
 # --- fixed values -----------------------------------------------------------
-# Request bodies above this size are refused by the service (413), so no prompt is built.
-BODY_LIMIT_BYTES = 10 * 1024 * 1024
-TOO_LARGE_MESSAGE = "request entity too large"
 # Validation message per request kind when a required field is missing.
 REQUIRED_MESSAGES = {
     "chat": "Missing required fields: question, jobDescription, and resume are required",
@@ -67,33 +63,28 @@ NO_RESUME_MESSAGE = "No resume provided. Please provide resumeText."
 # ---------------------------------------------------------------------------
 
 
-def keyword_prompts(postings: DataFrame, skills: DataFrame, body_limit: int = BODY_LIMIT_BYTES) -> DataFrame:
+def _with_stats(staged: DataFrame, keys: list[str]) -> DataFrame:
+    """Status, reason, prompt and its statistics; the prompt is a column of its own, so it is made once."""
+    st = text_stats(F.col("prompt"))
+    ok = F.col("prompt").isNotNull()
+    return staged.select(*keys, F.when(ok, "ok").otherwise("rejected").alias("status"), "reject_reason", "prompt",
+                         F.when(ok, st["chars"]).alias("chars"), F.when(ok, st["words"]).alias("words"),
+                         F.when(ok, st["est_tokens"]).alias("est_tokens"))
+
+
+def keyword_prompts(postings: DataFrame, skills: DataFrame) -> DataFrame:
     """Keyword-comparison prompts: one per posting whose candidate sent a skills list.
 
-    ``skills`` is long (owner_id, pos, skill). A list is one request body, so a list
-    whose JSON exceeds the body limit is refused (status ``too_large``) instead of
-    being gathered: sizes are summed first (map-side combinable) and only lists
-    within the limit are regrouped, so no task ever holds an unbounded group.
+    ``skills`` is long (owner_id, pos, skill). A list is one request's body, so it is regrouped
+    per request; a request too large for the service never became a row.
     """
-    sizes = skills.groupBy("owner_id").agg(
-        (F.sum(F.octet_length(F.to_json(F.array("skill"))) - 1) + 1).alias("json_bytes"))
-    fits = sizes.where(F.col("json_bytes") <= body_limit).select("owner_id")
-    lists = skills.join(fits, "owner_id", "left_semi").groupBy("owner_id").agg(
+    lists = skills.groupBy("owner_id").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("pos", "skill"))), lambda s: s["skill"]).alias("skills"))
-    big = sizes.where(F.col("json_bytes") > body_limit).select("owner_id", F.lit(True).alias("too_large"))
-    j = (spread_for_cpu(postings, "doc_id")
-         .join(lists, postings.doc_id == lists.owner_id, "left").drop("owner_id")
-         .join(big, postings.doc_id == big.owner_id, "left"))
+    j = postings.join(lists, postings.doc_id == lists.owner_id, "left").drop("owner_id")
     ok = F.col("text").isNotNull() & (F.col("text") != "") & F.col("skills").isNotNull()
-    p = F.when(ok, prompt("keywords", job_description=F.col("text"), skills=F.col("skills")))
-    st = text_stats(p)
-    large = F.coalesce(F.col("too_large"), F.lit(False))
-    status = F.when(ok, "ok").when(large, "too_large").otherwise("rejected")
-    reason = F.when(ok, F.lit(None).cast("string")).when(large, F.lit(TOO_LARGE_MESSAGE)) \
-        .otherwise(F.lit(REQUIRED_MESSAGES["keywords"]))
-    return j.select("doc_id", status.alias("status"), reason.alias("reject_reason"), p.alias("prompt"),
-                    F.when(ok, st["chars"]).alias("chars"), F.when(ok, st["words"]).alias("words"),
-                    F.when(ok, st["est_tokens"]).alias("est_tokens"))
+    return _with_stats(j.select(
+        "doc_id", F.when(ok, prompt("keywords", job_description=F.col("text"), skills=F.col("skills"))).alias("prompt"),
+        F.when(~ok, F.lit(REQUIRED_MESSAGES["keywords"])).alias("reject_reason")), ["doc_id"])
 
 
 def build_prompts(requests: DataFrame, kind: str, keys: list[str], required: dict[str, Column],
@@ -105,16 +96,12 @@ def build_prompts(requests: DataFrame, kind: str, keys: list[str], required: dic
     ok = F.lit(True)
     for c in required.values():
         ok = ok & c.isNotNull() & (c.cast("string") != "")
-    p = F.when(ok, prompt(kind, **inputs))
-    st = text_stats(p)
     reason = F.when(ok, F.lit(None).cast("string"))
     if missing_first is not None:
         reason = reason.when(missing_first, F.lit(NO_RESUME_MESSAGE))
     reason = reason.otherwise(F.lit(REQUIRED_MESSAGES[kind]))
-    return spread_for_cpu(requests, keys[0]).select(*keys, F.when(ok, "ok").otherwise("rejected").alias("status"),
-                                                    reason.alias("reject_reason"), p.alias("prompt"),
-                           F.when(ok, st["chars"]).alias("chars"), F.when(ok, st["words"]).alias("words"),
-                           F.when(ok, st["est_tokens"]).alias("est_tokens"))
+    return _with_stats(requests.select(*keys, F.when(ok, prompt(kind, **inputs)).alias("prompt"),
+                                       reason.alias("reject_reason")), keys)
 
 
 def call_metrics(calls: DataFrame) -> DataFrame:

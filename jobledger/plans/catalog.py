@@ -354,7 +354,7 @@ def q_jobs_delete(spark, d):
 @query("jobs_status", """
 SELECT j.id, j.user_id, j.title, j.url, coalesce(c.status, j.status) AS status, j.applied_date
 FROM applied_jobs j LEFT JOIN (
-  SELECT id, user_id, max(status) AS status FROM job_changes WHERE status IS NOT NULL AND status <> ''
+  SELECT id, user_id, arg_max(status, seq) AS status FROM job_changes WHERE status IS NOT NULL AND status <> ''
   GROUP BY id, user_id) c ON c.id = j.id AND c.user_id = j.user_id""", ("job_changes", "applied_jobs"))
 def q_jobs_status(spark, d):
     v = Views(spark, d)
@@ -480,8 +480,7 @@ def q_request_summary(spark, d):
 
 def doc_bodies(spark, d) -> DataFrame:
     """Request-like JSON bodies built from whole documents (nested, long strings, long arrays)."""
-    from ..operators.common import spread_for_cpu
-    docs = spread_for_cpu(Views(spark, d).raw("documents"), "doc_id")
+    docs = Views(spark, d).raw("documents")
     body = F.to_json(F.struct(
         F.struct(F.col("doc_id").alias("id"),
                  F.struct("lang", "source", F.array("lang", "source").alias("tags")).alias("meta")).alias("doc"),
@@ -493,7 +492,6 @@ def doc_bodies(spark, d) -> DataFrame:
 
 @query("body_sanitize")
 def q_body_sanitize(spark, d):
-    from ..operators.common import spread_for_cpu
     return doc_bodies(spark, d).select("doc_id", sanitize_json("body").alias("sanitized"))
 
 
@@ -857,9 +855,8 @@ SELECT doc_id, length(text) AS chars, len(string_split_regex(text, '{WS}+')) AS
        CAST(ceil(len(string_split_regex(text, '{WS}+')) * CAST(1.3 AS DOUBLE)) AS BIGINT) AS est_tokens
 FROM documents""")
 def q_text_stats(spark, d):
-    from ..operators.common import spread_for_cpu
     s = text_stats(F.col("text"))
-    return spread_for_cpu(Views(spark, d).raw("documents"), "doc_id").select("doc_id", *[s[c].alias(c) for c in ("chars", "words", "kb",
+    return Views(spark, d).raw("documents").select("doc_id", *[s[c].alias(c) for c in ("chars", "words", "kb",
                                                                                          "est_tokens")])
 
 
@@ -1180,7 +1177,7 @@ QUERIES["prompt_experience"] = (q_prompt_experience, _experience_sql())
 WITH s1 AS (
   SELECT j.id, j.user_id, j.title, j.url, coalesce(c.status, j.status) AS status, j.applied_date
   FROM applied_jobs j LEFT JOIN (
-    SELECT id, user_id, max(status) AS status FROM job_changes WHERE status IS NOT NULL AND status <> ''
+    SELECT id, user_id, arg_max(status, seq) AS status FROM job_changes WHERE status IS NOT NULL AND status <> ''
     GROUP BY id, user_id) c ON c.id = j.id AND c.user_id = j.user_id),
 s2 AS (SELECT * FROM s1 WHERE NOT EXISTS (
   SELECT 1 FROM job_changes c WHERE c.status = 'Rejected' AND c.id = s1.id AND c.user_id = s1.user_id)),

@@ -151,14 +151,15 @@ class Views:
 
     @cached_property
     def job_changes(self) -> DataFrame:
-        """Delete / status-change requests (ours); every second one names the wrong owner."""
-        o = self.raw("orders")
+        """Delete / status-change requests (ours), three in order per job; one priority names the wrong owner."""
         pr = F.col("o_orderpriority")
-        return o.where(pr.isin("1-URGENT", "2-HIGH")).select(
+        o = self.raw("orders").withColumn("seq", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))))
+        second = F.when(F.col("o_orderstatus") == "F", "Offer").when(F.col("o_orderstatus") == "O", "").otherwise("Rejected")
+        return o.select(
             F.col("o_orderkey").alias("id"),
-            F.when(pr == "1-URGENT", F.col("o_custkey")).otherwise(F.col("o_custkey") + 1).alias("user_id"),
-            F.when(F.col("o_orderstatus") == "F", "Interview").when(F.col("o_orderstatus") == "O", "")
-             .otherwise("Rejected").alias("status"),
+            F.when(pr == "2-HIGH", F.col("o_custkey") + 1).otherwise(F.col("o_custkey")).alias("user_id"), "seq",
+            F.when(F.col("seq") == 1, "Interview").when(F.col("seq") == 2, second)
+             .when(pr == "1-URGENT", "Applied").alias("status"),
         )
 
     # --- skills -----------------------------------------------------------------

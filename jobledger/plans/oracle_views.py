@@ -89,9 +89,11 @@ VIEWS["job_submissions"] = """
 
 VIEWS["job_changes"] = """
   SELECT o_orderkey AS id,
-         CASE WHEN o_orderpriority = '1-URGENT' THEN o_custkey ELSE o_custkey + 1 END AS user_id,
-         CASE o_orderstatus WHEN 'F' THEN 'Interview' WHEN 'O' THEN '' ELSE 'Rejected' END AS status
-  FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH')"""
+         CASE WHEN o_orderpriority = '2-HIGH' THEN o_custkey + 1 ELSE o_custkey END AS user_id, seq,
+         CASE seq WHEN 1 THEN 'Interview'
+              WHEN 2 THEN CASE o_orderstatus WHEN 'F' THEN 'Offer' WHEN 'O' THEN '' ELSE 'Rejected' END
+              ELSE CASE WHEN o_orderpriority = '1-URGENT' THEN 'Applied' END END AS status
+  FROM orders, (VALUES (1), (2), (3)) AS n(seq)"""
 
 VIEWS["skills_raw"] = """
   SELECT c_custkey AS owner_id, v.pos, v.skill

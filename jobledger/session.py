@@ -26,21 +26,31 @@ _SCALE_DEFAULTS = {
 
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
                   app_name: str = "jobledger") -> SparkSession:
-    """Local session for tests / bench. On a cluster, use the cluster's session."""
+    """Local session for tests / bench. A running session is returned with its own settings."""
+    running = SparkSession.getActiveSession()
+    if running is not None:  # its settings stay as they are
+        ensure_checkpoint_dir(running)
+        return running
     cpus = os.environ.get("BENCH_CPUS", "8")
-    builder = SparkSession.builder.appName(app_name).master(master or f"local[{cpus}]")
-    for k, v in _SCALE_DEFAULTS.items():
+    builder = SparkSession.builder.appName(app_name)
+    wanted = {**_SCALE_DEFAULTS, "spark.master": master or f"local[{cpus}]",
+              "spark.sql.shuffle.partitions": str(shuffle_partitions or int(cpus)),
+              "spark.driver.memory": os.environ.get("SPARK_DRIVER_MEMORY", "8g")}
+    for k, v in wanted.items():
         builder = builder.config(k, v)
-    builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions or int(cpus)))
-    builder = builder.config("spark.driver.memory", os.environ.get("SPARK_DRIVER_MEMORY", "8g"))
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
     return spark
 
 
+def json_semantics(spark: SparkSession) -> None:
+    """Of duplicate JSON object keys the last wins (Spark's parser refuses such texts otherwise)."""
+    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's ``spark.checkpoint.dir``; create a scratch one only if unset (tests)."""
+    """The cluster's ``spark.checkpoint.dir``; a scratch one only where unset in local mode (tests)."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     try:
         sc = spark.sparkContext
@@ -51,8 +61,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     if configured:
         sc.setCheckpointDir(configured)
+    elif sc.master.startswith("local[") or sc.master == "local":
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="jobledger-ckpt-"))  # driver and executors are one process
     else:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="jobledger-ckpt-"))
+        raise RuntimeError("spark.checkpoint.dir is not set: name a folder that all executors share")
     return sc.getCheckpointDir()
 
 

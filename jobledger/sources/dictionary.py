@@ -28,4 +28,4 @@ def read_skill_json(spark: SparkSession, path: str) -> DataFrame:
         F.from_json("value", "map<string,array<string>>").alias("m"))
     cats = doc.select(F.posexplode(F.map_values("m")).alias("ci", "skills"))
     names = cats.select("ci", F.posexplode("skills").alias("si", "name"))
-    return build_dict(names.select((F.col("ci") * F.lit(1 << 32) + F.col("si")).alias("pos"), "name"))
+    return build_dict(names.select((F.col("ci") * F.lit(1 << 32) + F.col("si")).alias("pos"), "name"), is_lines=False)

@@ -1,9 +1,9 @@
 """Structured Streaming forms of the request-log rules (same Column functions as batch).
 
 ST1 ``start_audit_stream``: enrich each micro-batch, append it to the audit
-table and the alert table. Writes are idempotent per micro-batch: each batch
-overwrites its own ``batch_id=<n>`` directory, so a replay after a failure
-rewrites instead of duplicating.
+table (by day, as the batch sink does) and the alert table. Writes are idempotent
+per micro-batch: each batch overwrites its own ``batch_id`` directories, so a replay
+after a failure rewrites instead of duplicating.
 
 ST2 ``quota_stream``: per-user daily counts on a 1-day tumbling event-time
 window with a watermark. Lateness rule (ours; the source service has none): a
@@ -19,18 +19,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import audit, usage
+from ..sources.export import append_audit
 
 
 def enrich(requests: DataFrame) -> DataFrame:
     """Streaming or batch: the audit record with redacted bodies, plus a day column."""
-    return audit.audit_record(requests, sanitize_bodies=True).withColumn("day", F.to_date("created_at"))
+    return audit.audit_record(requests).withColumn("day", F.to_date("created_at"))
 
 
 def _write_batch(table_path: str, alerts_path: str):
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.persist()
         try:
-            batch.write.mode("overwrite").parquet(f"{table_path}/batch_id={batch_id}")
+            append_audit(batch, table_path, f"stream-{batch_id}", enriched=True)
             (audit.alert_rows(batch)
              .select("id", "service", "status_code", "error_code", "error_message", "user_id", "path")
              .write.mode("overwrite").parquet(f"{alerts_path}/batch_id={batch_id}"))

@@ -56,11 +56,14 @@ def test_csv_cell(spark):
 
 
 def test_error_fields(spark):
-    out = evaluate(spark, lambda d: jsonx.error_fields(F.col("s"), F.col("b")),
-                   [(200, '{"errorCode":"X"}'), (401, '{"message":"m"}'),
-                    (400, '{"errorCode":"","error_code":"E","error":"x"}'), (503, "not json")],
-                   "s int, b string")
-    assert [tuple(r) for r in out] == [(None, None), ("HTTP_401", "m"), ("E", "x"), ("HTTP_503", None)]
+    rows = [(0, 200, '{"errorCode":"X"}'), (1, 401, '{"message":"m"}'),
+            (2, 400, '{"errorCode":"","error_code":"E","error":"x"}'), (3, 503, "not json"),
+            (4, 500, '{"errorCode":"X","message":"m"} trailing'), (5, 500, "{'errorCode':'X'}"),
+            (6, 400, '{"errorCode":"A","errorCode":"B"}')]
+    df = spark.createDataFrame(rows, "i int, s int, b string")
+    out = jsonx.with_error_fields(df, "s", "b").orderBy("i").collect()
+    assert [(r.error_code, r.error_message) for r in out] == [
+        (None, None), ("HTTP_401", "m"), ("E", "x"), ("HTTP_503", None), ("HTTP_500", None), ("HTTP_500", None), ("B", None)]
 
 
 def test_error_title(spark):
@@ -70,14 +73,27 @@ def test_error_title(spark):
 
 def test_extract_json(spark):
     vals = ['x ```json {"a":1} ``` y', '{"a":1}', 'Answer: {"a":1}', "none", '```json {bad ``` then {"a":1}']
-    strict = evaluate(spark, lambda d: jsonx.extract_json(F.col("x"), lenient=False), vals)
-    lenient = evaluate(spark, lambda d: jsonx.extract_json(F.col("x"), lenient=True), vals)
+    df = spark.createDataFrame(list(enumerate(vals)), "i int, x string")
+    strict, lenient = ([(r.status, r.payload) for r in jsonx.extract_json_columns(df, "x", way).orderBy("i").collect()]
+                       for way in (False, True))
     assert [tuple(r) for r in strict] == [("ok", '{"a":1}'), ("ok", '{"a":1}'), ("no_json", None),
                                           ("no_json", None), ("bad_block", None)]
     assert [tuple(r) for r in lenient] == [("ok", '{"a":1}'), ("ok", '{"a":1}'), ("ok", '{"a":1}'),
                                            ("no_json", None), ("bad_block", None)]
 
 
+def test_duplicate_keys_last_wins(spark):
+    vals = ['{"a":1,"a":2}', '```json {"a":1,"a":2} ```', '{"a":1} {"b":2}', "1,2", "1"]
+    df = spark.createDataFrame(list(enumerate(vals)), "i int, x string")
+    got = [r.status for r in jsonx.extract_json_columns(df, "x").orderBy("i").collect()]
+    assert got == ["ok", "ok", "no_json", "no_json", "ok"]
+    bodies = ['{"password":"hunter2","password":"hunter3","a":1}', '{"a":1,"b":{"x":1,"x":2},"a":3}', "plain",
+              '{"password":"x"} y']
+    df = spark.createDataFrame(list(enumerate(bodies)), "i int, b string")
+    got = [r.v for r in df.select("i", jsonx.parse_response("b").alias("v")).orderBy("i").collect()]
+    assert got[:3] == ['{"password":"[REDACTED]","a":1}', '{"a":3,"b":{"x":2}}', '"plain"']
+
+
 def test_text_stats(spark):
     out = evaluate(spark, lambda d: text.text_stats(F.col("x")), ["", "a b", " a ", "a b"])
     assert [(r.chars, r.words, r.est_tokens) for r in out] == [(0, 1, 2), (3, 2, 3), (3, 3, 4), (3, 2, 3)]

@@ -52,9 +52,12 @@ def test_contacts_export(spark):
     h = Views(spark, SF_SMALL).search_hits
     wide = contacts.contacts_wide(contacts.contact_links(h), h)
     out = tempfile.mkdtemp(prefix="jl-csv-") + "/out"
-    kind = export.export_contacts(wide, out)
+    export.export_contacts(wide, out, "csv")
     n = wide.count()
-    assert kind == ("csv" if n > 5 else "json")
+    export.export_contacts(wide, out + "-json", "json")
+    back = spark.read.json(out + "-json")
+    assert back.count() == n and dict(back.dtypes)[contacts.CSV_HEADERS[4]] == "array<string>"
+    assert all(set(r) == set(contacts.CSV_HEADERS) for r in map(json.loads, open(glob.glob(f"{out}-json/*.json")[0])))
     rows = []
     for p in glob.glob(f"{out}/*.csv"):
         with open(p, newline="") as f:
@@ -72,7 +75,8 @@ def test_append_audit_and_catalog(spark):
     v = Views(spark, SF_SMALL)
     out = tempfile.mkdtemp(prefix="jl-audit-") + "/audit"
     rec = v.audit_log.withColumn("user_email", F.lit("x@y"))
-    assert export.append_audit(rec, out)
+    export.append_audit(rec, out, "b1")
+    export.append_audit(rec, out, "b1")  # a retry
     back = spark.read.parquet(out)
     assert back.count() == v.audit_log.count() and "user_email" not in back.columns and "day" in back.columns
     loc = tempfile.mkdtemp(prefix="jl-tbl-") + "/jl_probe"

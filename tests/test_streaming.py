@@ -106,7 +106,7 @@ def test_audit_record_optional_fields(spark):
           {"X-Api-Key": "k", "Accept": "json"}, None, "::1", "203.0.113.9")],
         "id long, path string, status_code int, response_body string, response_ms int, request_body string, "
         "request_headers map<string,string>, ip string, socket_address string, forwarded_for string")
-    r = audit.audit_record(df, sanitize_bodies=True).first()
+    r = audit.audit_record(df).first()
     assert (r.service, r.error_code, r.error_message, r.is_slow) == ("CHAT", "AI_SERVICE_ERROR", "m", True)
     assert r.request_headers == {"X-Api-Key": "[REDACTED]", "Accept": "json"}
     assert r.ip_address == "::1" and r.request_body == '{"password":"[REDACTED]","a":1}'
