@@ -32,15 +32,29 @@ def key_status(keys: DataFrame, users: DataFrame, emit_codes: bool = True) -> Da
 
 def check_requests(requests: DataFrame, keys: DataFrame, users: DataFrame,
                    emit_codes: bool = True) -> DataFrame:
-    """Outcome per request from its raw key header (trimmed like JS before lookup)."""
+    """Outcome per request from its raw key header (trimmed like JS before lookup).
+
+    Requests without a key or with a blank one name no stored key: they are answered where they
+    are read, and only the others are joined.
+    """
     req = requests.withColumn("lookup_key", js_trim(F.col("presented_key")))
-    j = req.join(with_owner(keys, users), req.lookup_key == F.col("key"), "left")
+    named = F.coalesce(F.col("lookup_key") != "", F.lit(False))
+    owned = with_owner(keys, users)
+    j = req.where(named).join(owned, F.col("lookup_key") == F.col("key"), "left").unionByName(
+        req.where(~named), allowMissingColumns=True)
     o = key_outcome(F.col("presented_key"), F.col("key_id").isNotNull(), F.col("owner_id").isNotNull(),
                     F.col("key_active"), F.col("key_deleted"), F.col("owner_deleted"), F.col("owner_verified"),
                     emit_codes)
     return j.select("request_id", "key_id", "created_at", o["code"].alias("code"), o["status"].alias("status"))
 
 
+def latest_per_key(requests: DataFrame) -> DataFrame:
+    """The latest request of each presented key: a hot key is one row per task before the shuffle."""
+    key = js_trim(F.col("presented_key"))
+    return requests.where(key != "").groupBy(key.alias("presented_key")).agg(
+        F.max("request_id").alias("request_id"), F.max("created_at").alias("created_at"))
+
+
 def key_last_used(keys: DataFrame, checked: DataFrame) -> DataFrame:
     """Set last_used_at = max(time of a successful check) per key (kept if newer already)."""
     used = (checked.where(F.col("status") == 200).groupBy("key_id")

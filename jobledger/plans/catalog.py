@@ -208,7 +208,8 @@ SELECT k.id, k.key, used.t AS last_used_at FROM api_keys k LEFT JOIN used ON use
        ("key_requests", "api_keys", "users"))
 def q_key_last_used(spark, d):
     v = Views(spark, d)
-    return accounts.key_last_used(v.api_keys, accounts.check_requests(v.key_requests, v.api_keys, v.users))
+    return accounts.key_last_used(v.api_keys, accounts.check_requests(
+        accounts.latest_per_key(v.key_requests), v.api_keys, v.users))
 
 
 @query("first_active_key", """
@@ -325,7 +326,7 @@ _JOB_COLS = ("id", "user_id", "title", "url", "status", "applied_date")
 
 
 @query("owned_changes", """
-SELECT c.id, c.user_id, c.status FROM job_changes c
+SELECT c.id, c.user_id, c.seq, c.status FROM job_changes c
 WHERE EXISTS (SELECT 1 FROM applied_jobs j WHERE j.id = c.id AND j.user_id = c.user_id)""",
        ("job_changes", "applied_jobs"))
 def q_owned_changes(spark, d):
@@ -334,7 +335,7 @@ def q_owned_changes(spark, d):
 
 
 @query("unowned_changes", """
-SELECT c.id, c.user_id, c.status FROM job_changes c
+SELECT c.id, c.user_id, c.seq, c.status FROM job_changes c
 WHERE NOT EXISTS (SELECT 1 FROM applied_jobs j WHERE j.id = c.id AND j.user_id = c.user_id)""",
        ("job_changes", "applied_jobs"))
 def q_unowned_changes(spark, d):
