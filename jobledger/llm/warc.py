@@ -167,7 +167,7 @@ def candidates(ranges: DataFrame) -> DataFrame:
                     leaves[offset] = leaves.get(succ, succ)
                 n = len(found)
                 yield pa.RecordBatch.from_pydict({
-                    "file": [r["file"]] * n, "size": pa.array([size] * n, pa.int64()),
+                    "file": pa.array([r["file"]] * n, pa.string()), "size": pa.array([size] * n, pa.int64()),
                     "start": pa.array([start] * n, pa.int64()), "stop": pa.array([stop] * n, pa.int64()),
                     "offset": pa.array([o for o, _ in found], pa.int64()),
                     "successor": pa.array([s for _, s in found], pa.int64()),
