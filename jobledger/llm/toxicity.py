@@ -10,7 +10,7 @@ The fit uses at most ``sample_rows`` labelled rows (those of the smallest hash o
 Scores depend on the text alone.
 
 Defined cases: null and empty texts have no terms and get the score of the bias; rows with null or repeated ids are each scored;
-with no labelled rows every score is 0; an empty table gives an empty result; further columns are
+with no labelled rows every score is next to 0; an empty table gives an empty result; further columns are
 ignored, whatever their names.
 """
 

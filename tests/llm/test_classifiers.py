@@ -78,7 +78,7 @@ def test_no_labels(odd, rated):
     docs, labels = rated
     none = labels.filter("false")
     assert quality.select(odd, quality.fit(docs, none, F.col("quality"), 3), 1, 0.5).count() == odd.count()
-    assert {r["score"] for r in toxicity.score(odd, toxicity.fit(docs, none, F.col("toxic"))).collect()} == {0.0}
+    assert {r["score"] for r in toxicity.score(odd, toxicity.fit(docs, none, F.col("toxic"))).collect() if r["score"] > 1e-15} == set()
 
 
 def test_sample_is_bounded(rated):

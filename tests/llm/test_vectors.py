@@ -92,7 +92,7 @@ def odd_vectors(spark):
 def test_odd_vectors(odd_vectors):
     got = grouped(maxscore.top_k(odd_vectors, odd_vectors.filter("vec_id % 50 = 0")).collect())
     assert set(got) == {0, 200, 300, 400, 500}
-    assert [i for i, _ in got[200]] == [400, 0, 300, 300, 40]  # ties to the smaller id, own id left out
+    assert [i for i, _ in got[200]] == [0, 300, 300, 400, 40]  # ties to the smaller id, own id left out
     assert [i for i, _ in got[500]] == [0, 40, 200, 300, 300]
     got = grouped(rabitq.search(odd_vectors, odd_vectors.filter("vec_id % 20 = 0")).collect())
     assert set(got) == {0, 200, 300, 400}
