@@ -7,13 +7,16 @@ context, N lines in all, n(c) with the value c, n(t) with the term t and n(c, t)
     disclosure(c, t) = PMI(c, t) / IC(c) = (log n(c,t) + log N - log n(c) - log n(t)) / (log N - log n(c))
 
 is 1 if the term occurs only beside the value, and 0 if it says nothing. Terms that reach
-``threshold`` beside a value, in at least ``min_lines`` different lines, are spans too, wherever
-they stand in a line with the value. ``sanitize`` generalises base spans to their kind and removes
-disclosing terms.
+``threshold`` beside a value, in at least ``min_lines`` different lines, are spans too, in every
+line of every document, with the value or without it (but not within a base span). ``sanitize``
+generalises base spans to their kind and removes disclosing terms.
 
 DataFrame functions only. Counts are summed by each task before they are shuffled, so a value or
-term held by a third of all lines is one row per task; the joins are equi-joins on (value, term)
-pairs, which the planner broadcasts or splits by size. Texts are never shuffled.
+term held by a third of all lines is one row per task; the joins are equi-joins on values, terms or
+documents, which the planner broadcasts or splits by size. To find the disclosing terms' places,
+a document's different words are compared with a bounded table of hash slots first, so that words
+in no used slot are not shuffled. Texts are shuffled once, when they are joined with their terms,
+unless those are few enough to be broadcast.
 
 The patterns match as ``[...]+`` written plainly would, but possessively, and only from the start
 of a run or the end of the last match, so that very long runs take linear time and no stack.
@@ -32,6 +35,7 @@ from .common import written
 
 THRESHOLD = 0.9
 MIN_LINES = 3
+SLOTS = 1 << 17  # rows of the broadcast table of disclosing terms' hash slots, at most
 
 # The kinds in the order of their listing, and their patterns.
 KINDS = ("email", "ip", "card", "phone", "term")
@@ -67,14 +71,14 @@ def _matches(text: Column, pattern: str) -> tuple[Column, Column]:
             F.when(hit, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))))
 
 
-def _located(between: Column, matches: Column) -> Column:
-    """Spans of matches, from the lengths of what stands before them (code points)."""
+def _located(between: Column, matches: Column, wanted=lambda value: F.lit(True)) -> Column:
+    """Spans of the wanted matches, from the lengths of what stands before them (code points)."""
     def step(acc, x):
         start = acc["at"] + F.length(x["0"])
         stop = start + F.length(x["1"])
         span = F.array(F.struct(start.alias("start"), stop.alias("stop"), x["1"].alias("value")))
         return F.when(x["1"].isNull(), acc).otherwise(
-            F.struct(stop.alias("at"), F.concat(acc["out"], span).alias("out")))
+            F.struct(stop.alias("at"), F.when(wanted(x["1"]), F.concat(acc["out"], span)).otherwise(acc["out"]).alias("out")))
 
     pairs = F.arrays_zip(between.alias("0"), matches.alias("1"))
     none = F.array().cast(_SPAN)
@@ -87,13 +91,13 @@ def _base(df: DataFrame, text: str) -> DataFrame:
     """Adds ``base``: array of (start, kind_no, stop, kind, value), in order."""
     staged = df.withColumns({f"{part}_{k}": col for k in KINDS[:4]
                              for part, col in zip(("between", "match"), _matches(F.col(text), PATTERNS[k]))})
-    staged = staged.withColumns({f"span_{k}": _located(F.col(f"between_{k}"), F.col(f"match_{k}")) for k in KINDS[:4]})
+    staged = staged.withColumns({f"span_{k}": _located(F.col(f"between_{k}"), F.col(f"match_{k}"),
+                                                       lambda value, k=k: _valid(k, value)) for k in KINDS[:4]})
 
     def of_kind(i: int, k: str) -> Column:
-        return F.transform(F.filter(f"span_{k}", lambda x: _valid(k, x["value"])),
-                           lambda x: F.struct(x["start"].alias("start"), F.lit(i).alias("kind_no"),
-                                              x["stop"].alias("stop"), F.lit(k).alias("kind"),
-                                              x["value"].alias("value")))
+        return F.transform(f"span_{k}", lambda x: F.struct(
+            x["start"].alias("start"), F.lit(i).alias("kind_no"), x["stop"].alias("stop"),
+            F.lit(k).alias("kind"), x["value"].alias("value")))
 
     kinds = [of_kind(i, k) for i, k in enumerate(KINDS[:4])]
     return staged.withColumn("base", F.array_sort(F.concat(*kinds))).select(*df.columns, "base")
@@ -117,7 +121,7 @@ def _same(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
 
 
 def disclosing(docs: DataFrame, id_col: str, text: str, threshold: float, min_lines: int) -> DataFrame:
-    """page, text_key, terms: spans of the terms that give a protected value of their line away."""
+    """page, text_key, terms: the words of a text that give a protected value away, as spelt there."""
     found = _base(docs.select(F.col(id_col).alias("page"), F.col(text).alias("text")), "text").filter(F.size("base") > 0)
 
     def line_start(b: Column) -> Column:
@@ -151,10 +155,8 @@ def disclosing(docs: DataFrame, id_col: str, text: str, threshold: float, min_li
              .withColumn("words", _located(F.col("between"), F.col("match"))))
     words = words.withColumn("words", F.filter("words", lambda w: ~F.exists("base", lambda b: (
         b["start"] < F.col("line_start") + w["stop"]) & (b["stop"] > F.col("line_start") + w["start"]))))
-    words = words.select(*where, F.explode("words").alias("word")).select(
-        *where, (F.col("line_start") + F.col("word.start")).alias("start"),
-        (F.col("line_start") + F.col("word.stop")).alias("stop"), F.lower("word.value").alias("t"))
-    words = written(_same(words, kept, where).select(*where, "c", "l", "start", "stop", "t"), "protected-words")
+    words = words.select(*where, F.explode("words").alias("word")).select(*where, F.lower("word.value").alias("t"))
+    words = written(_same(words, kept, where).select(*where, "c", "l", "t"), "protected-words")
 
     each = words.groupBy("c", "t", "page", "text_key", "line_start").agg(F.first("l").alias("l"))
     support = (each.groupBy("c", "t", "l").agg(F.count(F.lit(1)).alias("n"))
@@ -172,21 +174,35 @@ def disclosing(docs: DataFrame, id_col: str, text: str, threshold: float, min_li
     share = F.least(F.col("n_ct").cast("double"), F.col("n_t").cast("double"))
     disclosure = ((F.log(share) + log_n - F.log("n_c") - F.log("n_t")) / (log_n - F.log("n_c")))
     flagged = (support.join(n_c, "c").join(n_t, "t").filter(F.col("n_c") < total)
-               .withColumn("disclosure", disclosure).filter(F.col("disclosure") >= threshold).select("c", "t"))
-    spans = words.join(flagged, ["c", "t"]).select("page", "text_key", F.struct(
-        "start", F.lit(4).alias("kind_no"), "stop", F.lit("term").alias("kind")).alias("span"))
-    return written(spans.groupBy("page", "text_key").agg(F.collect_set("span").alias("terms")), "terms")
+               .withColumn("disclosure", disclosure).filter(F.col("disclosure") >= threshold))
+    flagged = written(flagged.select("t").distinct(), "flagged")
+
+    slot = F.xxhash64("t").bitwiseAND(F.lit(SLOTS - 1)).alias("slot")
+    everywhere = docs.select(F.col(id_col).alias("page"), _key(text).alias("text_key"), F.explode(
+        F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(TERM), F.lit(0)))).alias("word"))
+    everywhere = everywhere.withColumn("t", F.lower("word"))
+    likely = everywhere.select("*", slot).join(F.broadcast(flagged.select(slot).distinct()), "slot", "left_semi")
+    marked = likely.join(flagged, "t", "left_semi")
+    return written(marked.groupBy("page", "text_key").agg(F.collect_set("word").alias("terms")), "terms")
 
 
 def _with_spans(docs: DataFrame, id_col: str, text: str, threshold: float, min_lines: int) -> DataFrame:
     """``docs`` with ``base`` and ``all_spans``; ``text`` must not be null."""
     terms = disclosing(docs, id_col, text, threshold, min_lines).withColumnsRenamed({"page": "t_page", "text_key": "t_key"})
-    based = _base(docs, text).withColumn("__key", _key(text))
-    joined = based.join(terms, F.col(id_col).eqNullSafe(F.col("t_page")) & (F.col("__key") == F.col("t_key")), "left")
+    keyed = docs.withColumn("__key", _key(text))
+    joined = keyed.join(terms, F.col(id_col).eqNullSafe(F.col("t_page")) & (F.col("__key") == F.col("t_key")), "left")
+    based = _base(joined.drop("t_page", "t_key", "__key"), text)
+    some = F.col("terms").isNotNull()
+    between, match = _matches(F.col(text), TERM)
+    based = based.withColumns({"between": F.when(some, between), "match": F.when(some, match)})
+    based = based.withColumn("words", _located(F.col("between"), F.col("match"), lambda w: F.array_contains("terms", w)))
+    free = F.filter("words", lambda w: ~F.exists("base", lambda b: (b["start"] < w["stop"]) & (b["stop"] > w["start"])))
+    found = F.transform(free, lambda x: F.struct(x["start"].alias("start"), F.lit(4).alias("kind_no"),
+                                                 x["stop"].alias("stop"), F.lit("term").alias("kind")))
     plain = F.transform("base", lambda x: F.struct(x["start"].alias("start"), x["kind_no"].alias("kind_no"),
                                                    x["stop"].alias("stop"), x["kind"].alias("kind")))
-    return joined.withColumn("all_spans", F.when(F.col("terms").isNull(), plain).otherwise(
-        F.array_sort(F.concat(plain, "terms")))).drop("terms", "t_page", "t_key", "__key")
+    return based.withColumn("all_spans", F.when(some, F.array_sort(F.concat(plain, found))).otherwise(plain)) \
+                .drop("terms", "between", "match", "words")
 
 
 def _count(kind: str) -> Column:

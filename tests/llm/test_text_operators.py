@@ -122,6 +122,17 @@ def test_pii_disclosing_terms(spark):
     assert clean[11]["text"] == rows[6][1]
 
 
+def test_pii_disclosing_terms_are_marked_on_lines_without_the_value(spark):
+    rows = [(i, f"intro {i}\nZorbia asks anna@x.org often {i}") for i in range(8)]
+    rows += [(10 + i, f"often he asks, it says: line {i}") for i in range(200)]
+    rows += [(300, "no value\nbut ZORBIA, and zorbia@y.org"), (None, "Zorbia"), (None, "Zorbia"), (301, "zorbias")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {(r["doc_id"], r["spans"]) for r in pii.spans(df).collect()}
+    assert {(3, "term:8:14,email:20:30"), (300, "term:13:19,email:25:37"), (None, "term:0:6"), (301, ""), (11, "")} <= found
+    clean = [r["text"] for r in pii.sanitize(df).collect() if r["doc_id"] in (None, 300, 301)]
+    assert sorted(clean) == ["", "", "no value\nbut , and [EMAIL]", "zorbias"]
+
+
 def test_pii_odd_input(odd, empty):
     got = pii.sanitize(odd)
     assert got.columns == odd.columns
