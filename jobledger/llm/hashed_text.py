@@ -1,7 +1,8 @@
 """Hashed text features and a bounded, labelled training sample, for the classifiers here.
 
 A featurizer turns whole texts into arrays of bucket numbers. Buckets are chosen on the
-training sample by a chi-squared test against the label; counting is done by Spark, and only
+training sample, for additive models by a chi-squared test against the label, for models of
+pairs by their frequency alone; counting is done by Spark, and only
 the counts per bucket (a fixed number) and the sample's chosen buckets (a bounded number of
 rows) reach the driver, where the small models are fitted.
 """
@@ -95,6 +96,12 @@ def choose(rows: DataFrame, grades: int, min_docs: int = MIN_DOCS, chi2: float =
     return np.sort(b[order]).astype(np.int64)
 
 
+def frequent(rows: DataFrame, min_docs: int = MIN_DOCS) -> np.ndarray:
+    """Buckets of ``min_docs`` rows or more whatever their labels, in numeric order."""
+    counts = rows.select(F.explode("buckets").alias("b")).groupBy("b").count().filter(F.col("count") >= min_docs)
+    return np.sort(counts.select("b").toArrow().column("b").to_numpy()).astype(np.int64)  # at most BUCKETS rows
+
+
 def collected(rows: DataFrame, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(labels, row offsets, term numbers) of the training rows, chosen buckets only, in order of id."""
 

@@ -4,7 +4,8 @@ Terms are a text's lower-cased words, stripped of outer punctuation, and the wor
 letters (words of one stem share them), hashed into a fixed number of buckets. Besides a weight per term the
 model holds a short vector per term; the inner product of two terms' vectors is the weight of
 their meeting in one text, so that an insult together with the mention of a group counts for
-more than both alone, which no additive weights can say.
+more than both alone, which no additive weights can say. So every term in enough sampled texts is
+fitted: a term that says nothing alone may still say something together with another.
 
 The fit uses at most ``sample_rows`` labelled rows (those of the smallest hash of the id).
 Scores depend on the text alone.
@@ -97,14 +98,14 @@ class Machine:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: Column, id_col: str = "doc_id", text_col: str = "text",
-        sample_rows: int = H.SAMPLE_ROWS):
+        sample_rows: int = H.SAMPLE_ROWS, epochs: int = EPOCHS):
     """(terms, machine) fitted on the documents that ``labels`` names; label is 0 or 1."""
     rows = H.training_rows(docs, id_col, text_col, H.sample(labels, id_col, label, sample_rows), featurizer)
-    terms = H.choose(rows, 2)
+    terms = H.frequent(rows)
     y, offsets, found = H.collected(rows, terms)
     machine = Machine(len(terms))
     if len(y):
-        machine.fit(y, offsets, found)
+        machine.fit(y, offsets, found, epochs)
     else:
         machine.bias = -np.inf
     return terms, machine

@@ -41,6 +41,17 @@ def test_factorization_machine_learns_a_pair():
     assert ((machine.score(row, terms, len(x)) >= 0.5) == y).mean() > 0.95
 
 
+def test_toxicity_learns_a_pair_of_words_that_say_nothing_alone(spark):
+    """The same through the operator: both words alone are about as frequent in either class."""
+    x = np.random.default_rng(0).random((4000, 6)) < 0.5
+    words = np.array(["ka", "lo", "mi", "nu", "pe", "ri"])
+    docs = spark.createDataFrame([(i, " ".join(words[r])) for i, r in enumerate(x)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(r[0] == r[1])) for i, r in enumerate(x)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels.filter("doc_id < 3000"), F.col("toxic"), epochs=40)
+    got = toxicity.score(docs, model).filter("doc_id >= 3000").join(labels, "doc_id").toPandas()
+    assert ((got.score >= 0.5) == (got.toxic == 1)).mean() > 0.95
+
+
 def test_ordinal_thresholds_are_ordered_and_graded():
     rng = random.Random(0)
     y, offsets, terms = [], [0], []
