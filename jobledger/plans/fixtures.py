@@ -3,8 +3,9 @@
 Each view is a lazy DataFrame built with the DataFrame API from the raw tables,
 so column pruning and filters still reach the parquet scan. The same views are
 written as SQL text in ``plans/oracle_views.py`` for the DuckDB cross-check. Modulo
-expressions here only *shape* values (nulls, categories, wrong owners); they
-never drop rows to make a check cheaper.
+expressions here shape values (nulls, categories, wrong owners). Four views hold only
+part of their source rows: ``skills_raw`` (two of three pairs), ``skill_saves`` (purchase
+events), ``user_skills`` (every third customer), ``resume_settings`` (three of four).
 """
 
 from __future__ import annotations
