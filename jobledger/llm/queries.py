@@ -60,7 +60,9 @@ GRADES, KEEP_GRADE, KEEP_P = 3, 1, 0.5
 
 
 def grade():
-    return F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).otherwise(2)
+    """Null, so without part in the fit, where a label that decides the grade is null."""
+    rated, toxic = F.col("quality").isNotNull(), F.col("toxic")
+    return F.when(F.col("quality") == 0, 0).when(rated & (toxic == 1), 1).when(rated & toxic.isNotNull(), 2)
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -92,6 +92,12 @@ def test_no_labels(odd, rated):
     assert {r["score"] for r in toxicity.score(odd, toxicity.fit(docs, none, F.col("toxic"))).collect() if r["score"] > 1e-15} == set()
 
 
+def test_grade_of_null_labels_is_null(spark):
+    rows = [(0, 0, 0), (0, None, 0), (1, 1, 1), (1, 0, 2), (1, None, None), (None, 1, None), (None, 0, None), (None, None, None)]
+    df = spark.createDataFrame(rows, "quality int, toxic int, want int")
+    assert [r["got"] for r in df.select(queries.grade().alias("got")).collect()] == [w for *_, w in rows]
+
+
 def test_sample_is_bounded(rated):
     _, labels = rated
     assert hashed_text.sample(labels, "doc_id", F.col("quality"), 7).count() == 7
