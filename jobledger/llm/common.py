@@ -33,6 +33,13 @@ def partitions_for(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+#: bytes.translate table: A-Z in lower case; of the other ASCII only digits and a-z stay, the rest are blanks.
+#: Bytes of longer UTF-8 characters stay, so splitting at blanks gives the words of a UTF-8 text.
+WORD_BYTES = bytes(
+    c + 32 if 0x41 <= c <= 0x5A else c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20
+    for c in range(256))
+
+
 class WordHashes(dict):
     """bytes -> 64-bit hash of a word, computed once per distinct word.
 

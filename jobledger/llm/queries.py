@@ -5,7 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, maxscore, ngram_join, packing, pieces, pii, quality, rabitq, toxicity, warc
+from . import (
+    licences,
+    line_dedup,
+    maxscore,
+    ngram_join,
+    packing,
+    periodic,
+    pieces,
+    pii,
+    quality,
+    rabitq,
+    ranked,
+    toxicity,
+    warc,
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -83,6 +97,52 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.decode(pieces.encode(_table(spark, sf_dir, "documents")))
 
 
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licences.scan(_table(spark, sf_dir, "documents"))
+    starts, base = F.col("places.start"), F.col("places.label")
+
+    def listed(labels):
+        return F.array_join(F.array_sort(F.array_distinct(labels)), ",")
+
+    return found.select(
+        "doc_id", "n_words", F.size("places").cast("long").alias("n_base"), F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"), listed(base).alias("base_labels"),
+        listed(F.concat(base, F.col("spans.label"))).alias("labels"), "score", "spans")
+
+
+def repeated_words(docs: DataFrame) -> DataFrame:
+    """Stand-in input of op12: the texts, of which a tenth repeats a part of its words up to its end."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+", -1), lambda w: w != "")
+    made = docs.withColumn("h", h).withColumn("g", g).withColumn("w", F.when(F.col("h") % 10 == 0, words))
+    a = F.col("g") % F.size("w")
+    p = 1 + F.floor((F.size("w") - F.col("a")) / (3 + F.col("g") % 8))
+    made = made.withColumn("a", F.when(F.size("w") > 0, a)).withColumn("p", p)
+    again = F.transform("w", lambda w, i: F.when(i < F.col("a"), w).otherwise(
+        F.get("w", (F.col("a") + (i - F.col("a")) % F.col("p")).cast("int"))))
+    return made.select("doc_id", F.when(F.size("w") > 0, F.array_join(again, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of each text, the one repeated most often, and digests of all runs and of the text with runs collapsed."""
+    found = periodic.detect(repeated_words(_table(spark, sf_dir, "documents")))
+    most = F.expr("aggregate(runs, get(runs, 0), (a, r) -> "
+                  "if(r.length * a.period > a.length * r.period, r, a))")  # in order of start, then period
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    listed = F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise("")
+    return found.withColumn("most", most).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "most.start", "most.length", "most.period",
+        F.expr("(1000 * most.length) div most.period").alias("exponent_milli"),
+        F.sha2(listed.cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ranked.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.withColumnRenamed("query_id", "item_id")
+
+
 OP1_SQL = """WITH d AS (SELECT doc_id, source, text, coalesce(source, '') AS host FROM documents),
 l AS (SELECT doc_id, source, host, text, unnest(string_split(text, chr(10))) AS line,
              unnest(range(len(string_split(text, chr(10))))) AS i FROM d),
@@ -123,6 +183,23 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_inner_product(q.e, c
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM s)
 SELECT query_id, CAST(n AS INTEGER) AS "rank", vec_id, score FROM r WHERE n <= 20"""
 
+OP13_SQL = r"""WITH d AS (
+  SELECT doc_id, row_number() OVER () AS row, regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents WHERE text IS NOT NULL),
+t AS (SELECT doc_id, row, len(w) AS n, unnest(w) AS term FROM d WHERE len(w) > 0),
+c AS (SELECT count(*) AS docs, sum(len(w))::BIGINT AS terms FROM d WHERE len(w) > 0),
+f AS (SELECT doc_id, row, term, any_value(n) AS n, count(*) AS tf FROM t GROUP BY ALL),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+w AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w
+      FROM f, c GROUP BY term, docs),
+s AS (SELECT item_id, doc_id, row, sum(w.w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * docs) // terms))))::BIGINT AS score
+      FROM q JOIN w USING (term) JOIN f USING (term), c WHERE doc_id IS NOT NULL GROUP BY item_id, doc_id, row),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS k FROM s WHERE score > 0)
+SELECT item_id, k::INTEGER AS "rank", doc_id, score FROM r WHERE k <= 10"""
+
 QUERIES = {
     "op1_line_dedup": (op1_line_dedup, OP1_SQL),
     "op2_warc": (op2_warc, OP2_SQL),
@@ -134,4 +211,7 @@ QUERIES = {
     "op8_quality": (op8_quality, None),
     "op9_packing": (op9_packing, None),
     "op10_pieces": (op10_pieces, None),
+    "op11_license_scan": (op11_license_scan, None),
+    "op12_periodic_runs": (op12_periodic_runs, None),
+    "op13_ranked_search": (op13_ranked_search, OP13_SQL),
 }
