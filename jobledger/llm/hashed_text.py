@@ -9,7 +9,7 @@ rows) reach the driver, where the small models are fitted.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable
 from hashlib import blake2b
 
 import numpy as np
@@ -22,6 +22,7 @@ from .common import CACHE_WORDS, written
 BUCKETS = 1 << 20
 SAMPLE_ROWS = 20_000
 MIN_DOCS = 4
+MIN_SHARE = 0.001  # of the sampled texts; rarer terms are learnt by heart instead of telling anything
 CHI2 = 10.8  # 0.1 % level at one degree of freedom
 MAX_TERMS = 50_000
 
@@ -96,8 +97,9 @@ def choose(rows: DataFrame, grades: int, min_docs: int = MIN_DOCS, chi2: float =
     return np.sort(b[order]).astype(np.int64)
 
 
-def frequent(rows: DataFrame, min_docs: int = MIN_DOCS) -> np.ndarray:
-    """Buckets of ``min_docs`` rows or more whatever their labels, in numeric order."""
+def frequent(rows: DataFrame, min_docs: int = MIN_DOCS, share: float = MIN_SHARE) -> np.ndarray:
+    """Buckets of ``min_docs`` rows and of a ``share`` of all rows or more whatever their labels, in numeric order."""
+    min_docs = max(min_docs, int(share * rows.count()))
     counts = rows.select(F.explode("buckets").alias("b")).groupBy("b").count().filter(F.col("count") >= min_docs)
     return np.sort(counts.select("b").toArrow().column("b").to_numpy()).astype(np.int64)  # at most BUCKETS rows
 
@@ -106,8 +108,9 @@ def collected(rows: DataFrame, terms: np.ndarray) -> tuple[np.ndarray, np.ndarra
     """(labels, row offsets, term numbers) of the training rows, chosen buckets only, in order of id."""
 
     def keep(batches):
+        number = _numbers(terms)
         for batch in batches:
-            found = [np.searchsorted(terms, _in(terms, x)) for x in batch.column(2).to_pylist()]
+            found = [_found(number, np.asarray(x, np.int64)) for x in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int32()))],
                                              names=["sample_id", "label", "terms"])
 
@@ -120,9 +123,17 @@ def collected(rows: DataFrame, terms: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return y, np.concatenate([[0], np.cumsum(lens)]), lists.flatten().to_numpy().astype(np.int64)
 
 
-def _in(terms: np.ndarray, buckets: Iterable[int]) -> np.ndarray:
-    x = np.unique(np.asarray(buckets, np.int64))
-    return x[np.isin(x, terms, assume_unique=True)]
+def _numbers(terms: np.ndarray) -> np.ndarray:
+    """For every bucket its place among the terms, or -1."""
+    number = np.full(BUCKETS, -1, np.int32)
+    number[terms] = np.arange(len(terms), dtype=np.int32)
+    return number
+
+
+def _found(number: np.ndarray, buckets: np.ndarray) -> np.ndarray:
+    """Distinct term numbers of the buckets, in numeric order."""
+    x = number[buckets]
+    return np.unique(x[x >= 0])
 
 
 def batches_of(offsets: np.ndarray, terms: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -146,11 +157,11 @@ def scored(docs: DataFrame, id_col: str, text_col: str, featurizer: Featurizer,
     arrow = {"double": pa.float64(), "int": pa.int32()}
 
     def run(batches):
-        features = featurizer()
+        features, number = featurizer(), _numbers(terms)
         for batch in batches:
-            found = [_in(terms, features(x.as_py() or "")) for x in batch.column(0)]
+            found = [_found(number, features(x.as_py() or "")) for x in batch.column(0)]
             row = np.repeat(np.arange(len(found)), [len(x) for x in found])
-            term = np.searchsorted(terms, np.concatenate(found)) if found else np.zeros(0, np.int64)
+            term = np.concatenate(found).astype(np.int64) if found else np.zeros(0, np.int64)
             cols = score(row, term, len(found))
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[1:], *(pa.array(c, arrow[t]) for c, (_, t) in zip(cols, out))],

@@ -10,7 +10,7 @@ share of distinct words, of distinct lines and of words that repeat the one befo
 
 The fit uses at most ``sample_rows`` rated rows (those of the smallest hash of the id).
 
-Defined cases: null and empty texts are graded by their one feature of length nought, so they
+Defined cases: a text of any length is scored whole; null and empty texts are graded by their one feature of length nought, so they
 have a grade like any other; rows with null or repeated ids are each graded; without rated rows nothing is known, and every
 tail probability is 1 and every expected grade the highest, so nothing is rejected; an empty table gives an empty result; further
 columns are ignored, whatever their names.

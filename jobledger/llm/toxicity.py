@@ -10,7 +10,7 @@ fitted: a term that says nothing alone may still say something together with ano
 The fit uses at most ``sample_rows`` labelled rows (those of the smallest hash of the id).
 Scores depend on the text alone.
 
-Defined cases: null and empty texts have no terms and get the score of the bias; rows with null or repeated ids are each scored;
+Defined cases: null and empty texts have no terms and get the score of the bias; a text of any length is scored whole; rows with null or repeated ids are each scored;
 with no labelled rows every score is next to 0; an empty table gives an empty result; further columns are
 ignored, whatever their names.
 """
@@ -108,6 +108,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: Column, id_col: str = "doc_id
         machine.fit(y, offsets, found, epochs)
     else:
         machine.bias = -np.inf
+    machine.w, machine.v = machine.w.astype(np.float32), machine.v.astype(np.float32)  # as sent to the tasks
     return terms, machine
 
 

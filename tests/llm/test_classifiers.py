@@ -101,3 +101,50 @@ def test_grade_of_null_labels_is_null(spark):
 def test_sample_is_bounded(rated):
     _, labels = rated
     assert hashed_text.sample(labels, "doc_id", F.col("quality"), 7).count() == 7
+
+
+def test_machine_equals_the_naive_sum_over_pairs():
+    rng = np.random.default_rng(3)
+    machine = toxicity.Machine(9, 4)
+    machine.bias, machine.w, machine.v = 0.3, rng.normal(size=9), rng.normal(size=(9, 4))
+    texts = [rng.permutation(9)[: rng.integers(0, 9)] for _ in range(40)]
+    row = np.repeat(np.arange(40), list(map(len, texts)))
+    got = machine.score(row, np.concatenate(texts), 40)
+    for terms, score in zip(texts, got):
+        raw = 0.3 + sum(machine.w[t] for t in terms)
+        raw += sum(machine.v[a] @ machine.v[b] for i, a in enumerate(terms) for b in terms[:i])
+        assert abs(score - 1 / (1 + np.exp(-raw))) < 1e-9
+
+
+def test_ordinal_equals_the_naive_likelihood_and_raises_it():
+    rng = np.random.default_rng(4)
+    y = rng.integers(0, 4, 600)
+    texts = [np.array([k for k in range(5) if rng.random() < (0.8 if k < g else 0.2)], int) for g in y]
+    offsets, terms = np.concatenate([[0], np.cumsum(list(map(len, texts)))]), np.concatenate(texts)
+
+    def likelihood(model):
+        total = 0.0
+        theta = [-np.inf, model.first]
+        for g in model.gaps:
+            theta.append(theta[-1] + np.exp(g))
+        theta.append(np.inf)
+        for g, t in zip(y, texts):
+            x = sum(model.w[k] for k in t)
+            total += np.log(1 / (1 + np.exp(x - theta[g + 1])) - 1 / (1 + np.exp(x - theta[g])))
+        return total
+
+    first, last = (quality.Ordinal(5, 4).fit(y, offsets, terms, epochs=e) for e in (0, 30))
+    assert likelihood(last) > likelihood(first) + 50
+    row = np.repeat(np.arange(600), list(map(len, texts)))
+    below = np.concatenate([np.zeros((600, 1)), last.at_most(row, terms, 600), np.ones((600, 1))], axis=1)
+    assert abs(np.log(below[np.arange(600), y + 1] - below[np.arange(600), y]).sum() - likelihood(last)) < 1e-6
+    expected, tail = last.grade(row, terms, 600, 2)
+    p = np.diff(below, axis=1)
+    assert np.allclose(expected, p @ np.arange(4)) and np.allclose(tail, p[:, 2:].sum(axis=1))
+
+
+def test_look_up_keeps_the_chosen_terms_only():
+    terms = np.array([3, 10, 77])
+    number = hashed_text._numbers(terms)
+    assert hashed_text._found(number, np.array([77, 5, 3, 77])).tolist() == [0, 2]
+    assert hashed_text._found(hashed_text._numbers(np.zeros(0, int)), np.array([1])).tolist() == []
