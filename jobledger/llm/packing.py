@@ -1,6 +1,6 @@
 """Shortest-pack-first packing of tokenised documents into sequences of fixed length.
 
-A document's ids are those of the given tokenizer plus one end id. Documents longer than a
+A document's ids are those of the given tokenizer (its added tokens where a text holds their strings) plus one end id. Documents longer than a
 sequence are cut into full pieces and a rest; every piece is a row, measured and digested
 where it was tokenised, so ids are made once and never shuffled. The lengths' histogram (at
 most ``seq_len`` rows, whatever the input) is packed on the driver: lengths are placed longest
@@ -12,12 +12,14 @@ ranked by many tasks.
 
 Defined cases: null text counts as empty, and an empty document is its end id alone; rows with a
 null or repeated id are packed like any other, every row on its own; very long texts are
-tokenised whole; an empty table gives an empty result; further columns are ignored.
+tokenised whole; pieces of one length are ranked by a hash, id, start and digest, so repeated rows may
+change places only with each other; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
 
 import base64
+import json
 import re
 import zlib
 from collections import defaultdict
@@ -38,19 +40,27 @@ _PIECES = pa.schema([(c, pa.int64()) for c in ("doc_id", "start", "length", "ids
 
 
 def default_ranks() -> str:
-    """The byte-level BPE vocabulary in rank form (the same ids as byte_bpe_50k.json)."""
+    """The byte-level BPE vocabulary in rank form (the same ids as ``default_tokenizer``)."""
     import public_tokenizers
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
-def byte_bpe(ranks_path: str):
-    """Encoder of a byte-level BPE vocabulary given as ranks; special strings are ordinary text."""
+def default_tokenizer() -> str:
+    """The tokenizer's own file, which also names its added tokens."""
+    import public_tokenizers
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def byte_bpe(ranks_path: str, tokenizer_path: str):
+    """Encoder of a byte-level BPE vocabulary given as ranks, with the added tokens of the tokenizer's file."""
     import public_tokenizers
     import tiktoken
     with open(ranks_path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    with open(tokenizer_path, encoding="utf-8") as f:
+        added = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
     return tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks,
-                             special_tokens={})
+                             special_tokens=added)
 
 
 class Encoder(dict):
@@ -58,7 +68,8 @@ class Encoder(dict):
 
     The vocabulary's pattern always starts a new pre-token at a blank that stands before a
     character other than white space, so a text in which every blank does is the concatenation
-    of its chunks (" word"). Other texts are encoded as a whole. ``trim`` bounds the cache.
+    of its chunks (" word"). Other texts, and those that hold an added token (which is one id
+    wherever it stands), are encoded as a whole. ``trim`` bounds the cache.
     """
 
     _odd = re.compile(r" (?=\s|\Z)")
@@ -66,6 +77,7 @@ class Encoder(dict):
     def __init__(self, encoding):
         super().__init__()
         self.encoding = encoding
+        self.added = sorted(encoding.special_tokens_set)
         self.clear()
 
     def clear(self):
@@ -99,8 +111,8 @@ class Encoder(dict):
         out: list = [None] * len(texts)
         plain, chunks = [], []
         for i, text in enumerate(texts):
-            if self._odd.search(text):
-                out[i] = np.array(self.encoding.encode_ordinary(text), np.uint32)
+            if self._odd.search(text) or any(a in text for a in self.added):
+                out[i] = np.array(self.encoding.encode(text, allowed_special="all"), np.uint32)
                 continue
             first, *rest = text.split(" ")
             plain.append((i, self.encoding.encode_ordinary(first)))
@@ -116,12 +128,12 @@ class Encoder(dict):
 
 
 def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seq_len: int = SEQ_LEN,
-           end_id: int = END_ID, ranks_path: str | None = None) -> DataFrame:
+           end_id: int = END_ID, ranks_path: str | None = None, tokenizer_path: str | None = None) -> DataFrame:
     """One row per piece: doc_id, start, length, crc32 of its ids, tokens of its document."""
-    ranks_path = ranks_path or default_ranks()
+    ranks_path, tokenizer_path = ranks_path or default_ranks(), tokenizer_path or default_tokenizer()
 
     def tokenize(batches):
-        encoder = Encoder(byte_bpe(ranks_path))
+        encoder = Encoder(byte_bpe(ranks_path, tokenizer_path))
         for batch in batches:
             rows = []
             for k in range(0, batch.num_rows, _TEXTS):
@@ -203,9 +215,9 @@ def ranked(pieces_df: DataFrame, lanes: int) -> DataFrame:
 
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seq_len: int = SEQ_LEN,
-         end_id: int = END_ID, ranks_path: str | None = None) -> DataFrame:
+         end_id: int = END_ID, ranks_path: str | None = None, tokenizer_path: str | None = None) -> DataFrame:
     """Pieces with their sequence_id and offset; sequences hold at most ``seq_len`` ids."""
-    cut = written(pieces(docs, id_col, text_col, seq_len, end_id, ranks_path), "pieces")
+    cut = written(pieces(docs, id_col, text_col, seq_len, end_id, ranks_path, tokenizer_path), "pieces")
     histogram = {r["length"]: r["count"] for r in cut.groupBy("length").count().collect()}  # <= seq_len rows
     place = slots(pack_histogram(histogram, seq_len))
 

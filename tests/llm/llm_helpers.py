@@ -55,7 +55,6 @@ def token_ids(text):
         import public_tokenizers
         from tokenizers import Tokenizer
         _TOKENIZER = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-        _TOKENIZER.encode_special_tokens = True
     return _TOKENIZER.encode(text or "", add_special_tokens=False).ids + [1]
 
 
