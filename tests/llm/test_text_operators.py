@@ -4,6 +4,7 @@ import random
 from functools import lru_cache
 
 import duckdb
+import numpy as np
 import pytest
 from llm_helpers import base_spans, crc, near_groups, token_ids
 
@@ -64,6 +65,39 @@ def test_ngram_join_equals_brute_force(spark, words, percent, monkeypatch):
     assert got == near_groups(docs, words, percent)
 
 
+def test_a_group_of_near_copies_gives_few_pairs(spark, monkeypatch):
+    """2,000 near copies of one text, linked through it, and 400 that almost link: pairs stay next to the documents."""
+    rng = random.Random(7)
+    base = [f"b{k}" for k in range(150)]
+    docs = [(0, " ".join(base))]
+    for k in range(1, 2401):
+        x = list(base)
+        for _ in range(1 if k <= 2000 else 9):
+            x[rng.randrange(len(x))] = f"own{k}"
+        docs.append((k, " ".join(x)))
+    made, rest = [], ngram_join.rest
+    monkeypatch.setattr(ngram_join, "rest", lambda *a: made.append(ngram_join.written(rest(*a), "pairs")) or made[-1])
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.join(df).collect()}
+    assert all(got[k] == 0 for k in range(2001))
+    assert made[0].count() < len(docs)
+
+
+def test_tree_join_keeps_every_pair_within_the_bounds():
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 2**63, 60).astype(np.uint64)) for _ in range(12)]
+    sets += [np.unique(np.concatenate([s[: rng.integers(40, 61)], rng.integers(0, 2**63, 5).astype(np.uint64)])) for s in sets * 5]
+    points = np.stack([ngram_join.widened(ngram_join.narrow(ngram_join.point(s, ngram_join.FINE))) for s in sets])
+    n, label = np.array(list(map(len, sets))), np.arange(len(sets)) % 7
+    for side in (np.zeros(len(sets), int), np.arange(len(sets)) % 2):
+        got = {tuple(sorted(p)) for p in ngram_join.tree_join(n, label, points, side, 80).tolist()}
+        for a in range(len(sets)):
+            for b in range(a):
+                shared = len(np.intersect1d(sets[a], sets[b]))
+                if 100 * shared >= 80 * (n[a] + n[b] - shared) and label[a] != label[b] and (side[a] != side[b] or not side.any()):
+                    assert (b, a) in got
+
+
 def test_ngram_join_on_documents(documents):
     docs = [(r["doc_id"], r["text"]) for r in documents.collect()]
     got = sorted(map(tuple, ngram_join.join(documents).collect()), key=str)
@@ -191,8 +225,9 @@ def test_shortest_pack_first():
 
 
 def test_chunked_encoding_equals_the_tokenizer():
-    encoder = packing.Encoder(packing.byte_bpe(packing.default_ranks()))
-    texts = ["a  b\t c \n", "  x", "x ", "a   b", "été 　x  y", "", " ", "\n\n a", "a \n b", "it's  'll x", "<|endoftext|> a",
+    encoder = packing.Encoder(packing.byte_bpe(packing.default_ranks(), packing.default_tokenizer()))
+    texts = ["a  b\t c \n", "  x", "x ", "a   b", "été 　x  y", "", " ", "\n\n a", "a \n b", "it's  'll x", "<|endoftext|> a", "a <|endoftext|> b",
+             "<|endoftext|><|endoftext|>", "x<|endoftext|>", "<|endoftext", "a  <|endoftext|>\n b",
              " é", "a \x85b", "a \x1cb", "a b\n c", "a\n\n\nb c"]
     for text, ids in zip(texts, encoder.encode_all(texts)):
         assert ids.tolist() == token_ids(text)[:-1]
@@ -226,6 +261,28 @@ def test_shared_prefix_viterbi_equals_brute_force(vocabulary):
     assert list(vocabulary.segment(words)) == [brute_segment(vocabulary, w) for w in words]
 
 
+def test_ids_equal_the_library_on_a_unigram_copy(vocabulary, documents):
+    """The library's own Viterbi over the same pieces with the same scores."""
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2
+    model = sentencepiece_model_pb2.ModelProto()
+    with open(pieces.default_model(), "rb") as f:
+        model.ParseFromString(f.read())
+    model.trainer_spec.model_type = model.trainer_spec.UNIGRAM
+    by_id = dict(vocabulary.pieces.values())
+    for i, piece in enumerate(model.pieces):
+        if i in by_id:
+            piece.score = by_id[i]
+    library = sentencepiece.SentencePieceProcessor(model_proto=model.SerializeToString())
+    encoder = pieces.Encoder(vocabulary)
+    texts = [r["text"] for r in documents.collect() if r["text"] and len(r["text"]) < 5000]
+    texts += ["Hello world", " two  blanks   three ", "tabs\tand\nlines\n\n", "漢字 \U0001F600\U0001F600 é", "a" * 300, "x=1;  y = 2"]
+    assert len(texts) > 100
+    for text in texts:
+        assert encoder.encode([text])[1].tolist() == library.encode(text), text
+    assert [library.id_to_piece(i) for i in encoder.encode(["Hello world"])[1].tolist()] == ["▁Hello", "▁world"]
+
+
 def test_pieces_round_trip(documents, odd, empty, vocabulary):
     for df in (documents, odd):
         want = sorted(str((r["doc_id"], r["text"] or "")) for r in df.select("doc_id", "text").collect())
