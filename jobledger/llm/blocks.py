@@ -78,18 +78,19 @@ def one_per_id(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return df.groupBy(id_col).agg(F.min(vec_col).alias(vec_col))
 
 
-def grid(index: DataFrame, queries: DataFrame, lanes: int | None = None) -> DataFrame:
+def grid(index: DataFrame, queries: DataFrame, lanes: int | None = None, hint: str | None = None) -> DataFrame:
     """Every (index block, query block) pair, dealt over ``lanes`` groups of index blocks.
 
     Index blocks are spread over the lanes at random and each query block is sent once to
     every lane, so the pairs come from an equi-join on the lane: the work is that of a
     stated query set against all rows, in blocks, and a task holds one pair at a time.
+    ``hint``: a join hint for the queries' side, whose size after its repetition Spark can't estimate.
     """
     lanes = lanes or max(8, partitions_for(index))
     left = index.withColumn("lane", F.pmod(F.xxhash64("ids"), F.lit(lanes)).cast("int"))
     right = queries.select(F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("lane"),
                            *[F.col(c).alias(f"q_{c}") for c in queries.columns])
-    return left.join(right, "lane")
+    return left.join(right.hint(hint) if hint else right, "lane")
 
 
 def query_blocks(df: DataFrame, id_col: str, vec_col: str, rows: int) -> DataFrame:

@@ -251,7 +251,7 @@ def search(docs: DataFrame, queries: DataFrame, k: int = TOP, id_col: str = "doc
                     yield best.drain()
         yield best.drain()
 
-    pairs = grid(doc_blocks(index, total, max(1, all_terms)), query_blocks(weights)).select(*_BLOCK, "q_entries")
+    pairs = grid(doc_blocks(index, total, max(1, all_terms)), query_blocks(weights), hint="merge").select(*_BLOCK, "q_entries")
     found = pairs.mapInArrow(run, "query_id long, doc_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
