@@ -12,7 +12,7 @@ first, so a host with a third of all pages is spread over its lines, and a line
 pages is one row per task. Pages meet the boilerplate of their host in an equi-join that the
 planner broadcasts or splits by size; only the dropped digests per page are joined back to texts.
 
-Defined cases: null or empty host: one common host; null text stays null and counts as a page
+Defined cases: a text of any length is handled whole, line by line; null or empty host: one common host; null text stays null and counts as a page
 without lines; rows with null or repeated ids are pages of their own, matched by id and
 text; a text whose lines are all dropped becomes empty; an empty table gives an empty result;
 further columns are kept as they are, whatever their names.
