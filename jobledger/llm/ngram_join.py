@@ -27,13 +27,14 @@ sets of this kind meet, and to those of groups that don't tell if there are stil
    then compares the sets.
 3. ``components``: alternating large-star and small-star steps on the verified links.
 4. ``rest``: only shards that still hold documents of several components can hide links.
-   Their points are split into blocks, the block pairs' R-trees are joined, pairs of different components
-   that survive the bounds are verified, and the components are joined by what links.
+   First each member is compared with the most central one of its shard, and the components are
+   joined by what links. Then the points of shards where components still meet are split into blocks, the
+   block pairs' R-trees are joined, and pairs of different components that survive the bounds are verified.
 
 So a group of k near copies costs about k comparisons, and every pair that could link is either
 within one component already or compared: no link between components is lost.
 
-Defined cases: null text, and text without words: empty set, linked with nothing, its own
+Defined cases: a text of any length gives its whole set; equal sets are one class, whose smallest id stands for it; null text, and text without words: empty set, linked with nothing, its own
 component; rows with a null id: component null; rows repeated with the same id are one document
 with the links of all of them; an empty table gives an empty result; further columns are ignored.
 """
@@ -53,6 +54,7 @@ from .common import WordHashes, partitions_for, written
 WORDS = 3
 PERCENT = 90
 DIMS = 64
+FINE = 512  # coordinates of the points in the trees, a multiple of DIMS
 SAMPLE_DOCS = 8192  # documents that common n-grams are sought in
 COMMON_DOCS = 6  # of them, those that hold a common n-gram
 CLASS_RATIO = 0.7  # smallest to largest size of a size class
@@ -145,8 +147,18 @@ class Shards:
         return mix(mix(key) + mix(own + _B)), count
 
 
-def point(grams: np.ndarray) -> np.ndarray:
-    return np.bincount((grams >> np.uint64(8)) % np.uint64(DIMS), minlength=DIMS).astype(np.int32)
+def point(grams: np.ndarray, dims: int = DIMS) -> np.ndarray:
+    return np.bincount((grams >> np.uint64(8)) % np.uint64(dims), minlength=dims).astype(np.int32)
+
+
+def narrow(counts: np.ndarray) -> bytes:
+    """The counts in the fewest bytes each that hold the largest."""
+    most = int(counts.max(initial=0))
+    return counts.astype("<u1" if most < 1 << 8 else "<u2" if most < 1 << 16 else "<u4").tobytes()
+
+
+def widened(blob: bytes) -> np.ndarray:
+    return np.frombuffer(blob, f"<u{len(blob) // FINE}").astype(np.int32)
 
 
 def stars(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -338,7 +350,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """id, n, point, grams of the documents ``wanted`` (id)."""
+    """id, n, point, fine (a point of more coordinates), grams of the documents ``wanted`` (id)."""
 
     def run(batches):
         hashes = WordHashes()
@@ -350,22 +362,25 @@ def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([len(g) for g in grams], pa.int64()),
                  pa.array([point(g) for g in grams], pa.list_(pa.int32())),
-                 pa.array([g.tobytes() for g in grams], pa.binary())], names=["id", "n", "point", "grams"])
+                 pa.array([narrow(point(g, FINE)) for g in grams], pa.binary()),
+                 pa.array([g.tobytes() for g in grams], pa.binary())], names=["id", "n", "point", "fine", "grams"])
 
     return docs.join(wanted.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "text") \
-               .mapInArrow(run, "id long, n long, point array<int>, grams binary")
+               .mapInArrow(run, "id long, n long, point array<int>, fine binary, grams binary")
 
 
 def tree_join(n: np.ndarray, label: np.ndarray, points: np.ndarray, side: np.ndarray, percent: int) -> np.ndarray:
     """Index pairs of points with different labels that the bounds leave, by joining R-tree leaves.
 
     ``side`` 0 and 1: pairs across the sides; a single side: pairs within it. Leaves are packed in
-    order of size, then of the points' coordinates.
+    order of size, then of the points' coordinates. Boxes, and then pairs, are first bounded in
+    coordinates summed to DIMS, and what is left in all of them.
     """
-    order = np.lexsort((*points.T[:4], n))
+    coarse = points.reshape(len(points), -1, DIMS).sum(axis=1)
+    order = np.lexsort((*coarse.T[:4], n))
     leaves = [part for s in np.unique(side) for part in
               (lambda o: np.split(o, range(LEAF, len(o), LEAF)))(order[side[order] == s])]
-    upper = np.stack([points[x].max(axis=0) for x in leaves])
+    upper = np.stack([coarse[x].max(axis=0) for x in leaves])
     low = np.array([n[x].min() for x in leaves])
     high = np.array([n[x].max() for x in leaves])
     of = np.array([side[x[0]] for x in leaves])
@@ -376,18 +391,23 @@ def tree_join(n: np.ndarray, label: np.ndarray, points: np.ndarray, side: np.nda
         j = j[(of[j] != of[i]) | one]
         j = j[(high[j] * 100 >= low[i] * percent) & (high[i] * 100 >= low[j] * percent)]
         j = j[np.minimum(upper[j], upper[i]).sum(axis=1) >= _needed(low[j], low[i], percent)]
-        for k in j:
-            a, b = leaves[i], leaves[k]
-            shared = np.minimum(points[a][:, None, :], points[b][None, :, :]).sum(axis=2)
-            fits = ((shared >= _needed(n[a][:, None], n[b][None, :], percent)) & (label[a][:, None] != label[b][None, :])
-                    & (n[a][:, None] * 100 >= n[b][None, :] * percent) & (n[b][None, :] * 100 >= n[a][:, None] * percent))
-            x, y = np.nonzero(fits)
-            out.append(np.stack([a[x], b[y]], axis=1))
+        if not len(j):
+            continue
+        a, b = leaves[i], np.concatenate([leaves[k] for k in j])
+        fits = ((label[a][:, None] != label[b][None, :]) & (n[a][:, None] * 100 >= n[b][None, :] * percent)
+                & (n[b][None, :] * 100 >= n[a][:, None] * percent))
+        x, y = np.nonzero(fits)
+        x, y = a[x], b[y]
+        need = _needed(n[x], n[y], percent)
+        for sides in (coarse, points):
+            near = np.minimum(sides[x], sides[y]).sum(axis=1) >= need
+            x, y, need = x[near], y[near], need[near]
+        out.append(np.stack([x, y], axis=1))
     return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
 
 
-def rest(sets: DataFrame, labels: DataFrame, percent: int, tasks: int, slots: int, common: np.ndarray) -> DataFrame:
-    """a, b: pairs of different components that share a shard and survive the R-trees' bounds."""
+def open_shards(sets: DataFrame, labels: DataFrame, percent: int, tasks: int, slots: int, common: np.ndarray) -> DataFrame:
+    """key, id of the members of shards in which different components meet (and of some others)."""
 
     schema = pa.schema([("slot", pa.int32()), ("key", pa.int64()), ("id", pa.int64()), ("label", pa.int64()),
                         ("blob", pa.binary()), ("ids", pa.binary()), ("at", pa.binary()), ("labels", pa.binary())])
@@ -451,40 +471,91 @@ def rest(sets: DataFrame, labels: DataFrame, percent: int, tasks: int, slots: in
     keyed = (labelled.select("id", "label", "grams")
              .mapInArrow(pack, "slot int, key long, id long, label long, blob binary, ids binary, at binary, labels binary")
              .repartition(tasks, "slot").sortWithinPartitions("slot").mapInArrow(open_runs, "key long, id long, label long"))
-    keyed = written(keyed, "open-shards").distinct()
-    open_keys = (keyed.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("size"))
-                 .filter("x < y").select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")))
-    members = keyed.join(open_keys, "key")
+    return written(keyed.select("key", "id").distinct(), "open-shards")
+
+
+def members_of(shards: DataFrame, labels: DataFrame) -> DataFrame:
+    """key, blocks (their number), own (the member's block), id, label of the shards in which components meet.
+
+    Of the shards with the same members one is enough.
+    """
+    labelled = shards.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    shards_of = labelled.groupBy("key").agg(
+        F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("size"),
+        F.bit_xor(F.xxhash64("id")).alias("m"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("m2")).filter("x < y")
+    open_keys = (shards_of.groupBy("m", "m2", "size").agg(F.min("key").alias("key"))
+                 .select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")))
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    members = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    members = members.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "label")
-    members = members.join(sets.select("id", "n", "point"), "id")
+    return labelled.join(open_keys, "key").select("key", "blocks", own.alias("own"), "id", "label")
+
+
+def _grouped(batches, names: list[str]):
+    """Tables of the rows that agree in ``names``, of batches sorted by them."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        at = np.stack([batch.column(c).to_numpy() for c in names], axis=1)
+        cut = [0, *(np.flatnonzero((at[1:] != at[:-1]).any(axis=1)) + 1).tolist(), len(at)]
+        for start, stop in zip(cut, cut[1:]):
+            here = tuple(at[start].tolist())
+            if here != last and held:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(start, stop - start))
+            last = here
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _points(column: pa.ChunkedArray) -> np.ndarray:
+    return np.stack([widened(x.as_buffer()) for x in column])
+
+
+def central(members: DataFrame, sets: DataFrame, tasks: int) -> DataFrame:
+    """a, b: every member with the most central one of its shard, if that is of another component.
+
+    Near copies of one text link with it sooner than with each other, so this joins a group before
+    its pairs are looked at. Each block names its point with the largest overlap with the block's mean,
+    the best of a shard's blocks is its centre.
+    """
 
     def run(batches):
-        held, at = [], None
+        for rows in _grouped(batches, ["key", "own"]):
+            points = _points(rows.column("fine"))
+            overlap = np.minimum(points, points.mean(axis=0)).sum(axis=1) / (1 + np.abs(points - points.mean(axis=0)).sum(axis=1))
+            best = int(np.argmax(overlap))
+            yield pa.RecordBatch.from_pydict({"key": [rows.column("key")[best]], "id": [rows.column("id")[best]],
+                                              "score": pa.array([float(overlap[best])])})
 
-        def flush():
-            if len(held) < 2:
-                return
-            ids, label, n, pts, own = (np.array(c) for c in zip(*held))
-            side = np.zeros(len(ids), np.int64) if at[1] == at[2] else (own == at[2]).astype(np.int64)
-            if at[1] != at[2] and len(np.unique(side)) < 2:
-                return
-            got = tree_join(n, label, pts, side, percent)
+    points = members.select("key", "own", "id").join(sets.select("id", "fine"), "id").select("key", "own", "id", "fine")
+    best = (points.repartition(tasks, "key", "own").sortWithinPartitions("key", "own").mapInArrow(run, "key long, id long, score double")
+            .groupBy("key").agg(F.max_by("id", F.struct("score", "id")).alias("centre")))
+    met = members.join(best, "key")
+    return met.filter("id <> centre").select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
+
+
+def rest(members: DataFrame, sets: DataFrame, percent: int, tasks: int) -> DataFrame:
+    """a, b: pairs of different components that share a shard and survive the R-trees' bounds."""
+    members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    members = members.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "label")
+    members = members.join(sets.select("id", "n", "fine"), "id")
+
+    def run(batches):
+        for rows in _grouped(batches, ["key", "i", "j"]):
+            if rows.num_rows < 2:
+                continue
+            i, j, own, ids, label, n = (rows.column(c).to_numpy() for c in ("i", "j", "own", "id", "label", "n"))
+            side = np.zeros(len(ids), np.int64) if i[0] == j[0] else (own == j[0]).astype(np.int64)
+            if (label == label[0]).all() or i[0] != j[0] and len(np.unique(side)) < 2:
+                continue
+            got = tree_join(n, label, _points(rows.column("fine")), side, percent)
             if len(got):
                 a, b = ids[got[:, 0]], ids[got[:, 1]]
                 yield pa.RecordBatch.from_pydict({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
-        for batch in batches:
-            for r in batch.to_pylist():
-                here = r["key"], r["i"], r["j"]
-                if here != at:
-                    yield from flush()
-                    held, at = [], here
-                held.append((r["id"], r["label"], r["n"], r["point"], r["own"]))
-        yield from flush()
-
-    return (members.select("key", "i", "j", "own", "id", "label", "n", "point").repartition(tasks, "key", "i", "j")
+    return (members.select("key", "i", "j", "own", "id", "label", "n", "fine").repartition(tasks, "key", "i", "j")
             .sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long").filter("a <> b").distinct())
 
 
@@ -514,9 +585,13 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
 
     links = written(verified(pairs, sets, percent), "links")
     labels = written(components(links), "labels")
-    more = written(verified(rest(sets, labels, percent, tasks, slots, common), sets, percent), "links")
-    joined = labels.select(F.col("id").alias("a"), F.col("label").alias("b")).unionByName(more)
+    shards = open_shards(sets, labels, percent, tasks, slots, common)
+    for pairs_of in (lambda m: central(m, sets, tasks), lambda m: rest(m, sets, percent, tasks)):
+        more = written(verified(pairs_of(members_of(shards, labels)), sets, percent), "links")
+        joined = labels.select(F.col("id").alias("a"), F.col("label").alias("b")).unionByName(more)
+        labels = written(components(joined), "labels")
     repeated = reps.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).filter("a < b")
+    joined = labels.select(F.col("id").alias("a"), F.col("label").alias("b"))
     final = components(joined.unionByName(repeated.select("a", "b")))
     of = (reps.groupBy("doc_id").agg(F.min("rep").alias("rep"))
           .join(final.withColumnsRenamed({"id": "rep"}), "rep", "left")
