@@ -116,13 +116,14 @@ def with_error_fields(df: DataFrame, status_col: str, body_col: str,
     """Error code and message of responses with status >= 400, as staged projections.
 
     code = errorCode or error_code or ``HTTP_<status>``; message = message or error (empty counts
-    as absent), cut at 1000 characters. Only a body that is JSON as a whole has fields.
+    as absent), cut at 1000 characters. Only a body that is JSON as a whole has fields; bodies of
+    other statuses are not parsed.
     """
     json_semantics(df.sparkSession)
     status = F.col(status_col)
     err = F.coalesce(status >= 400, F.lit(False))
     out = df.withColumn("_err", F.from_json(
-        F.when(is_valid_json(F.col(body_col)), F.col(body_col)), ERROR_BODY_SCHEMA, {"allowSingleQuotes": "false"}))
+        F.when(err & is_valid_json(F.col(body_col)), F.col(body_col)), ERROR_BODY_SCHEMA, {"allowSingleQuotes": "false"}))
 
     def field(name):
         return F.nullif(F.col(f"_err.{name}"), F.lit(""))

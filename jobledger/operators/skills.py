@@ -33,13 +33,18 @@ def build_dict(lines: DataFrame, name_col: str = "name", pos_col: str = "pos", i
 
 def canonical(skills: DataFrame, dictionary: DataFrame) -> DataFrame:
     """(owner_id, pos, skill): dictionary name if the normal form is known, else the trimmed
-    input; one row per (owner, normal form), the first position wins."""
+    input; one row per (owner, normal form), the first position wins.
+
+    The dictionary only names a normal form, so it is joined last: the limit per (owner, normal form)
+    runs map-side first, and nothing after the join asks for its clustering, so a frequent
+    form's partition may be split.
+    """
     s = skills.where(F.col("skill").isNotNull() & (F.col("skill") != ""))
     s = s.withColumn("norm", normalize_skill(F.col("skill")))
+    firsts = first_per(s.select("owner_id", "norm", "pos", "skill"), ["owner_id", "norm"], ["pos"])
     d = dictionary.select("norm", F.col("name").alias("dict_name"))
-    j = s.join(d, "norm", "left").select(
-        "owner_id", "norm", "pos", F.coalesce(F.col("dict_name"), js_trim(F.col("skill"))).alias("skill"))
-    return first_per(j, ["owner_id", "norm"], ["pos"]).select("owner_id", "pos", "skill")
+    return firsts.join(d, "norm", "left").select(
+        "owner_id", "pos", F.coalesce(F.col("dict_name"), js_trim(F.col("skill"))).alias("skill"))
 
 
 def validate_skill_array(arr: Column) -> Column:

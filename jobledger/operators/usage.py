@@ -62,6 +62,28 @@ def usage_daily(audit: DataFrame, limit: int = DAILY_LIMIT, exclude: str | None
     return counted.select("user_id", "day", "used", *quota(F.col("used"), limit))
 
 
+def usage_calendar(audit: DataFrame, users: DataFrame, as_of: Column, days: int | None = None,
+                   limit: int = DAILY_LIMIT, exclude: str | None = None) -> DataFrame:
+    """Per user and day the call count and quota, days without calls included.
+
+    A user's days go from sign-up (``created_at``) or the first call, whichever is earlier, to the day of ``as_of``,
+    with ``days`` only the last so many of them. They are generated from the user's own row, so
+    nothing is paired; the counts are aggregated before they are joined.
+    """
+    counted = usage_daily(audit, limit, exclude).select(F.col("user_id").alias("_user"), F.col("day").alias("_day"), "used")
+    first = counted.groupBy("_user").agg(F.min("_day").alias("_first"))
+    last = day_of(as_of)
+    start = F.least(day_of(F.col("created_at")), F.col("_first"))
+    if days is not None:
+        start = F.greatest(start, last - F.make_dt_interval(days=F.lit(days - 1)))
+    own = users.select(F.col("id").alias("user_id"), "created_at").join(first, F.col("user_id") == F.col("_user"), "left")
+    own = own.withColumn("_start", start).where(F.col("_start") <= last)
+    calendar = own.select("user_id", F.explode(F.sequence("_start", last, F.expr("INTERVAL 1 DAY"))).alias("day"))
+    out = calendar.join(counted, (F.col("user_id") == F.col("_user")) & (F.col("day") == F.col("_day")), "left")
+    out = out.withColumn("used", F.coalesce(F.col("used"), F.lit(0)).cast("bigint"))
+    return out.select("user_id", "day", "used", *quota(F.col("used"), limit))
+
+
 def usage_on_day(audit: DataFrame, day: Column, exclude: str | None = None) -> DataFrame:
     """Per-user count for one day (the filter is a range on created_at, so it prunes)."""
     start = day_of(day)

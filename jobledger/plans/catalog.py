@@ -8,6 +8,8 @@ brute-force model in ``tests/``.
 
 from __future__ import annotations
 
+import functools
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +19,11 @@ from ..functions import rules as R
 from ..functions.jsonx import sanitize_json
 from ..functions.text import JS_SPACE, JS_SPACE_CHARS, name_from_slug, split_name, text_stats
 from ..operators import accounts, audit, contacts, integrity, jobs, profiles, skills, textgen, usage
-from .fixtures import Views
+from ..session import ensure_checkpoint_dir
+from ..sources.dictionary import read_skill_json, read_skill_lines
+from ..sources.versioned import VersionedTable
+from ..streaming import usage_upkeep
+from .fixtures import Views, audit_log_from
 from .oracle_views import with_views
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -171,6 +177,35 @@ def q_usage_by_key(spark, d):
     return usage.usage_by_key(v.api_keys, v.users, v.audit_log, v.audit_log.select(F.max("created_at")).scalar())
 
 
+_UPKEEP_SQL = _daily_sql()
+
+
+@query("usage_calendar", f"""
+WITH cnt AS (SELECT user_id, CAST(CAST(created_at AS DATE) AS TIMESTAMP) AS day, count(*) AS used
+             FROM audit_log WHERE {_API} AND user_id IS NOT NULL GROUP BY 1, 2),
+last AS (SELECT CAST(CAST(max(created_at) AS DATE) AS TIMESTAMP) AS d FROM audit_log),
+own AS (SELECT u.id AS user_id, d, least(CAST(CAST(u.created_at AS DATE) AS TIMESTAMP), min(cnt.day)) AS first
+        FROM user_accounts u CROSS JOIN last LEFT JOIN cnt ON cnt.user_id = u.id GROUP BY u.id, u.created_at, d),
+cal AS (SELECT user_id, unnest(generate_series(first, d, INTERVAL 1 DAY)) AS day FROM own WHERE first <= d)
+SELECT cal.user_id, cal.day, coalesce(cnt.used, 0) AS used, 20 AS daily_limit,
+       greatest(0, 20 - coalesce(cnt.used, 0)) AS remaining, coalesce(cnt.used, 0) >= 20 AS exceeded
+FROM cal LEFT JOIN cnt ON cnt.user_id = cal.user_id AND cnt.day = cal.day""", ("audit_log", "user_accounts"))
+def q_usage_calendar(spark, d):
+    v = Views(spark, d)
+    return usage.usage_calendar(v.audit_log, v.user_accounts, v.audit_log.select(F.max("created_at")).scalar())
+
+
+@query("usage_daily_upkeep", _UPKEEP_SQL, ("audit_log",))
+def q_usage_daily_upkeep(spark, d):
+    """The events as a stream, in micro-batches of files; the sum of the batches' counts."""
+    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/usage-upkeep-{uuid.uuid4().hex}"
+    # a pattern, as a streamed path that is none must be a folder
+    events = spark.readStream.schema(Views(spark, d).raw("events").schema).parquet(f"{d.rstrip('/')}/events.parque[t]")
+    usage_upkeep.start_usage_upkeep(audit_log_from(events), f"{base}/deltas", f"{base}/checkpoint",
+                                    available_now=True).awaitTermination()
+    return usage_upkeep.daily_totals(spark, f"{base}/deltas")
+
+
 # =============================================================================
 # accounts
 # =============================================================================
@@ -367,6 +402,45 @@ def q_jobs_by_user(spark, d):
     return jobs.newest_first(Views(spark, d).applied_jobs).select("user_id", "applied_date", "id", "title")
 
 
+_OWNER = 7
+
+
+@query("jobs_of_owner", f"""
+SELECT user_id, applied_date, id, title FROM applied_jobs WHERE user_id = {_OWNER}""", ("applied_jobs",))
+def q_jobs_of_owner(spark, d):
+    return jobs.newest_first(Views(spark, d).applied_jobs, _OWNER).select("user_id", "applied_date", "id", "title")
+
+
+_VERSION_BUCKETS = 32
+
+
+@query("jobs_versions", f"""
+WITH v AS ({_VALID}),
+f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id, url ORDER BY {_ARRIVAL_SQL}) AS rn FROM v) WHERE rn = 1),
+n AS (SELECT * FROM f WHERE NOT EXISTS (SELECT 1 FROM applied_jobs j WHERE j.user_id = f.user_id AND j.url = f.url)),
+v0 AS (SELECT id, user_id, title, url, status, applied_date FROM applied_jobs),
+v1 AS (SELECT * FROM v0 UNION ALL
+       SELECT sub_id, user_id, title, url, 'Applied', coalesce(applied_date, TIMESTAMP '{AS_OF}') FROM n),
+c AS (SELECT id, user_id, arg_max(status, seq) AS status FROM job_changes WHERE status IS NOT NULL AND status <> ''
+      GROUP BY id, user_id),
+v2 AS (SELECT v1.id, v1.user_id, title, url, coalesce(c.status, v1.status) AS status, applied_date
+       FROM v1 LEFT JOIN c ON c.id = v1.id AND c.user_id = v1.user_id),
+v3 AS (SELECT * FROM v2 WHERE NOT EXISTS (SELECT 1 FROM job_changes c WHERE c.id = v2.id AND c.user_id = v2.user_id))
+SELECT 0 AS version, * FROM v0 UNION ALL SELECT 1, * FROM v1 UNION ALL SELECT 2, * FROM v2 UNION ALL SELECT 3, * FROM v3""",
+       ("job_submissions", "applied_jobs", "job_changes"))
+def q_jobs_versions(spark, d):
+    """Insert, status and delete batches committed one after the other; every version read back."""
+    v = Views(spark, d)
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/jobs-{uuid.uuid4().hex}"
+    stored = v.applied_jobs.select(*_JOB_COLS, *[F.lit(None).cast("string").alias(c) for c in ("company", "location", "applied_text")])
+    table = VersionedTable.create(stored, path, ["user_id"], _VERSION_BUCKETS)
+    table.apply(v.job_submissions, lambda rows, new: jobs.merge_jobs(rows, new, _as_of(), order=ARRIVAL)[0])
+    table.apply(v.job_changes, jobs.set_status)
+    table.apply(v.job_changes, jobs.delete_jobs)
+    out = [table.read(n).select(F.lit(n).alias("version"), *_JOB_COLS) for n in table.versions()]
+    return functools.reduce(DataFrame.unionByName, out)
+
+
 # =============================================================================
 # request log
 # =============================================================================
@@ -588,6 +662,53 @@ def q_unique_violations(spark, d):
     return a.unionByName(b).unionByName(c)
 
 
+_RELATION_VIEWS = ("mentors", "user_accounts", "api_keys", "applied_jobs", "progress", "user_status", "user_skills",
+                   "resume_settings", "session_notes", "freetrial_users")
+_VIEW_OF = {"users": "user_accounts"}
+_ID_OF = {"user_skills": "user_id", "resume_settings": "user_id"}
+
+
+def _relation_sql(r: integrity.Relation) -> str:
+    child, parent = _VIEW_OF.get(r.child, r.child), _VIEW_OF.get(r.parent, r.parent)
+    return (f"SELECT '{r.name}' AS relation, CAST(c.{_ID_OF.get(r.child, 'id')} AS VARCHAR) AS child_id, "
+            f"CAST(c.{r.fk} AS VARCHAR) AS fk FROM {child} c WHERE c.{r.fk} IS NOT NULL "
+            f"AND NOT EXISTS (SELECT 1 FROM {parent} p WHERE p.id = c.{r.fk})")
+
+
+@query("relations_broken", " UNION ALL ".join(map(_relation_sql, integrity.RELATIONS)), _RELATION_VIEWS)
+def q_relations_broken(spark, d):
+    return integrity.broken_relations(Views(spark, d).relations())
+
+
+_LINKS_SQL = " UNION ALL ".join(
+    f"SELECT '{r.child}' AS child, CAST({_ID_OF.get(r.child, 'id')} AS VARCHAR) AS child_id, '{r.parent}' AS parent, "
+    f"CAST({r.fk} AS VARCHAR) AS parent_id FROM {_VIEW_OF.get(r.child, r.child)} WHERE {r.fk} IS NOT NULL"
+    for r in integrity.RELATIONS if r.cascade)
+
+
+@query("relations_cascade", f"""
+WITH RECURSIVE links AS ({_LINKS_SQL}),
+gone(table_name, id) AS (
+  SELECT 'users', CAST(id AS VARCHAR) FROM user_accounts WHERE is_deleted
+  UNION SELECT l.child, l.child_id FROM links l JOIN gone g ON l.parent = g.table_name AND l.parent_id = g.id)
+SELECT table_name, id FROM gone""", _RELATION_VIEWS)
+def q_relations_cascade(spark, d):
+    tables = Views(spark, d).relations()
+    return integrity.deleted_with(tables, {"users": tables["users"].where(F.col("is_deleted"))})
+
+
+def _unique_sql(table: str, cols) -> str:
+    keys = " || '|' || ".join(f"CAST({c} AS VARCHAR)" for c in cols)
+    known = " AND ".join(f"{c} IS NOT NULL" for c in cols)
+    return (f"SELECT '{table}({','.join(cols)})' AS relation, {keys} AS key_value, count(*) AS n "
+            f"FROM {_VIEW_OF.get(table, table)} WHERE {known} GROUP BY {', '.join(cols)} HAVING count(*) > 1")
+
+
+@query("relations_unique", " UNION ALL ".join(_unique_sql(t, c) for t, c in integrity.UNIQUE), _RELATION_VIEWS)
+def q_relations_unique(spark, d):
+    return integrity.unique_violations(Views(spark, d).relations())
+
+
 # =============================================================================
 # skills
 # =============================================================================
@@ -604,6 +725,32 @@ def q_skill_dictionary(spark, d):
     return skills.build_dict(p, name_col="p_name", pos_col="p_partkey")
 
 
+def _shared_folder(spark, label: str) -> str:
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+@query("skill_dictionary_file", _dict_sql("part", "p_partkey", "p_name"))
+def q_skill_dictionary_file(spark, d):
+    """The part names, written as a folder of line files in order of their key, and read as a dictionary."""
+    path = _shared_folder(spark, "skill-lines")
+    names = Views(spark, d).raw("part").repartitionByRange(4, "p_partkey").sortWithinPartitions("p_partkey")
+    names.select("p_name").write.text(path)
+    return read_skill_lines(spark, path)
+
+
+@query("skill_dictionary_json", f"""SELECT norm, arg_max(p_name, place) AS name FROM (
+  SELECT p_name, p_brand || lpad(CAST(p_partkey AS VARCHAR), 20, '0') AS place, {norm_sql('p_name')} AS norm FROM part)
+GROUP BY norm""")
+def q_skill_dictionary_json(spark, d):
+    """A document of brand and names per brand, read back in the order of their paths."""
+    path = _shared_folder(spark, "skill-json")
+    part = Views(spark, d).raw("part").groupBy("p_brand").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "p_name"))), lambda x: x["p_name"]).alias("names"))
+    docs = part.select("p_brand", F.to_json(F.create_map("p_brand", "names")).alias("value"))
+    docs.write.partitionBy("p_brand").text(path)
+    return read_skill_json(spark, path)
+
+
 @query("skills_canonical", f"""
 WITH dct AS ({_dict_sql('skill_dict', 'pos', 'name')}),
 s AS (SELECT owner_id, pos, skill, {norm_sql('skill')} AS norm FROM skills_raw WHERE skill IS NOT NULL AND skill <> ''),
@@ -664,7 +811,7 @@ def _upsert_sql(full: bool) -> str:
     cols = ", ".join(pick(c) for c in ("skills", "skills_display_mode", "skills_line_time", "updated_at"))
     return f"""
 WITH latest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY updated_at DESC, save_id DESC) AS rn
-                FROM skill_saves) WHERE rn = 1)
+                FROM skill_saves WHERE skills IS NOT NULL) WHERE rn = 1)
 SELECT coalesce(t.user_id, n.user_id) AS user_id, {cols}
 FROM user_skills t FULL OUTER JOIN latest n ON t.user_id = n.user_id"""
 

@@ -3,9 +3,9 @@
 Each view is a lazy DataFrame built with the DataFrame API from the raw tables,
 so column pruning and filters still reach the parquet scan. The same views are
 written as SQL text in ``plans/oracle_views.py`` for the DuckDB cross-check. Modulo
-expressions here shape values (nulls, categories, wrong owners). Four views hold only
-part of their source rows: ``skills_raw`` (two of three pairs), ``skill_saves`` (purchase
-events), ``user_skills`` (every third customer), ``resume_settings`` (three of four).
+expressions here shape values (nulls, categories, wrong owners). Two views hold only
+part of their source rows, as outer joins need absent records: ``user_skills`` (every third
+customer) and ``resume_settings`` (three of four).
 """
 
 from __future__ import annotations
@@ -115,6 +115,57 @@ class Views:
             F.col("created_at"),
         )
 
+    # --- further relations -------------------------------------------------------
+    @cached_property
+    def mentors(self) -> DataFrame:
+        k = F.col("s_suppkey")
+        return self.raw("supplier").select(
+            k.alias("id"), F.concat(F.lit("mentor"), _s(k % 90), F.lit("@example.com")).alias("email"))
+
+    @cached_property
+    def user_accounts(self) -> DataFrame:
+        """``users`` with their other columns: identity, mentor (some unknown), sign-up time."""
+        k = F.col("c_custkey")
+        return self.raw("customer").select(
+            k.alias("id"),
+            F.when(k % 37 == 1, "fb_shared").when(k % 31 != 0, F.concat(F.lit("fb_"), _s(k))).alias("firebase_uid"),
+            F.concat(F.lit("user"), _s(F.when(k % 41 == 1, k - 1).otherwise(k)), F.lit("@example.com")).alias("email"),
+            F.when(k % 5 != 0, k % 120).alias("mentor_id"), (k % 13 == 0).alias("is_deleted"),
+            (F.lit("2024-01-01 09:00:00").cast("timestamp_ntz")
+             + F.make_dt_interval(days=(k % 30).cast("int"))).alias("created_at"))
+
+    @cached_property
+    def progress(self) -> DataFrame:
+        k = F.col("c_custkey")
+        return self.raw("customer").select(F.concat(F.lit("p"), _s(k)).alias("id"),
+                                           F.when(k % 17 == 1, k + 1).otherwise(k).alias("user_id"))
+
+    @cached_property
+    def user_status(self) -> DataFrame:
+        k = F.col("c_custkey")
+        return self.raw("customer").select(F.concat(F.lit("s"), _s(k)).alias("id"),
+                                           F.when(k % 29 == 1, -k).otherwise(k).alias("user_id"))
+
+    @cached_property
+    def session_notes(self) -> DataFrame:
+        k = F.col("o_orderkey")
+        return self.raw("orders").select(k.alias("id"), F.when(k % 7 != 0, F.col("o_custkey")).alias("user_id"),
+                                         (k % 6).cast("int").alias("call_number"))
+
+    @cached_property
+    def freetrial_users(self) -> DataFrame:
+        k = F.col("s_suppkey")
+        return self.raw("supplier").select(
+            k.alias("id"), F.concat(F.lit("trial"), _s(k % 80), F.lit("@example.com")).alias("email"))
+
+    def relations(self) -> dict[str, DataFrame]:
+        """The tables of the relation graph by name, each with an ``id``."""
+        return {"mentors": self.mentors, "users": self.user_accounts, "api_keys": self.api_keys,
+                "applied_jobs": self.applied_jobs, "progress": self.progress, "user_status": self.user_status,
+                "user_skills": self.user_skills.withColumn("id", F.col("user_id")),
+                "resume_settings": self.resume_settings.withColumn("id", F.col("user_id")),
+                "session_notes": self.session_notes, "freetrial_users": self.freetrial_users}
+
     # --- jobs -----------------------------------------------------------------
     @cached_property
     def applied_jobs(self) -> DataFrame:
@@ -169,7 +220,8 @@ class Views:
         pairs = F.array(*[F.struct(F.lit(i).alias("pos"), F.lit(s).alias("skill")) for i, s in
                           enumerate(["Node.js", " nodejs ", "C", "c++", "Python", "Rust ", "***", "###"])])
         c = self.raw("customer").select(F.col("c_custkey").alias("owner_id"), F.inline(pairs))
-        return c.where((F.col("owner_id") + F.col("pos")) % 3 != 0)
+        left_out = (F.col("owner_id") + F.col("pos")) % 3 == 0  # an absent entry is a null one
+        return c.withColumn("skill", F.when(~left_out, F.col("skill")))
 
     @cached_property
     def skill_dict(self) -> DataFrame:
@@ -191,11 +243,12 @@ class Views:
 
     @cached_property
     def skill_saves(self) -> DataFrame:
-        """Incoming skill saves (ours): purchase events carry a new list."""
-        e = self.raw("events").where(F.col("event_type") == "purchase")
+        """Incoming skill saves (ours): every event is one; only purchases carry a list, the others are refused."""
+        e = self.raw("events")
+        listed = F.array(F.lit("SQL"), F.concat(F.lit("Skill"), _s(F.col("event_id") % 7)))
         return e.select(
             F.col("user_id"),
-            F.array(F.lit("SQL"), F.concat(F.lit("Skill"), _s(F.col("event_id") % 7))).alias("skills"),
+            F.when(F.col("event_type") == "purchase", listed).alias("skills"),
             F.when(F.col("value") > 100, "lineTime").alias("skills_display_mode"),
             F.lit(None).cast("string").alias("skills_line_time"),
             F.col("ts").alias("updated_at"),

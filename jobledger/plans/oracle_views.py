@@ -65,6 +65,32 @@ VIEWS["key_requests"] = """
          created_at
   FROM audit_log"""
 
+VIEWS["mentors"] = """
+  SELECT s_suppkey AS id, concat('mentor', CAST(s_suppkey % 90 AS VARCHAR), '@example.com') AS email FROM supplier"""
+
+VIEWS["user_accounts"] = """
+  SELECT c_custkey AS id, CASE WHEN c_custkey % 37 = 1 THEN 'fb_shared'
+              WHEN c_custkey % 31 <> 0 THEN concat('fb_', CAST(c_custkey AS VARCHAR)) END AS firebase_uid,
+         concat('user', CAST(CASE WHEN c_custkey % 41 = 1 THEN c_custkey - 1 ELSE c_custkey END AS VARCHAR), '@example.com') AS email,
+         CASE WHEN c_custkey % 5 <> 0 THEN c_custkey % 120 END AS mentor_id, c_custkey % 13 = 0 AS is_deleted,
+         TIMESTAMP '2024-01-01 09:00:00' + to_days(CAST(c_custkey % 30 AS INT)) AS created_at
+  FROM customer"""
+
+VIEWS["progress"] = """
+  SELECT concat('p', CAST(c_custkey AS VARCHAR)) AS id,
+         CASE WHEN c_custkey % 17 = 1 THEN c_custkey + 1 ELSE c_custkey END AS user_id FROM customer"""
+
+VIEWS["user_status"] = """
+  SELECT concat('s', CAST(c_custkey AS VARCHAR)) AS id,
+         CASE WHEN c_custkey % 29 = 1 THEN -c_custkey ELSE c_custkey END AS user_id FROM customer"""
+
+VIEWS["session_notes"] = """
+  SELECT o_orderkey AS id, CASE WHEN o_orderkey % 7 <> 0 THEN o_custkey END AS user_id,
+         CAST(o_orderkey % 6 AS INT) AS call_number FROM orders"""
+
+VIEWS["freetrial_users"] = """
+  SELECT s_suppkey AS id, concat('trial', CAST(s_suppkey % 80 AS VARCHAR), '@example.com') AS email FROM supplier"""
+
 VIEWS["applied_jobs"] = """
   SELECT o_orderkey AS id, o_custkey AS user_id,
          CASE o_orderkey % 8 WHEN 0 THEN 'Keywords & Skills Analyzer' WHEN 1 THEN 'Data Engineer'
@@ -96,10 +122,9 @@ VIEWS["job_changes"] = """
   FROM orders, (VALUES (1), (2), (3)) AS n(seq)"""
 
 VIEWS["skills_raw"] = """
-  SELECT c_custkey AS owner_id, v.pos, v.skill
+  SELECT c_custkey AS owner_id, v.pos, CASE WHEN (c_custkey + v.pos) % 3 <> 0 THEN v.skill END AS skill
   FROM customer, (VALUES (0, 'Node.js'), (1, ' nodejs '), (2, 'C'), (3, 'c++'),
-       (4, 'Python'), (5, 'Rust '), (6, '***'), (7, '###')) AS v(pos, skill)
-  WHERE (c_custkey + v.pos) % 3 <> 0"""
+       (4, 'Python'), (5, 'Rust '), (6, '***'), (7, '###')) AS v(pos, skill)"""
 
 VIEWS["skill_dict"] = """
   SELECT v.pos, v.name FROM (VALUES (0, 'NodeJS'), (1, 'Python'), (2, 'C'), (3, 'C++'), (4, 'Node.js')) AS v(pos, name)"""
@@ -110,10 +135,10 @@ VIEWS["user_skills"] = """
   FROM customer WHERE c_custkey % 3 = 0"""
 
 VIEWS["skill_saves"] = """
-  SELECT user_id, 'SQL|Skill' || CAST(event_id % 7 AS VARCHAR) AS skills,
+  SELECT user_id, CASE WHEN event_type = 'purchase' THEN 'SQL|Skill' || CAST(event_id % 7 AS VARCHAR) END AS skills,
          CASE WHEN value > 100 THEN 'lineTime' END AS skills_display_mode,
          CAST(NULL AS VARCHAR) AS skills_line_time, ts AS updated_at, event_id AS save_id
-  FROM events WHERE event_type = 'purchase'"""
+  FROM events"""
 
 VIEWS["search_hits"] = """
   SELECT page_id AS hit_id, regexp_extract(url, 'https?://([^/]+)', 1) AS company,
@@ -177,6 +202,8 @@ def with_views(sql: str, *names: str) -> str:
     if not names:
         return body
     ctes = ",\n".join(f"{n} AS ({VIEWS[n]})" for n in _closure(names))
+    if body[:15].upper() == "WITH RECURSIVE ":
+        return f"WITH RECURSIVE {ctes},\n{body[15:]}"
     if body[:5].upper() == "WITH ":
         return f"WITH {ctes},\n{body[5:]}"
     return f"WITH {ctes}\n{body}"

@@ -14,18 +14,15 @@ PDF_MAGIC = "%PDF-"
 def upload_gate(spark: SparkSession, directory: str) -> DataFrame:
     """(path, length, reject_code): null code = accepted.
 
-    Size comes from file metadata (``length``), so oversize files are rejected
-    without reading their bytes; only files within the limit have their first
-    bytes checked for the PDF signature.
+    The folder is listed once. Size comes from file metadata (``length``), so oversize files are
+    rejected without reading their bytes; the content of the others is scanned for the PDF signature.
+    Files of no bytes are left out by Spark's reader and give no row.
     """
-    meta = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(directory) \
-        .select("path", "length")
-    small = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(directory)
-             .where(F.col("length") <= MAX_UPLOAD_BYTES)
-             .select("path", (F.substring(F.col("content"), 1, len(PDF_MAGIC)) ==
-                              F.lit(PDF_MAGIC.encode())).alias("is_pdf")))
-    j = meta.join(small, "path", "left")
-    is_pdf_name = F.lower(F.col("path")).endswith(".pdf")
-    code = (F.when(F.col("length") > MAX_UPLOAD_BYTES, F.lit("FILE_TOO_LARGE"))
-            .when(~is_pdf_name | ~F.coalesce(F.col("is_pdf"), F.lit(False)), F.lit("INVALID_FILE_TYPE")))
-    return j.select("path", "length", code.alias("reject_code"))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(directory)
+    large = files.where(F.col("length") > MAX_UPLOAD_BYTES).select(
+        "path", "length", F.lit("FILE_TOO_LARGE").alias("reject_code"))
+    signed = F.substring(F.col("content"), 1, len(PDF_MAGIC)) == F.lit(PDF_MAGIC.encode())
+    is_pdf = F.lower(F.col("path")).endswith(".pdf") & signed
+    small = files.where(F.col("length") <= MAX_UPLOAD_BYTES).select(
+        "path", "length", F.when(~F.coalesce(is_pdf, F.lit(False)), F.lit("INVALID_FILE_TYPE")).alias("reject_code"))
+    return large.unionByName(small)

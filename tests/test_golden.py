@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from conftest import evaluate
+from core_helpers import evaluate
 from jobledger.functions import jsonx, rules, text
 from jobledger.operators import usage
 

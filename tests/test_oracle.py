@@ -2,7 +2,7 @@
 
 import pytest
 
-from conftest import SF_SMALL
+from core_helpers import SF_SMALL
 
 
 def test_all_queries_match_oracle(spark):
@@ -30,7 +30,7 @@ def test_flagship_value(spark, name):
 def test_survey_cross_check_numbers(spark):
     """Counts recorded independently in SURVEY §5 for first drafts of these queries (sf0.01)."""
     import __spark_entry__ as E
-    from conftest import SF_CHECK
+    from core_helpers import SF_CHECK
     Q = E.queries()
     codes = {r.code: r["count"] for r in Q["key_status"](spark, SF_CHECK).groupBy("code").count().collect()}
     assert codes == {"OK": 989, "API_KEY_INACTIVE": 256, "USER_DELETED": 88, "USER_NOT_VERIFIED": 88, "DATA_ERROR": 79}

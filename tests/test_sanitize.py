@@ -4,7 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL, evaluate
+from core_helpers import SF_SMALL, evaluate
 from jobledger.functions import jsonx
 
 SENS = jsonx.SENSITIVE_BODY_KEYS

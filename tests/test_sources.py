@@ -8,11 +8,11 @@ import tempfile
 
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from core_helpers import SF_SMALL
 from jobledger.operators import contacts
 from jobledger.plans.fixtures import Views
 from jobledger.sources import dictionary, export, uploads
-from jobledger.sources.catalog import ensure_table, existing_tables
+from jobledger.operators.integrity import ensure_table, existing_tables
 
 
 def test_skill_lines(spark):
@@ -83,3 +83,36 @@ def test_append_audit_and_catalog(spark):
     ensure_table(spark, "jl_probe", "id BIGINT, name STRING", loc)
     ensure_table(spark, "jl_probe", "id BIGINT, name STRING", loc)
     assert existing_tables(spark, ["jl_probe", "nope"]) == ["jl_probe"]
+
+
+def test_last_line_counts_in_path_order(spark, tmp_path):
+    """The second file is larger, so it is planned first; its lines still count last."""
+    from jobledger.sources.dictionary import read_skill_json, read_skill_lines
+    lines = tmp_path / "lines"
+    lines.mkdir()
+    (lines / "a.txt").write_text("node.js\n# note\n\nC++\n")
+    (lines / "b.txt").write_text("".join(f"filler {i}\n" for i in range(5000)) + "NodeJS\nNODE-JS\n")
+    got = {r["norm"]: r["name"] for r in read_skill_lines(spark, str(lines)).collect()}
+    assert got["nodejs"] == "NODE-JS" and got["c"] == "C++" and len(got) == 5002
+    (lines / "c.txt").write_text("node js\n")
+    assert {r["norm"]: r["name"] for r in read_skill_lines(spark, str(lines)).collect()}["nodejs"] == "node js"
+    docs = tmp_path / "docs"
+    docs.mkdir()
+    (docs / "1.json").write_text('{"x": ["Go", "go "],\n "y": ["GO!"]}')
+    (docs / "0.json").write_text('{"z": ["g-o", "Rust"]}')
+    assert {r["norm"]: r["name"] for r in read_skill_json(spark, str(docs)).collect()} == {"go": "GO!", "rust": "Rust"}
+
+
+def test_upload_gate_lists_once_and_joins_nothing(spark, tmp_path):
+    from jobledger.sources.uploads import MAX_UPLOAD_BYTES, upload_gate
+    (tmp_path / "ok.PDF").write_bytes(b"%PDF-1.7 x")
+    (tmp_path / "named.pdf").write_bytes(b"text")
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "sub" / "big.pdf").write_bytes(b"%PDF-" + b"x" * MAX_UPLOAD_BYTES)
+    (tmp_path / "edge.pdf").write_bytes(b"%PDF-" + b"x" * (MAX_UPLOAD_BYTES - 5))
+    (tmp_path / "other.bin").write_bytes(b"%PDF-")
+    df = upload_gate(spark, str(tmp_path))
+    assert {r["path"].split("/")[-1]: r["reject_code"] for r in df.collect()} == {
+        "ok.PDF": None, "named.pdf": "INVALID_FILE_TYPE", "big.pdf": "FILE_TOO_LARGE",
+        "edge.pdf": None, "other.bin": "INVALID_FILE_TYPE"}
+    assert "Join" not in df._jdf.queryExecution().executedPlan().toString()

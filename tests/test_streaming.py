@@ -6,7 +6,7 @@ import tempfile
 
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from core_helpers import SF_SMALL
 from jobledger.operators import audit, usage
 from jobledger.plans.fixtures import audit_log_from
 from jobledger.streaming.audit_stream import quota_stream, start_audit_stream
@@ -110,3 +110,39 @@ def test_audit_record_optional_fields(spark):
     assert (r.service, r.error_code, r.error_message, r.is_slow) == ("CHAT", "AI_SERVICE_ERROR", "m", True)
     assert r.request_headers == {"X-Api-Key": "[REDACTED]", "Accept": "json"}
     assert r.ip_address == "::1" and r.request_body == '{"password":"[REDACTED]","a":1}'
+
+
+def test_upkeep_counts_late_calls_after_a_restart(spark):
+    """Late rows correct closed days, a replayed batch doubles nothing, a compaction changes no total."""
+    import datetime as dt
+
+    from jobledger.streaming.usage_upkeep import compact, daily_totals, deltas, start_usage_upkeep
+    tmp = tempfile.mkdtemp(prefix="jl-upkeep-")
+    src, path = f"{tmp}/events", f"{tmp}/deltas"
+    os.makedirs(src)
+    schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+    day = lambda d: dt.datetime(2024, 1, d, 12)
+    batches = [[(1, day(1), 5, "view", 1.0, "{}"), (2, day(20), 5, "view", 1.0, "{}"), (3, day(20), 6, "view", 1.0, "{}")],
+               [(4, day(1), 5, "view", 1.0, "{}"), (5, day(2), 6, "view", 1.0, "{}")],  # weeks late
+               [(6, day(1), 5, "view", 1.0, "{}"), (7, day(20), 5, "purchase", 1.0, "{}")]]
+
+    def run():
+        stream = audit_log_from(spark.readStream.schema(schema).parquet(src))
+        start_usage_upkeep(stream, path, f"{tmp}/ckpt", available_now=True).awaitTermination(120)
+
+    def expected():
+        return sorted(map(tuple, usage.usage_daily(audit_log_from(spark.read.schema(schema).parquet(src))).collect()))
+
+    for n, rows in enumerate(batches):  # each run is a restart from the checkpoint
+        out = f"{tmp}/b{n}"
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(out)
+        part = next(f for f in os.listdir(out) if f.endswith(".parquet"))
+        shutil.copy(f"{out}/{part}", f"{src}/b{n}.parquet")
+        run()
+        assert sorted(map(tuple, daily_totals(spark, path).collect())) == expected()
+        if n == 1:
+            compact(spark, path, 1)
+            assert sorted(map(tuple, daily_totals(spark, path).collect())) == expected()
+    replay = audit_log_from(spark.read.schema(schema).parquet(f"{src}/b2.parquet"))
+    deltas(replay).write.mode("overwrite").parquet(f"{path}/generation=0/batch_id=2")  # what a replay writes
+    assert sorted(map(tuple, daily_totals(spark, path).collect())) == expected()
