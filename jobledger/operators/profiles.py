@@ -12,6 +12,9 @@ DEFAULT_DISPLAY_MODE = "twoColumnar"
 MSG_NO_SETTINGS = "No saved resume settings found. Using default template with profile data."
 MSG_LOADED = "Resume loaded successfully"
 PROFILE_KEYS = ("firstName", "lastName", "email")
+# stored JSON fields and what stands for an absent or falsy one
+SECTION_DEFAULTS = {"education": "[]", "experience": "[]", "skills": "[]", "projects": "[]", "custom_sections": "[]",
+                    "skills_line_time": "[]", "section_order": "[]", "section_names": "{}"}
 # ---------------------------------------------------------------------------
 
 
@@ -32,10 +35,29 @@ def merge_personal_info(saved_json: Column, first: Column, last: Column, email:
                                              F.lit("email"), pick(email, "email")))
 
 
+def json_or(value: Column, default: str) -> Column:
+    """A stored JSON text, or ``default`` where it is absent, no JSON, null, false, 0 or the empty string."""
+    def kept(v):
+        kind = F.schema_of_variant(v)
+        falsy = (F.when(kind == "VOID", True).when(kind == "STRING", F.try_variant_get(v, "$", "string") == "")
+                 .when(kind == "BOOLEAN", ~F.try_variant_get(v, "$", "boolean"))
+                 .when(kind.startswith("OBJECT") | kind.startswith("ARRAY"), False)
+                 .otherwise(F.try_variant_get(v, "$", "double") == 0))
+        return F.when(v.isNull() | falsy, F.lit(default)).otherwise(value)
+    return F.get(F.transform(F.array(F.try_parse_json(value)), kept), 0)
+
+
+def array_or_empty(value: Column) -> Column:
+    """A stored JSON text if it is an array, else ``[]``."""
+    is_array = F.schema_of_variant(F.try_parse_json(value)).startswith("ARRAY")
+    return F.when(F.coalesce(is_array, F.lit(False)), value).otherwise(F.lit("[]"))
+
+
 def resume_assemble(users: DataFrame, settings: DataFrame) -> DataFrame:
     """One row per user: profile data, merged personal info and section defaults."""
     u = users.select(F.col("id").alias("user_id"), "email", split_name(F.col("full_name")).alias("nm"))
-    s = settings.select("user_id", "personal_info", "summary", "display_mode", F.lit(True).alias("_has"))
+    s = settings.select("user_id", "personal_info", "summary", "display_mode", *SECTION_DEFAULTS, "deleted_sections",
+                        F.lit(True).alias("_has"))
     j = u.join(s, "user_id", "left")
     has = F.coalesce(F.col("_has"), F.lit(False))
     email = F.coalesce(F.col("email"), F.lit(""))
@@ -48,6 +70,7 @@ def resume_assemble(users: DataFrame, settings: DataFrame) -> DataFrame:
         F.when(has, F.coalesce(F.nullif(F.col("summary"), F.lit("")), F.lit(""))).alias("professional_summary"),
         F.when(has, F.coalesce(F.nullif(F.col("display_mode"), F.lit("")), F.lit(DEFAULT_DISPLAY_MODE)))
          .alias("skills_display_mode"),
-        F.when(has, F.array().cast("array<string>")).alias("deleted_sections"),
+        *[F.when(has, json_or(F.col(c), d)).alias(c) for c, d in SECTION_DEFAULTS.items()],
+        F.when(has, array_or_empty(F.col("deleted_sections"))).alias("deleted_sections"),
         F.when(has, F.lit(MSG_LOADED)).otherwise(F.lit(MSG_NO_SETTINGS)).alias("message"),
     )

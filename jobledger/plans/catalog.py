@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
+from ..functions.contracts import broken_paths
 from ..functions.jsonx import sanitize_json
 from ..functions.text import JS_SPACE, JS_SPACE_CHARS, name_from_slug, split_name, text_stats
 from ..operators import accounts, audit, contacts, integrity, jobs, profiles, skills, textgen, usage
@@ -868,6 +869,13 @@ def _saved(k):
     return f"nullif(json_extract_string(s.personal_info, '$.{k}'), '')"
 
 
+_SECTIONS = ", ".join(
+    f"CASE WHEN s.user_id IS NOT NULL THEN CASE WHEN s.{c} IS NULL OR json_type(s.{c}) = 'NULL' "
+    f"OR s.{c} IN ('false', '0', '\"\"') THEN '{default}' ELSE s.{c} END END AS {c}"
+    for c, default in (("education", "[]"), ("experience", "[]"), ("skills", "[]"), ("projects", "[]"), ("custom_sections", "[]"),
+                       ("skills_line_time", "[]"), ("section_order", "[]"), ("section_names", "{}")))
+
+
 @query("resume_assemble", f"""
 WITH {_SPLIT}
 SELECT nm.id AS user_id, s.user_id IS NOT NULL AS has_resume, nm.first_name, nm.last_name,
@@ -880,6 +888,9 @@ SELECT nm.id AS user_id, s.user_id IS NOT NULL AS has_resume, nm.first_name, nm.
        lambda k: k NOT IN ('firstName', 'lastName', 'email'))) + 3 AS INT) END AS n_info_keys,
   CASE WHEN s.user_id IS NOT NULL THEN coalesce(nullif(s.summary, ''), '') END AS professional_summary,
   CASE WHEN s.user_id IS NOT NULL THEN coalesce(nullif(s.display_mode, ''), 'twoColumnar') END AS skills_display_mode,
+  {_SECTIONS},
+  CASE WHEN s.user_id IS NOT NULL THEN CASE WHEN json_type(s.deleted_sections) = 'ARRAY' THEN s.deleted_sections ELSE '[]' END
+  END AS deleted_sections,
   CASE WHEN s.user_id IS NOT NULL THEN {q(profiles.MSG_LOADED)} ELSE {q(profiles.MSG_NO_SETTINGS)} END AS message
 FROM nm LEFT JOIN resume_settings s ON s.user_id = nm.id""", ("users", "resume_settings"))
 def q_resume_assemble(spark, d):
@@ -892,7 +903,7 @@ def q_resume_assemble(spark, d):
                     F.try_element_at(info, F.lit("email")).alias("info_email"),
                     F.try_element_at(info, F.lit("phone")).alias("info_phone"),
                     F.when(info.isNotNull(), F.size(info)).alias("n_info_keys"),
-                    "professional_summary", "skills_display_mode", "message")
+                    "professional_summary", "skills_display_mode", *profiles.SECTION_DEFAULTS, "deleted_sections", "message")
 
 
 # =============================================================================
@@ -1111,6 +1122,45 @@ def q_reply_shapes(spark, d):
     return textgen.reply_shapes(textgen.parse_replies(Views(spark, d).llm_calls, lenient=True))
 
 
+_ENTRY_FIELDS = (("company", "VARCHAR"), ("position", "VARCHAR"), ("description", "ARRAY"), ("description[]", "VARCHAR"))
+_CONTRACTS_SQL = [
+    ("keywords", "$", "OBJECT"), ("keywords", "$.present_skills", "ARRAY"), ("keywords", "$.present_skills[]", "VARCHAR"),
+    ("keywords", "$.missing_skills", "ARRAY"), ("keywords", "$.missing_skills[]", "VARCHAR"),
+    ("experience", "$", "OBJECT"), ("experience", "$.enhanced_experience", "ARRAY"), ("experience", "$.enhanced_experience[]", "OBJECT"),
+    *(("experience", f"$.enhanced_experience[].{f}", t) for f, t in _ENTRY_FIELDS),
+    ("resume", "$", "OBJECT"), ("resume", "$.formatted_resume", "OBJECT"), ("resume", "$.formatted_resume.name", "VARCHAR"),
+    ("resume", "$.formatted_resume.position", "VARCHAR"), ("resume", "$.formatted_resume.experience", "ARRAY"),
+    ("resume", "$.formatted_resume.experience[]", "OBJECT"),
+    *(("resume", f"$.formatted_resume.experience[].{f}", t) for f, t in _ENTRY_FIELDS),
+    ("resume", "$.formatted_resume.skills", "ARRAY"), ("resume", "$.formatted_resume.skills[]", "VARCHAR"),
+    ("coverletter", "$", "OBJECT"), ("coverletter", "$.cover_letter", "OBJECT"),
+    *(("coverletter", f"$.cover_letter.{f}", "VARCHAR")
+      for f in ("to", "from", "subject", "greeting", "body", "closing", "regards", "name")),
+]
+
+
+@query("reply_violations", f"""
+WITH c(kind, pat, type) AS (VALUES {", ".join(f"('{k}', '{p}', '{t}')" for k, p, t in _CONTRACTS_SQL)}),
+nodes AS (SELECT r.id, r.kind, t.fullkey, regexp_replace(t.fullkey, '\\[\\d+\\]', '[]', 'g') AS pat, t.type
+          FROM model_replies r, json_tree(CASE WHEN json_valid(r.payload) THEN r.payload ELSE '0' END) t
+          WHERE json_valid(r.payload)),
+bad AS (
+  SELECT id, kind, '$: missing' AS v FROM model_replies WHERE NOT json_valid(payload)
+  UNION ALL
+  SELECT n.id, n.kind, n.fullkey || CASE c.type WHEN 'OBJECT' THEN ': not an object' WHEN 'ARRAY' THEN ': not an array'
+         ELSE ': not a string' END FROM nodes n JOIN c ON c.kind = n.kind AND c.pat = n.pat WHERE n.type <> c.type
+  UNION ALL
+  SELECT n.id, n.kind, n.fullkey || '.' || regexp_extract(f.pat, '[^.]+$') || ': missing'
+  FROM nodes n JOIN c ON c.kind = n.kind AND c.pat = n.pat AND c.type = 'OBJECT' AND n.type = 'OBJECT'
+  JOIN c f ON f.kind = n.kind AND regexp_matches(f.pat, '[^\\]]$') AND f.pat <> '$' AND regexp_replace(f.pat, '\\.[^.]+$', '') = c.pat
+  WHERE NOT EXISTS (SELECT 1 FROM nodes m WHERE m.id = n.id AND m.fullkey = n.fullkey || '.' || regexp_extract(f.pat, '[^.]+$')))
+SELECT r.id, r.kind, CAST(count(v) AS INT) AS n_broken, coalesce(string_agg(v, ', ' ORDER BY v), '') AS broken
+FROM model_replies r LEFT JOIN bad ON bad.id = r.id GROUP BY r.id, r.kind""", ("model_replies",))
+def q_reply_violations(spark, d):
+    r = Views(spark, d).model_replies.withColumn("b", broken_paths(F.col("payload"), F.col("kind")))
+    return r.select("id", "kind", F.size("b").alias("n_broken"), F.array_join("b", ", ").alias("broken"))
+
+
 # =============================================================================
 # catalogue, truncations, client address
 # =============================================================================

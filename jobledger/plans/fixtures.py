@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
+from .oracle_views import MODEL_REPLY, REPLY_KIND, SETTINGS_JSON
 
 
 def _s(c):
@@ -318,5 +319,11 @@ class Views:
             F.concat(F.lit('{"firstName":"Saved","email":"s'), _s(k), F.lit('@example.org","phone":"1"}'))
              .alias("personal_info"),
             F.when(k % 2 == 0, F.lit(None).cast("string")).otherwise(F.col("c_mktsegment")).alias("summary"),
-            F.when(k % 5 == 0, F.lit("")).otherwise(F.lit("lineTime")).alias("display_mode"),
-        )
+            F.when(k % 5 == 0, F.lit("")).otherwise(F.lit("lineTime")).alias("display_mode"), k.alias("k"),
+        ).withColumns({name: F.expr(sql) for name, sql in SETTINGS_JSON.items()}).drop("k")
+
+    @cached_property
+    def model_replies(self) -> DataFrame:
+        """Replies of the four kinds (ours), one per customer; three of four break their contract."""
+        c = self.raw("customer").select(F.col("c_custkey").alias("k"), F.col("c_mktsegment").alias("seg"))
+        return c.select(F.col("k").alias("id"), F.expr(REPLY_KIND).alias("kind"), F.expr(MODEL_REPLY).alias("payload"))

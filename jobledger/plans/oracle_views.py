@@ -172,12 +172,49 @@ VIEWS["error_log"] = """
               WHEN 2 THEN '[503 Service Unavailable] The model is overloaded.' ELSE 'boom' END AS message
   FROM events"""
 
-VIEWS["resume_settings"] = """
-  SELECT c_custkey AS user_id,
-         concat('{"firstName":"Saved","email":"s', CAST(c_custkey AS VARCHAR), '@example.org","phone":"1"}') AS personal_info,
+# JSON columns of the stored settings, in SQL that both engines read alike; k is the customer's key
+SETTINGS_JSON = {
+    "education": """CASE WHEN k % 6 = 1 THEN NULL WHEN k % 6 = 2 THEN 'null' ELSE '[{"school":"S' || CAST(k AS VARCHAR(20)) || '"}]' END""",
+    "experience": """CASE WHEN k % 5 = 1 THEN 'false' ELSE '[{"company":"C"}]' END""",
+    "skills": """CASE WHEN k % 7 = 1 THEN '""' ELSE '["SQL","Go"]' END""",
+    "projects": """CASE WHEN k % 3 = 1 THEN '0' ELSE '[]' END""",
+    "custom_sections": """CASE WHEN k % 2 = 1 THEN NULL ELSE '["false"]' END""",
+    "skills_line_time": """CASE WHEN k % 5 = 2 THEN NULL ELSE '[{"heading":"h","skills":[]}]' END""",
+    "section_order": """CASE WHEN k % 9 = 1 THEN NULL ELSE '["skills","projects"]' END""",
+    "section_names": """CASE WHEN k % 9 = 2 THEN NULL ELSE '{"skills":"Can do"}' END""",
+    "deleted_sections": """CASE WHEN k % 4 = 1 THEN '{"a":1}' WHEN k % 4 = 2 THEN '["projects"]' ELSE '"x"' END""",
+}
+
+#: Replies of the four kinds, kept and broken ones, in SQL that both engines read alike; k and seg are columns.
+MODEL_REPLY = """CASE k % 4
+  WHEN 0 THEN CASE CAST(floor(k / 4) AS BIGINT) % 4
+    WHEN 0 THEN '{"present_skills":["' || seg || '"],"missing_skills":["a","b"]}'
+    WHEN 1 THEN '{"present_skills":"' || seg || '"}'
+    WHEN 2 THEN '{"present_skills":["' || seg || '",1],"missing_skills":[]}' ELSE '["x"]' END
+  WHEN 1 THEN CASE CAST(floor(k / 4) AS BIGINT) % 4
+    WHEN 0 THEN '{"enhanced_experience":[{"company":"' || seg || '","position":"P","description":["d"]}]}'
+    WHEN 1 THEN '{"enhanced_experience":[{"company":1,"description":"d"},{"company":"C","position":"P","description":[true,"x"]}]}'
+    WHEN 2 THEN '{"enhanced_experience":{}}' ELSE '{}' END
+  WHEN 2 THEN CASE CAST(floor(k / 4) AS BIGINT) % 4
+    WHEN 0 THEN '{"formatted_resume":{"name":"' || seg || '","position":"P","experience":[],"skills":["a"],"more":1}}'
+    WHEN 1 THEN '{"formatted_resume":{"name":"N","position":2,"experience":[{"company":"C"}],"skills":["a",{}]}}'
+    WHEN 2 THEN '{"formatted_resume":"text"}' ELSE '{"formatted_resume":{}}' END
+  ELSE CASE CAST(floor(k / 4) AS BIGINT) % 4
+    WHEN 0 THEN '{"cover_letter":{"to":"' || seg || '","from":"f","subject":"s","greeting":"g","body":"b","closing":"c","regards":"r","name":"n"}}'
+    WHEN 1 THEN '{"cover_letter":{"to":"t","from":[],"subject":"s","greeting":"g","body":"b","closing":"c","regards":"r"}}'
+    WHEN 2 THEN '{"cover_letter":[]}' ELSE 'no json' END END"""
+REPLY_KIND = "CASE k % 4 WHEN 0 THEN 'keywords' WHEN 1 THEN 'experience' WHEN 2 THEN 'resume' ELSE 'coverletter' END"
+
+VIEWS["model_replies"] = f"""
+  SELECT k AS id, {REPLY_KIND} AS kind, {MODEL_REPLY} AS payload FROM (SELECT c_custkey AS k, c_mktsegment AS seg FROM customer)"""
+
+VIEWS["resume_settings"] = f"""
+  SELECT k AS user_id, personal_info, summary, display_mode, {", ".join(f"{sql} AS {name}" for name, sql in SETTINGS_JSON.items())}
+  FROM (SELECT c_custkey AS k, c_custkey,
+         concat('{{"firstName":"Saved","email":"s', CAST(c_custkey AS VARCHAR), '@example.org","phone":"1"}}') AS personal_info,
          CASE WHEN c_custkey % 2 = 0 THEN NULL ELSE c_mktsegment END AS summary,
          CASE WHEN c_custkey % 5 = 0 THEN '' ELSE 'lineTime' END AS display_mode
-  FROM customer WHERE c_custkey % 4 <> 0"""
+  FROM customer WHERE c_custkey % 4 <> 0)"""
 
 # view -> views it reads
 _DEPS = {"audit_log": ("audit_base",), "key_requests": ("audit_log",)}
