@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import _c, js_trim, shorten
+from .text import _c, js_trim, shorten, utf16_length
 
 # --- fixed values -----------------------------------------------------------
 # Job-title filter: exact texts and partial patterns that mark UI text, not a title.
@@ -107,7 +107,7 @@ def is_job_title(title) -> Column:
     """
     raw = _c(title)
     t = js_trim(raw)
-    n = F.length(t)
+    n = utf16_length(t)
     reject = ((raw == "") | (n < TITLE_MIN) | (n > TITLE_MAX) | ~raw.rlike("[a-zA-Z]{3}")
               | F.lower(t).rlike(TITLE_REJECT_RE))
     return F.when(raw.isNull(), F.lit(False)).otherwise(~F.coalesce(reject, F.lit(True)))

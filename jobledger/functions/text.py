@@ -114,11 +114,26 @@ def error_title(code) -> Column:
         " ")
 
 
+def utf16_length(c) -> Column:
+    """Length in UTF-16 code units, as JavaScript counts: characters beyond U+FFFF are two."""
+    return F.floor(F.octet_length(F.encode(_c(c), "UTF-16BE")) / 2).cast("int")
+
+
+def utf16_prefix(c, n: int) -> Column:
+    """The first ``n`` UTF-16 code units, without the first half of a character that is cut through."""
+    units = F.substring(F.encode(_c(c), "UTF-16BE"), 1, 2 * n)
+    last = F.hex(F.substring(units, 2 * n - 1, 1))  # of a full prefix; shorter texts have no such byte
+    whole = F.when(last.between("D8", "DB"), F.substring(units, 1, 2 * n - 2)).otherwise(units)
+    return F.decode(whole, "UTF-16BE")
+
+
 def shorten(c, limit: int, keep: int | None = None, suffix: str = "...") -> Column:
-    """If longer than ``limit``: first ``keep`` chars + ``suffix``; else unchanged."""
+    """If longer than ``limit`` UTF-16 units: the first ``keep`` of them + ``suffix``; else unchanged."""
     c = _c(c)
     keep = limit if keep is None else keep
-    return F.when(F.length(c) > limit, F.concat(F.substring(c, 1, keep), F.lit(suffix))).otherwise(c)
+    # no text has more units than bytes
+    return (F.when(F.octet_length(c) <= limit, c)
+            .when(utf16_length(c) > limit, F.concat(utf16_prefix(c, keep), F.lit(suffix))).otherwise(c))
 
 
 def text_stats(c) -> Column:
@@ -128,7 +143,7 @@ def text_stats(c) -> Column:
     est_tokens = ceil(words * 1.3) in double arithmetic, like JavaScript.
     """
     c = _c(c)
-    chars = F.length(c).cast("bigint")
+    chars = utf16_length(c).cast("bigint")
     words = F.size(js_split_ws(c)).cast("bigint")
     return F.struct(
         chars.alias("chars"),

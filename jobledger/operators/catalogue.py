@@ -21,7 +21,7 @@ def catalogue(entries: DataFrame, name_part: str, capability: str) -> DataFrame:
         F.coalesce(F.col("input_limit").cast("string"), F.lit(NA)).alias("input_limit"),
         F.coalesce(F.col("output_limit").cast("string"), F.lit(NA)).alias("output_limit"),
         F.array_join("capabilities", ", ").alias("methods"))
-    return out.orderBy("name")
+    return out.orderBy(F.collate("name", "UNICODE"), "name")  # as a locale orders it: letters first, then case
 
 
 def preferred(entries: DataFrame, must: str, any_of: Sequence[str]) -> DataFrame:

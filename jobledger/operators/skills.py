@@ -72,15 +72,16 @@ def terms(texts: DataFrame, id_col: str, text_col: str, vocabulary: DataFrame |
 
     Normalising a token only deletes characters inside it, so the whole text is
     lower-cased and stripped of everything but [a-z0-9] and blanks in one pass,
-    then split on blanks; empty pieces (tokens with nothing left) are dropped.
+    then split on blanks; empty pieces (tokens with nothing left) are dropped. A text's terms
+    are made distinct within its row, so the vocabulary is joined to one row per text and term, and
+    the only exchange on (id, term) is the one that later joins on them reuse.
     """
     src = texts.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kept = F.regexp_replace(F.lower(F.col("text")), f"[^a-z0-9{JS_SPACE_BODY}]+", "")
-    t = src.select("doc_id", F.explode(F.split(kept, f"{JS_SPACE}+", -1)).alias("term")).where(F.col("term") != "")
+    t = src.select("doc_id", F.explode(F.array_distinct(F.split(kept, f"{JS_SPACE}+", -1))).alias("term"))
+    t = t.where(F.col("term") != "")
     if vocabulary is not None:
-        # distinct first: a frequent term is one row per text before the join
-        t = t.select("doc_id", "term").distinct().join(vocabulary.select("term").distinct(), "term", "left_semi")
-        return t.select("doc_id", "term")
+        t = t.join(vocabulary.select("term").distinct(), "term", "left_semi")
     return t.select("doc_id", "term").distinct()
 
 

@@ -105,33 +105,41 @@ def build_prompts(requests: DataFrame, kind: str, keys: list[str], required: dic
 
 
 def call_metrics(calls: DataFrame) -> DataFrame:
-    """Per call: input share %, tokens/s total, in and out; null when unknown or ms = 0."""
+    """Per call: input share % (of in and out), tokens/s of the reported total, in and out; null when unknown or ms = 0.
+
+    A total of 0 counts as not reported.
+    """
     i, o, ms = F.col("in_tokens"), F.col("out_tokens"), F.col("ms")
     known = i.isNotNull() & o.isNotNull()
     tot = i + o
+    reported = F.col("total_tokens")
     return calls.select(
         "id", "service",
         F.when(known & (tot > 0), _round_half_up(i * 100, tot, 1)).alias("input_share_pct"),
-        F.when(known & (ms > 0), _round_half_up(tot * 1000, ms, 2)).alias("tokens_per_sec"),
+        F.when((reported > 0) & (ms > 0), _round_half_up(reported * 1000, ms, 2)).alias("tokens_per_sec"),
         F.when(i.isNotNull() & (ms > 0), _round_half_up(i * 1000, ms, 2)).alias("in_tokens_per_sec"),
         F.when(o.isNotNull() & (ms > 0), _round_half_up(o * 1000, ms, 2)).alias("out_tokens_per_sec"))
 
 
 def token_metrics(calls: DataFrame) -> DataFrame:
-    """Per service roll-up over calls whose token usage is known."""
+    """Per service roll-up: token sums over calls whose usage is known, throughput over those with a reported total."""
     known = F.col("in_tokens").isNotNull() & F.col("out_tokens").isNotNull()
+    reported = F.col("total_tokens") > 0
     g = calls.groupBy("service").agg(
         F.count(F.lit(1)).alias("calls"),
         F.count(F.when(known, 1)).alias("known_calls"),
         F.sum(F.when(known, F.col("in_tokens"))).alias("in_tokens"),
         F.sum(F.when(known, F.col("out_tokens"))).alias("out_tokens"),
         F.sum(F.when(known, F.col("ms"))).alias("known_ms"),
+        F.sum(F.when(reported, F.col("total_tokens"))).alias("total_tokens"),
+        F.sum(F.when(reported, F.col("ms"))).alias("_reported_ms"),
         F.sum("ms").alias("total_ms"))
     tot = F.col("in_tokens") + F.col("out_tokens")
+    ms = F.col("_reported_ms")
     return g.select("*",
                     F.when(tot > 0, _round_half_up(F.col("in_tokens") * 100, tot, 1)).alias("input_share_pct"),
-                    F.when(F.col("known_ms") > 0, _round_half_up(tot * 1000, F.col("known_ms"), 2))
-                     .alias("tokens_per_sec"))
+                    F.when(ms > 0, _round_half_up(F.col("total_tokens") * 1000, ms, 2)).alias("tokens_per_sec")
+                    ).drop("_reported_ms")
 
 
 def stage_share(parts: DataFrame, part_col: str, key_col: str) -> DataFrame:

@@ -1046,8 +1046,7 @@ def q_prompt_build(spark, d):
 SELECT id, service,
   CASE WHEN in_tokens IS NOT NULL AND out_tokens IS NOT NULL AND in_tokens + out_tokens > 0
        THEN {rhu_sql('in_tokens * 100', 'in_tokens + out_tokens', 1)} END AS input_share_pct,
-  CASE WHEN in_tokens IS NOT NULL AND out_tokens IS NOT NULL AND ms > 0
-       THEN {rhu_sql('(in_tokens + out_tokens) * 1000', 'ms', 2)} END AS tokens_per_sec,
+  CASE WHEN total_tokens > 0 AND ms > 0 THEN {rhu_sql('total_tokens * 1000', 'ms', 2)} END AS tokens_per_sec,
   CASE WHEN in_tokens IS NOT NULL AND ms > 0 THEN {rhu_sql('in_tokens * 1000', 'ms', 2)} END AS in_tokens_per_sec,
   CASE WHEN out_tokens IS NOT NULL AND ms > 0 THEN {rhu_sql('out_tokens * 1000', 'ms', 2)} END AS out_tokens_per_sec
 FROM llm_calls""", ("llm_calls",))
@@ -1060,14 +1059,15 @@ _TOKEN_AGG = """SELECT service, count(*) AS calls,
   CAST(sum(CASE WHEN in_tokens IS NOT NULL AND out_tokens IS NOT NULL THEN in_tokens END) AS BIGINT) AS in_tokens,
   CAST(sum(CASE WHEN in_tokens IS NOT NULL AND out_tokens IS NOT NULL THEN out_tokens END) AS BIGINT) AS out_tokens,
   CAST(sum(CASE WHEN in_tokens IS NOT NULL AND out_tokens IS NOT NULL THEN ms END) AS BIGINT) AS known_ms,
-  CAST(sum(ms) AS BIGINT) AS total_ms
+  CAST(sum(ms) AS BIGINT) AS total_ms, CAST(sum(CASE WHEN total_tokens > 0 THEN total_tokens END) AS BIGINT) AS total_tokens,
+  CAST(sum(CASE WHEN total_tokens > 0 THEN ms END) AS BIGINT) AS reported_ms
 FROM llm_calls GROUP BY service"""
 
 
 @query("token_metrics", f"""
 WITH g AS ({_TOKEN_AGG})
-SELECT *, CASE WHEN in_tokens + out_tokens > 0 THEN {rhu_sql('in_tokens * 100', 'in_tokens + out_tokens', 1)} END AS input_share_pct,
-  CASE WHEN known_ms > 0 THEN {rhu_sql('(in_tokens + out_tokens) * 1000', 'known_ms', 2)} END AS tokens_per_sec
+SELECT * EXCLUDE (reported_ms), CASE WHEN in_tokens + out_tokens > 0 THEN {rhu_sql('in_tokens * 100', 'in_tokens + out_tokens', 1)} END AS input_share_pct,
+  CASE WHEN reported_ms > 0 THEN {rhu_sql('total_tokens * 1000', 'reported_ms', 2)} END AS tokens_per_sec
 FROM g""", ("llm_calls",))
 def q_token_metrics(spark, d):
     return textgen.token_metrics(Views(spark, d).llm_calls)

@@ -292,6 +292,7 @@ class Views:
             F.when(eid % 10 == 0, F.lit(None).cast("int")).otherwise(F.floor(F.col("value") * 100).cast("int"))
              .alias("in_tokens"),
             (eid % 700).cast("int").alias("out_tokens"), (eid % 900).cast("int").alias("ms"),
+            F.when(eid % 8 != 0, (eid % 1600).cast("int")).alias("total_tokens"),
             F.when(eid % 4 == 0, F.concat(F.lit("ok ```json\n"), F.col("props"), F.lit("\n``` end")))
              .when(eid % 4 == 1, F.col("props"))
              .when(eid % 4 == 2, F.concat(F.lit("Answer: "), F.col("props"), F.lit(" done")))

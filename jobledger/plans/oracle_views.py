@@ -158,6 +158,7 @@ VIEWS["llm_calls"] = """
   SELECT event_id AS id, upper(event_type) AS service,
          CASE WHEN event_id % 10 = 0 THEN NULL ELSE CAST(floor(value * 100) AS INT) END AS in_tokens,
          CAST(event_id % 700 AS INT) AS out_tokens, CAST(event_id % 900 AS INT) AS ms,
+         CASE WHEN event_id % 8 <> 0 THEN CAST(event_id % 1600 AS INT) END AS total_tokens,
          CASE event_id % 4 WHEN 0 THEN concat('ok ```json', chr(10), props, chr(10), '``` end') WHEN 1 THEN props
               WHEN 2 THEN concat('Answer: ', props, ' done') ELSE 'no object here' END AS response_text
   FROM events"""

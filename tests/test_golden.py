@@ -150,3 +150,26 @@ def test_dates(spark):
                                "a timestamp_ntz, b timestamp_ntz")
     r = df.select(text.duration_ms("a", "b").alias("ms"), text.iso_text("b").alias("iso")).first()
     assert r.ms == 1250 and r.iso == "2024-01-01T00:00:01.250Z"
+
+
+def test_lengths_and_cuts_count_utf16_units(spark):
+    from jobledger.functions.text import shorten, text_stats, utf16_length, utf16_prefix
+    values = ["", "ab", "a\U0001F600b", "\U0001F600" * 3, "é漢\U0001F600", None]
+    units = [None if v is None else len(v.encode("utf-16-be")) // 2 for v in values]
+    assert evaluate(spark, lambda df: utf16_length(F.col("x")), values) == units
+    for n in (1, 2, 3, 4, 9):
+        def cut(v):
+            return None if v is None else v.encode("utf-16-be")[: 2 * n].decode("utf-16-be", "ignore")  # noqa: B023
+        assert evaluate(spark, lambda df: utf16_prefix(F.col("x"), n), values) == [cut(v) for v in values]  # noqa: B023
+        assert evaluate(spark, lambda df: shorten(F.col("x"), n, n, "…"), values) == [  # noqa: B023
+            None if v is None else v if u <= n else cut(v) + "…" for v, u in zip(values, units)]
+    assert evaluate(spark, lambda df: text_stats(F.col("x"))["chars"], values)[:5] == units[:5]
+
+
+def test_catalogue_is_ordered_as_a_locale_does(spark):
+    from jobledger.operators.catalogue import catalogue
+    names = ["model-Z", "model-a", "model-é", "model-f", "model-A", "model-10", "model-2"]
+    df = spark.createDataFrame([(n, "d", "x", 1, 2, ["gen"]) for n in names],
+                               "name string, display_name string, description string, input_limit int, output_limit int, capabilities array<string>")
+    got = [r.name for r in catalogue(df, "model", "gen").collect()]
+    assert got == ["model-10", "model-2", "model-a", "model-A", "model-é", "model-f", "model-Z"]
