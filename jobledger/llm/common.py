@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from hashlib import blake2b
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,9 +16,29 @@ from jobledger.session import ensure_checkpoint_dir
 CACHE_WORDS = 300_000
 
 
+_SCRATCH: ContextVar[str | None] = ContextVar("scratch", default=None)
+
+
 def shared_path(spark: SparkSession, label: str) -> str:
-    """A new path below the shared checkpoint folder."""
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    """A new path below the shared checkpoint folder, or below that of ``scratch``."""
+    base = _SCRATCH.get() or ensure_checkpoint_dir(spark)
+    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """Intermediate tables written inside lie in one folder, which is deleted at the end.
+
+    Results are lazy and may read those tables, so write them elsewhere before leaving.
+    """
+    folder = shared_path(spark, "scratch")
+    token = _SCRATCH.set(folder)
+    try:
+        yield folder
+    finally:
+        _SCRATCH.reset(token)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
