@@ -5,7 +5,6 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
-from contextvars import ContextVar
 from hashlib import blake2b
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,12 +15,12 @@ from jobledger.session import ensure_checkpoint_dir
 CACHE_WORDS = 300_000
 
 
-_SCRATCH: ContextVar[str | None] = ContextVar("scratch", default=None)
+_SCRATCH: list[str] = []  # folders of the open ``scratch`` blocks of this driver
 
 
 def shared_path(spark: SparkSession, label: str) -> str:
     """A new path below the shared checkpoint folder, or below that of ``scratch``."""
-    base = _SCRATCH.get() or ensure_checkpoint_dir(spark)
+    base = _SCRATCH[-1] if _SCRATCH else ensure_checkpoint_dir(spark)
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
@@ -32,11 +31,11 @@ def scratch(spark: SparkSession) -> Iterator[str]:
     Results are lazy and may read those tables, so write them elsewhere before leaving.
     """
     folder = shared_path(spark, "scratch")
-    token = _SCRATCH.set(folder)
+    _SCRATCH.append(folder)
     try:
         yield folder
     finally:
-        _SCRATCH.reset(token)
+        _SCRATCH.remove(folder)
         path = spark._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
