@@ -107,17 +107,41 @@ def _open(uri: str):
     return system.open_input_file(path)
 
 
-def _header(data: bytes, at: int) -> tuple[dict[bytes, bytes], int] | None:
-    """(fields in lower case, length of the header) of the record at ``at``; None if it has no end here."""
-    end = data.find(b"\r\n\r\n", at)
-    if end < 0:
+_NAME = re.compile(rb"[A-Za-z0-9!#$%&'*+.^_`|~-]+[ \t]*:")
+_REPEATABLE = b"warc-concurrent-to"
+_FIELDS = 1000  # of one header at most
+
+
+def _header(data: bytes, at: int) -> tuple[dict[bytes, bytes], int] | bool | None:
+    """(fields in lower case, length of the header) of the record at ``at``; None if it has no end here, False if
+    it is no header: a row without a field name, a field that may stand once standing twice, or too many fields.
+
+    Rows are read one by one and the first wrong one ends it, so magic that a payload repeats costs a row each time.
+    """
+    pos, fields, last = data.find(b"\r\n", at) + 2, {}, b""
+    if pos < 2:
         return None
-    fields = {}
-    for row in data[at:end].split(b"\r\n")[1:]:
-        name, colon, value = row.partition(b":")
-        if colon:
-            fields[name.strip().lower()] = value.strip()
-    return fields, end + 4 - at
+    for _ in range(_FIELDS):
+        if data.startswith(b"\r\n", pos):
+            return fields, pos + 2 - at
+        folded = data[pos: pos + 1] in (b" ", b"\t")
+        name = None if folded else _NAME.match(data, pos)
+        if not folded and not name:
+            # the row may go on behind the data: then what is here of it must be able to begin a field
+            rest = data[pos: pos + 256].removesuffix(b"\r")
+            return None if data.find(b"\n", pos) < 0 and (not rest or _NAME.fullmatch(rest + b":")) else False
+        end = data.find(b"\r\n", pos)
+        if end < 0:
+            return None
+        if folded:
+            fields[last] = fields.get(last, b"") + b" " + data[pos:end].strip()
+        else:
+            last = name[0][:-1].strip().lower()
+            if last in fields and last != _REPEATABLE:
+                return False
+            fields[last] = data[name.end(): end].strip()
+        pos = end + 2
+    return False
 
 
 def _record(f, size: int, at: int, data: bytes = b"", base: int = 0):
@@ -132,6 +156,8 @@ def _record(f, size: int, at: int, data: bytes = b"", base: int = 0):
         if got is None and at + span >= size:
             return None
         span *= 2
+    if not got:
+        return None
     fields, head = got
     length = fields.get(b"content-length", b"")
     if not length.isdigit() or (stop := at + head + int(length) + 4) > size:

@@ -56,3 +56,25 @@ def test_empty(spark, pages):
 def test_archive_that_starts_with_no_record(spark, tmp_path):
     (tmp_path / "a.warc").write_bytes(b"junk" + FAKE.encode())
     assert warc.read(spark, f"file://{tmp_path}").count() == 0
+
+
+def test_headers_are_read_row_by_row():
+    import time
+
+    from jobledger.llm.warc import MAGIC, _header
+    first = MAGIC
+    good = first + b"WARC-Type: response\r\nContent-Length: 3\r\n folded\r\nA:b:c\r\n\r\nabc"
+    assert _header(good, 0) == ({b"warc-type": b"response", b"content-length": b"3 folded", b"a": b"b:c"}, len(good) - 3)
+    for cut in range(len(good) - 3):
+        assert _header(good[:cut], 0) is None, cut  # not ended here, but no fault so far
+    assert _header(first + b"no field\r\n\r\n", 0) is False
+    assert _header(first + b"a: 1\r\nA: 2\r\n\r\n", 0) is False
+    assert _header(first + b"WARC-Concurrent-To: 1\r\nwarc-concurrent-to: 2\r\n\r\n", 0)
+    page = first * 120_000  # over a megabyte of magic
+    began = time.time()
+    at, n = 0, 0
+    while at >= 0:
+        n += 1
+        assert not _header(page, at)
+        at = page.find(MAGIC, at + 1)
+    assert n == 120_000 and time.time() - began < 10
