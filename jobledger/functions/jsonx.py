@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import json_semantics
-from .text import JS_SPACE, JS_SPACE_CHARS, TRUNCATED_SUFFIX, _c, shorten
+from .text import JS_SPACE, JS_SPACE_CHARS, TRUNCATED_SUFFIX, _c, shorten, utf16_prefix
 
 # --- fixed values -----------------------------------------------------------
 MAX_DEPTH = 3
@@ -27,6 +27,7 @@ MAX_STRING = 1000
 MAX_ARRAY = 10
 MAX_KEYS = 50
 MAX_RAW_RESPONSE = 500
+MAX_INDEX_KEY = 4294967295  # JavaScript orders smaller whole-number keys before all others
 DEPTH_MARK = "[Max Depth Reached]"
 REDACTED = "[REDACTED]"
 TOO_MANY_KEYS_KEY = "..."
@@ -191,16 +192,71 @@ def _sens_sql(key: str) -> str:
     return "(" + " OR ".join(f"contains(lower({key}), {_sql_lit(s)})" for s in SENSITIVE_BODY_KEYS) + ")"
 
 
+def _number_sql(g: _Names, raw: str) -> str:
+    """Number text as JavaScript writes the double it stands for.
+
+    Whole numbers of up to 15 digits stay as they are. Of the others the shortest digits that still
+    give the double are taken: Java's digits, rounded to the first length that reads back the same
+    (older JVMs print one digit too many now and then). With the point before them they have the exponent ``n``;
+    up to 21 whole digits and up to 6 zeros behind the point are written out. Infinite: ``null``.
+    """
+    def digits(t):
+        """struct(d: digits without leading zeros, n: exponent) of Java's text."""
+        mantissa = f"split_part({t}, 'E', 1)"
+        return _let_sql(g, f"replace({mantissa}, '.', '')", lambda m: (
+            f"named_struct('d', ltrim('0', {m}), 'n', instr({mantissa}, '.') - 1 - length({m}) + length(ltrim('0', {m})) "
+            f"+ coalesce(try_cast(nullif(split_part({t}, 'E', 2), '') AS INT), 0))"))
+
+    def shortest(x):
+        def rounded(w):
+            k, z = g("k"), g("z")
+            unit = f"CAST(pow(10, length({w}.d) - {k}) AS BIGINT)"
+            # two texts of up to 15 digits never mean the same double, but for those below the normal range
+            first = f"CASE WHEN length({w}.d) > 15 OR {x} < 2.3E-308D THEN 1 ELSE length({w}.d) END"
+            tries = (f"transform(sequence({first}, length({w}.d)), {k} -> named_struct("
+                     f"'d', CAST((CAST({w}.d AS BIGINT) + {unit} DIV 2) DIV {unit} AS STRING), 'e', {w}.n - {k}))")
+            return f"get(filter({tries}, {z} -> CAST(concat({z}.d, 'E', {z}.e) AS DOUBLE) = {x}), 0)"
+        return _let_sql(g, digits(f"CAST({x} AS STRING)"), rounded)
+
+    def written(b):
+        d, n = f"rtrim('0', {b}.d)", f"({b}.e + length({b}.d))"
+        return (f"CASE WHEN {n} BETWEEN length({d}) AND 21 THEN rpad({d}, {n}, '0') "
+                f"WHEN {n} BETWEEN 1 AND 21 THEN concat(substring({d}, 1, {n}), '.', substring({d}, {n} + 1)) "
+                f"WHEN {n} BETWEEN -5 AND 0 THEN concat('0.', repeat('0', -{n}), {d}) "
+                f"ELSE concat(substring({d}, 1, 1), CASE WHEN length({d}) > 1 THEN '.' ELSE '' END, substring({d}, 2), "
+                f"CASE WHEN {n} > 0 THEN 'e+' ELSE 'e' END, {n} - 1) END")
+
+    def text(x):
+        return (f"CASE WHEN {x} IS NULL OR isnan({x}) OR abs({x}) = double('Infinity') THEN 'null' WHEN {x} = 0 THEN '0' "
+                f"ELSE concat(CASE WHEN {x} < 0 THEN '-' ELSE '' END, "
+                + _let_sql(g, f"abs({x})", lambda a: _let_sql(g, shortest(a), written)) + ") END")
+    return (f"CASE WHEN rlike({raw}, '^(0|-?[1-9][0-9]{{0,14}})$') THEN {raw} "
+            f"ELSE {_let_sql(g, f'try_cast({raw} AS DOUBLE)', text)} END")
+
+
+def _cut_sql(g: _Names, raw: str) -> str:
+    """Strings beyond MAX_STRING UTF-16 units are cut, without half a character at the end; as ``text.shorten``."""
+    def prefix(u):
+        last = f"hex(substring({u}, {2 * MAX_STRING - 1}, 1))"
+        whole = f"CASE WHEN {last} BETWEEN 'D8' AND 'DB' THEN substring({u}, 1, {2 * MAX_STRING - 2}) " \
+                f"ELSE substring({u}, 1, {2 * MAX_STRING}) END"
+        return (f"CASE WHEN octet_length({u}) > {2 * MAX_STRING} THEN concat(decode({whole}, 'UTF-16BE'), "
+                f"{_sql_lit(TRUNCATED_SUFFIX)}) ELSE {raw} END")
+    # no text has more units than bytes, and none has fewer than characters
+    units = f"encode(substring({raw}, 1, {MAX_STRING + 1}), 'UTF-16BE')"
+    return (f"CASE WHEN octet_length({raw}) <= {MAX_STRING} THEN {raw} "
+            f"ELSE {_let_sql(g, units, prefix)} END")
+
+
 def _value_sql(g: _Names, raw: str, vtype: str, depth: int) -> str:
     if depth >= MAX_DEPTH:
         return _json_text(DEPTH_MARK)
-    cut = (f"CASE WHEN length({raw}) > {MAX_STRING} THEN concat(substring({raw}, 1, {MAX_STRING}), "
-           f"{_sql_lit(TRUNCATED_SUFFIX)}) ELSE {raw} END")
+    cut = _cut_sql(g, raw)
     return (f"CASE WHEN {raw} IS NULL OR {vtype} IS NULL OR {vtype} = 'VOID' THEN 'null' "
             f"WHEN {vtype} = 'STRING' THEN {_quote_sql(g, cut)} "
             f"WHEN startswith({vtype}, 'ARRAY') THEN {_array_sql(g, raw, depth)} "
             f"WHEN startswith({vtype}, 'OBJECT') THEN {_object_sql(g, raw, depth)} "
-            f"ELSE {raw} END")
+            f"WHEN {vtype} = 'BOOLEAN' THEN {raw} ELSE {_number_sql(g, raw)} END")
 
 
 def _array_sql(g: _Names, raw: str, depth: int) -> str:
@@ -254,7 +310,17 @@ def _object_sql(g: _Names, raw: str, depth: int) -> str:
         return (f"CASE WHEN size({names}) = size({es}) THEN {es} ELSE "
                 f"transform({names}, {n} -> element_at(filter({es}, {b} -> {b}.key = {n}), -1)) END")
 
-    return _let_sql(g, entries, lambda es: _let_sql(g, once(es), render))
+    def ordered(es):
+        """Keys that are array indices come first, by their number; the others keep their order."""
+        def index(key):
+            return f"(rlike({key}, '^(0|[1-9][0-9]{{0,9}})$') AND CAST({key} AS BIGINT) < {MAX_INDEX_KEY})"
+        a, b, c, n = g("a"), g("b"), g("c"), g("n")
+        numbers = (f"array_sort(transform(filter({es}, {b} -> {index(f'{b}.key')}), "
+                   f"{c} -> named_struct('n', CAST({c}.key AS BIGINT), 'entry', {c})))")
+        return (f"CASE WHEN exists({es}, {a} -> {index(f'{a}.key')}) THEN concat(transform({numbers}, {n} -> {n}.entry), "
+                f"filter({es}, {a} -> NOT {index(f'{a}.key')})) ELSE {es} END")
+
+    return _let_sql(g, entries, lambda es: _let_sql(g, once(es), lambda o: _let_sql(g, ordered(o), render)))
 
 
 def sanitize_json_sql(body: str) -> str:
@@ -275,9 +341,9 @@ def sanitize_json_sql(body: str) -> str:
 def sanitize_json(body) -> Column:
     """Redact, cut and depth-limit a JSON text; returns compact JSON text.
 
-    Objects keep key order; sensitive keys -> "[REDACTED]"; > 50 keys -> cut with
-    a "..." marker; arrays keep 10 items; strings keep 1000 chars; anything at
-    depth 3 becomes "[Max Depth Reached]". Null or invalid JSON -> null.
+    Objects keep key order (whole-number keys first, as in JavaScript); sensitive keys -> "[REDACTED]"; > 50 keys -> cut with
+    a "..." marker; arrays keep 10 items; strings keep 1000 UTF-16
+    units; numbers are written as JavaScript writes them; anything at depth 3 becomes "[Max Depth Reached]". Null or invalid JSON -> null.
     ``body`` is a column name (quoted with backticks here) or a SQL expression string.
     """
     if not isinstance(body, str):
@@ -293,7 +359,7 @@ def parse_response(body: str) -> Column:
     c = F.col(body)
     return (F.when(c.isNull() | (c == ""), F.lit(None).cast("string"))
             .when(is_valid_json(c), sanitize_json(body))
-            .otherwise(json_quote(F.substring(c, 1, MAX_RAW_RESPONSE))))
+            .otherwise(json_quote(utf16_prefix(c, MAX_RAW_RESPONSE))))
 
 
 # --- request summary and response shape -------------------------------------

@@ -22,6 +22,7 @@ from ..functions.text import JS_SPACE, JS_SPACE_CHARS, name_from_slug, split_nam
 from ..operators import accounts, audit, contacts, integrity, jobs, profiles, skills, textgen, usage
 from ..session import ensure_checkpoint_dir
 from ..sources.dictionary import read_skill_json, read_skill_lines
+from ..sources.uploads import MAX_UPLOAD_BYTES, upload_gate
 from ..sources.versioned import VersionedTable
 from ..streaming import usage_upkeep
 from .fixtures import Views, audit_log_from
@@ -555,18 +556,57 @@ def q_request_summary(spark, d):
 
 
 def doc_bodies(spark, d) -> DataFrame:
-    """Request-like JSON bodies built from whole documents (nested, long strings, long arrays)."""
+    """Request-like JSON bodies built from whole documents (nested, long strings, long arrays, all sizes of numbers)."""
     docs = Views(spark, d).raw("documents")
+    n = F.col("n_chars").cast("double")
     body = F.to_json(F.struct(
         F.struct(F.col("doc_id").alias("id"),
                  F.struct("lang", "source", F.array("lang", "source").alias("tags")).alias("meta")).alias("doc"),
         F.col("source").alias("apiKey"),
         F.split(F.col("text"), "\n").alias("lines"),
-        F.col("text"), F.col("n_chars")))
+        F.col("text"), F.col("n_chars"),
+        (n * 1e18).alias("big"), (n / 1e9).alias("small"), (n / 8).alias("10"), (-n).alias("2")))
     return docs.select("doc_id", body.alias("body"))
 
 
-@query("body_sanitize")
+def _body_sanitize_sql() -> str:
+    """The sanitised ``doc_bodies`` written down field by field, numbers from the digits of the integer ``n_chars``."""
+    mark = '"[Max Depth Reached]"'
+    # characters beyond U+FFFF are two units: the longest prefix of at most 1000 of them
+    units = "length({0}) + length(regexp_replace({0}, '[^\\x{{10000}}-\\x{{10FFFF}}]', '', 'g'))"
+
+    def cut(x):
+        prefix = f"substr({x}, 1, 1000)"
+        short = (f"substr({x}, 1, list_max(list_filter(range(500, 1001), lambda k: "
+                 f"{units.format(f'substr({x}, 1, CAST(k AS INT))')} <= 1000)))")
+        fits = f"{units.format(prefix)} <= 1000"
+        return (f"CASE WHEN {units.format(x)} <= 1000 THEN {x} "
+                f"ELSE (CASE WHEN {fits} THEN {prefix} ELSE {short} END) || '... [truncated]' END")
+
+    def field(name, value, present):
+        return f"CASE WHEN {present} IS NOT NULL THEN '\"{name}\":' || {value} END"
+    d, n = "rtrim(CAST(n_chars AS VARCHAR), '0')", "length(CAST(n_chars AS VARCHAR))"
+    point = f"substr({d}, 1, 1) || CASE WHEN length({d}) > 1 THEN '.' ELSE '' END || substr({d}, 2)"
+    eighths = "rtrim(lpad(CAST(n_chars % 8 * 125 AS VARCHAR), 3, '0'), '0')"
+    meta = ", ".join([field("lang", q(mark), "lang"), field("source", q(mark), "source"), field("tags", q(mark), "''")])
+    doc = ", ".join([field("id", "doc_id", "doc_id"), f"'\"meta\":{{' || concat_ws(',', {meta}) || '}}'"])
+    fields = [
+        field("2", "CASE WHEN n_chars = 0 THEN '0' ELSE '-' || n_chars END", "n_chars"),
+        field("10", f"(n_chars // 8) || CASE WHEN n_chars % 8 > 0 THEN '.' || {eighths} ELSE '' END", "n_chars"),
+        f"'\"doc\":{{' || concat_ws(',', {doc}) || '}}'",
+        field("apiKey", "'\"[REDACTED]\"'", "source"),
+        field("lines", f"""'[' || array_to_string(list_transform(string_split(text, chr(10))[1:10],
+          lambda x: CAST(to_json({cut('x')}) AS VARCHAR)), ',') || ']'""", "text"),
+        field("text", f"CAST(to_json({cut('text')}) AS VARCHAR)", "text"),
+        field("n_chars", "n_chars", "n_chars"),
+        field("big", f"CASE WHEN n_chars = 0 THEN '0' WHEN n_chars < 1000 THEN n_chars || repeat('0', 18) "
+                     f"ELSE {point} || 'e+' || ({n} + 17) END", "n_chars"),
+        field("small", f"CASE WHEN n_chars = 0 THEN '0' WHEN n_chars < 1000 THEN {point} || 'e-' || (10 - {n}) "
+                       f"ELSE '0.' || rtrim(lpad(CAST(n_chars AS VARCHAR), 9, '0'), '0') END", "n_chars")]
+    return f"SELECT doc_id, '{{' || concat_ws(',', {', '.join(fields)}) || '}}' AS sanitized FROM documents"
+
+
+@query("body_sanitize", _body_sanitize_sql())
 def q_body_sanitize(spark, d):
     return doc_bodies(spark, d).select("doc_id", sanitize_json("body").alias("sanitized"))
 
@@ -752,6 +792,37 @@ def q_skill_dictionary_json(spark, d):
     return read_skill_json(spark, path)
 
 
+@query("upload_gate", f"""
+WITH f AS (SELECT page_id, octet_length(encode(CASE page_id % 3 WHEN 0 THEN '' ELSE '%PDF-' END || coalesce(html, ''))) + 1 AS n
+  FROM pages),
+g AS (SELECT page_id, CASE page_id % 500 WHEN 0 THEN greatest(n, {MAX_UPLOAD_BYTES} + 1)
+  WHEN 250 THEN greatest(n, {MAX_UPLOAD_BYTES}) ELSE n END AS length FROM f)
+SELECT page_id, CAST(length AS BIGINT) AS length, CASE WHEN length > {MAX_UPLOAD_BYTES} THEN 'FILE_TOO_LARGE'
+  WHEN page_id % 3 = 0 OR page_id % 5 = 0 THEN 'INVALID_FILE_TYPE' END AS reject_code FROM g""")
+def q_upload_gate(spark, d):
+    """Every page as an uploaded file, read through the gate.
+
+    Two thirds of the files begin with the PDF signature, four fifths are named .pdf; every 250th is filled up to the
+    limit or a byte beyond it.
+    """
+    folder = _shared_folder(spark, "uploads")
+    page = F.col("page_id")
+    # one text line a file; its end is a byte of the file too
+    body = F.concat(F.when(page % 3 == 0, "").otherwise("%PDF-"),
+                    F.translate(F.coalesce("html", F.lit("")), "\r\n", "  "))
+    size = F.when(page % 500 == 0, MAX_UPLOAD_BYTES).when(page % 500 == 250, MAX_UPLOAD_BYTES - 1).otherwise(0)
+    body = F.concat(body, F.repeat(F.lit(" "), F.greatest(F.lit(0), size - F.octet_length(body)).cast("int")))
+    # a folder for each file: many tasks, as making them takes the time
+    files = (Views(spark, d).raw("pages").filter(page.isNotNull()).repartition(64, "page_id")
+             .select(page, body.alias("body")))
+    for extension, rows in (("pdf", page % 5 != 0), ("txt", page % 5 == 0)):
+        (files.filter(rows).write.partitionBy("page_id").option("extension", extension).option("quote", "").option("sep", "\x01")
+         .option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false")
+         .option("emptyValue", "").option("escape", "").csv(f"{folder}/{extension}"))
+    named = F.regexp_extract("path", r"/page_id=(-?\d+)/", 1).cast("long")
+    return upload_gate(spark, folder).select(named.alias("page_id"), "length", "reject_code")
+
+
 @query("skills_canonical", f"""
 WITH dct AS ({_dict_sql('skill_dict', 'pos', 'name')}),
 s AS (SELECT owner_id, pos, skill, {norm_sql('skill')} AS norm FROM skills_raw WHERE skill IS NOT NULL AND skill <> ''),

@@ -1,7 +1,12 @@
 """The depth-3 body sanitiser against a brute-force Python model of the same rule."""
 
 import json
+import math
+import re
+from decimal import Decimal
 
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from core_helpers import SF_SMALL, evaluate
@@ -16,13 +21,17 @@ def model(v, d=0):
     if v is None:
         return None
     if isinstance(v, str):
-        return v[:1000] + "... [truncated]" if len(v) > 1000 else v
+        units = v.encode("utf-16-be")
+        return units[:2000].decode("utf-16-be", "ignore") + "... [truncated]" if len(units) > 2000 else v
+    if isinstance(v, float) and math.isinf(v):
+        return None
     if isinstance(v, (bool, int, float)):
         return v
     if isinstance(v, list):
         return [model(x, d + 1) for x in v[:10]]
     out = {}
-    for k, val in v.items():
+    index = sorted((k for k in v if re.fullmatch("0|[1-9][0-9]{0,9}", k) and int(k) < 2 ** 32 - 1), key=int)
+    for k, val in [(k, v[k]) for k in index] + [(k, x) for k, x in v.items() if k not in index]:
         if any(s in k.lower() for s in SENS):
             out[k] = "[REDACTED]"
             continue
@@ -58,6 +67,10 @@ BODIES = [
     "not json",
     None,
     '{"keywords": ["a"], "Authorization": "b", "X-Api-Key": "c", "name": "ok"}',
+    '{"b":1,"10":2,"2":{"7":1,"x":2,"3":0.5},"01":3,"4294967295":4,"4294967294":5,"-1":6}',
+    json.dumps({f"f{i:02d}": i for i in range(49)} | {"7": 1, "3": 2}),
+    json.dumps({"emoji": "\U0001F600" * 501, "odd": "x" + "\U0001F600" * 500, "fits": "\U0001F600" * 500}),
+    '{"beyond": 1e400, "below": -1e400}',
 ]
 
 
@@ -99,3 +112,46 @@ def test_parse_response(spark):
     assert out[0] is None and out[1] is None
     assert json.loads(out[2]) == ("plain text " * 100)[:500]
     assert json.loads(out[3]) == {"password": "[REDACTED]"}
+
+
+def js_number(x):
+    """Number text of the ECMAScript standard, from Python's shortest digits."""
+    if math.isinf(x):
+        return "null"
+    if x == 0:
+        return "0"
+    sign, digits, exponent = Decimal(repr(float(x))).normalize().as_tuple()
+    s = "".join(map(str, digits))
+    k, n = len(s), len(digits) + exponent
+    if k <= n <= 21:
+        out = s + "0" * (n - k)
+    elif 0 < n <= 21:
+        out = s[:n] + "." + s[n:]
+    elif -6 < n <= 0:
+        out = "0." + "0" * -n + s
+    else:
+        out = s[0] + ("." + s[1:] if k > 1 else "") + "e" + ("+" if n > 0 else "-") + str(abs(n - 1))
+    return "-" * sign + out
+
+
+NUMBERS = {"1e3": "1000", "1.0": "1", "1.50": "1.5", "-0": "0", "-0.0": "0", "1e21": "1e+21", "1e20": "1" + "0" * 20,
+           "123e-20": "1.23e-18", "0.000001": "0.000001", "1e-7": "1e-7", "12345678901234567890": "12345678901234567000",
+           "2E23": "2e+23", "1e23": "1e+23", "5e-324": "5e-324", "4.35": "4.35", "-1E5": "-100000",
+           "5.684341886080802E-14": "5.684341886080802e-14", "9007199254740993": "9007199254740992",
+           "1.7976931348623157e308": "1.7976931348623157e+308", "1e400": "null", "999999999999999": "999999999999999"}
+
+
+def test_numbers_as_javascript_writes_them(spark):
+    texts = list(NUMBERS)
+    assert [js_number(float(t)) for t in texts] == [NUMBERS[t] for t in texts]
+    assert evaluate(spark, lambda d: jsonx.sanitize_json("x"), texts) == [NUMBERS[t] for t in texts]
+    finite = [t for t in texts if NUMBERS[t] != "null"]  # infinite ones inside a nested value become texts
+    got = evaluate(spark, lambda d: jsonx.sanitize_json("x"),
+                   [f"[{t}]" for t in finite] + [f'{{"a":{{"b":{t}}}}}' for t in finite])
+    assert got == [f"[{NUMBERS[t]}]" for t in finite] + [f'{{"a":{{"b":{NUMBERS[t]}}}}}' for t in finite]
+
+
+@settings(max_examples=3, deadline=None)
+@given(st.lists(st.floats(allow_nan=False, allow_infinity=False), min_size=200, max_size=400))
+def test_any_double(spark, xs):
+    assert evaluate(spark, lambda d: jsonx.sanitize_json("x"), [repr(x) for x in xs]) == [js_number(x) for x in xs]
