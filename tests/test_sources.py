@@ -116,3 +116,55 @@ def test_upload_gate_lists_once_and_joins_nothing(spark, tmp_path):
         "ok.PDF": None, "named.pdf": "INVALID_FILE_TYPE", "big.pdf": "FILE_TOO_LARGE",
         "edge.pdf": None, "other.bin": "INVALID_FILE_TYPE"}
     assert "Join" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_upload_files_need_no_folder_each(spark, tmp_path):
+    """Files are written in a bounded number of folders; both writers make the same sizes and the gate judges them alike."""
+    from jobledger.sources.uploads import MAX_UPLOAD_BYTES as most, WRITE_SHARDS, _write_by_spark, upload_gate, write_uploads
+    rows = [(k, "txt" if k % 5 == 0 else "pdf", ("" if k % 3 == 0 else "%PDF-") + f"é{k}", 0) for k in range(-3, 300)]
+    rows += [(1000, "pdf", "%PDF-", most), (1001, "pdf", "%PDF-", most - 1), (1002, "pdf", None, 0), (None, "pdf", "%PDF-", 0),
+             (1003, "pdf", "%PDF-a\r\nb", 0), (1004, "pdf", "%PDF-1", 0), (1004, "pdf", "%PDF-1", 0)]
+    files = spark.createDataFrame(rows, "page_id long, extension string, body string, size int")
+    local, other = str(tmp_path / "a%20 b"), str(tmp_path / "other")
+    write_uploads(files, "page_id", f"file:{local}")
+    known = files.where("page_id is not null and page_id >= 290").fillna("", "body")
+    _write_by_spark(known.withColumn("shard", F.lit(0)), "page_id", other)
+    page = F.regexp_extract("path", r"/page_id=(-?\d+)[./]", 1).cast("long")
+    expected = {}
+    for k, extension, body, size in rows:
+        if k is not None and (body or size):
+            n = expected.get(k, (0,))[0] + max(size, len(body.encode())) + 1
+            wrong = extension == "txt" or not body.startswith("%PDF-")
+            expected[k] = (n, "FILE_TOO_LARGE" if n > most else "INVALID_FILE_TYPE" if wrong else None)
+    gate = {f: upload_gate(spark, f"file:{f}").select(page.alias("k"), "length", "reject_code") for f in (local, other)}
+    got = {f: [(r.k, (r.length, r.reject_code)) for r in df.collect()] for f, df in gate.items()}
+    assert dict(got[local]) == expected and len(got[local]) == len(expected)
+    assert dict(got[other]) == {k: v for k, v in expected.items() if k >= 290}
+    assert expected[1000][1] == "FILE_TOO_LARGE" and expected[1001] == (most, None) and expected[1004] == (14, None)
+    names = [n for _, _, names in os.walk(local) for n in names]
+    assert len(names) == len(expected) + 1 and not [n for n in names if n.startswith(".")]
+    assert sum(1 for _ in os.walk(local)) <= WRITE_SHARDS + 1
+
+
+def test_upload_gate_query_writes_no_folder_per_page(spark, tmp_path):
+    from jobledger.plans.catalog import QUERIES
+    from jobledger.session import ensure_checkpoint_dir
+    rows = [(k, "u", None if k % 7 == 0 else f"<p>{k}</p>") for k in range(1, 500)] + [(None, "u", "x")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    top = ensure_checkpoint_dir(spark).replace("file:", "")
+    before = set(os.listdir(top))
+    # an empty page is a file of no bytes, which gives no row
+    got = {r.page_id: (r.length, r.reject_code) for r in QUERIES["upload_gate"][0](spark, str(tmp_path)).collect()}
+    new = [x for x in set(os.listdir(top)) - before if x.startswith("uploads")]
+    folders = sum(1 for x in new for _ in os.walk(os.path.join(top, x)))
+    assert len(new) == 1 and len(got) == 499 - len(range(21, 500, 21)) and folders < 100
+    assert got[1] == (14, None) and got[7] == (6, None) and got[3] == (9, "INVALID_FILE_TYPE")
+    assert got[250] == (5 * 1024 * 1024, "INVALID_FILE_TYPE") and got[10] == (15, "INVALID_FILE_TYPE")
+
+
+def test_upload_gate_lists_each_file_for_one_scan(spark, tmp_path):
+    """A file is planned for the scan its size calls for only."""
+    for i in range(96):
+        (tmp_path / f"{i}.pdf").write_bytes(b"%PDF-")
+    files = spark.read.format("binaryFile").load(str(tmp_path))
+    assert uploads.upload_gate(spark, str(tmp_path)).rdd.getNumPartitions() == files.rdd.getNumPartitions()
