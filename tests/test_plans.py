@@ -88,3 +88,31 @@ def test_filters_on_stored_columns_reach_the_scan(spark):
     for name, pushed in cases.items():
         plan = _plan(E.queries()[name](spark, SF_SMALL))
         assert pushed in plan, (name, pushed)
+
+
+def test_skill_lists_are_spread_before_map_side_steps(spark):
+    """The lists of a table scanned in one task: no task holds the groups of them all, of a frequent skill neither."""
+    from pyspark.sql import functions as F
+    from jobledger.operators import skills
+    rows = spark.range(0, 4000, 1, 1).select((F.col("id") % 400).alias("owner_id"), F.col("id").cast("int").alias("pos"),
+                                             F.concat(F.lit(" S"), (F.col("id") % 3).cast("string")).alias("skill"))
+    hot = spark.range(0, 4000, 1, 1).select(F.lit(7).cast("long").alias("owner_id"), (F.col("id") + 9000).cast("int").alias("pos"),
+                                            F.lit("S0").alias("skill"))
+    odd = spark.createDataFrame([(None, 5, "S0"), (None, 3, "S0"), (1, 2, None), (1, 1, "  "), (1, None, "x")],
+                                "owner_id long, pos int, skill string")
+    long = rows.union(hot).union(odd).coalesce(1)
+    dictionary = spark.createDataFrame([("s1", "S-one")], "norm string, name string")
+    for out in (skills.flat_skills(long), skills.canonical(long, dictionary)):
+        lines = _plan(out).split("\n")
+        spread = next(i for i, x in enumerate(lines) if "REPARTITION_BY_COL" in x)
+        partial = [i for i, x in enumerate(lines) if "partial_min" in x or "WindowGroupLimit" in x and "Partial" in x]
+        assert partial and max(partial) < spread, lines  # the spreading exchange stands below the map-side step
+    expected = {}
+    for r in long.collect():
+        v = (r.skill or "").strip()
+        if v:
+            was = expected.get((r.owner_id, v))
+            expected[r.owner_id, v] = r.pos if was is None else min(was, r.pos)
+    assert {(r.owner_id, r.skill): r.pos for r in skills.flat_skills(long).collect()} == expected
+    firsts = {(r.owner_id, r.skill): r.pos for r in skills.canonical(long, dictionary).collect()}
+    assert firsts[None, "S0"] == 3 and firsts[1, "S-one"] == 1 and firsts[7, "S-one"] == 7 and len(firsts) == len(expected) + 1
