@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import partitions_for, written
 
@@ -78,18 +79,33 @@ def one_per_id(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return df.groupBy(id_col).agg(F.min(vec_col).alias(vec_col))
 
 
+def lanes_for(index: DataFrame) -> int:
+    """Lanes for a written index: no more than it has blocks, as each lane costs a copy of the queries."""
+    return max(1, min(max(8, partitions_for(index)), index.count()))
+
+
 def grid(index: DataFrame, queries: DataFrame, lanes: int | None = None, hint: str | None = None) -> DataFrame:
     """Every (index block, query block) pair, dealt over ``lanes`` groups of index blocks.
 
     Index blocks are spread over the lanes at random and each query block is sent once to
     every lane, so the pairs come from an equi-join on the lane: the work is that of a
     stated query set against all rows, in blocks, and a task holds one pair at a time.
+    The copies are made one by one, as an explode holds all those of a block in memory at once.
     ``hint``: a join hint for the queries' side, whose size after its repetition Spark can't estimate.
     """
     lanes = lanes or max(8, partitions_for(index))
+    names = ["lane", *[f"q_{c}" for c in queries.columns]]
+
+    def dealt(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                block = batch.slice(i, 1).columns
+                for lane in range(lanes):
+                    yield pa.RecordBatch.from_arrays([pa.array([lane], pa.int32()), *block], names=names)
+
     left = index.withColumn("lane", F.pmod(F.xxhash64("ids"), F.lit(lanes)).cast("int"))
-    right = queries.select(F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("lane"),
-                           *[F.col(c).alias(f"q_{c}") for c in queries.columns])
+    right = queries.mapInArrow(dealt, T.StructType([T.StructField("lane", T.IntegerType())] + [
+        T.StructField(f"q_{f.name}", f.dataType) for f in queries.schema]))
     return left.join(right.hint(hint) if hint else right, "lane")
 
 

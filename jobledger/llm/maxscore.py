@@ -23,7 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .blocks import finite, grid, packed, query_blocks, unpacked
+from .blocks import finite, grid, lanes_for, packed, query_blocks, unpacked
+from .common import written
 
 SCALE = 256
 K = 5
@@ -109,8 +110,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_co
                     "vec_id": np.concatenate([i for _, i, _ in found]).astype(np.int64),
                     "score": np.concatenate([s for _, _, s in found]).astype(np.int64)})
 
-    pairs = grid(packed(usable(vectors), id_col, vec_col, shard_rows),
-                 query_blocks(usable(queries), id_col, vec_col, query_rows))
+    index = written(packed(usable(vectors), id_col, vec_col, shard_rows), "shards")
+    pairs = grid(index, query_blocks(usable(queries), id_col, vec_col, query_rows), lanes_for(index), hint="merge")
     found = pairs.mapInArrow(search, RESULT)
     best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)

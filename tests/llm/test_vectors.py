@@ -103,3 +103,24 @@ def test_empty_vectors(odd_vectors):
     none = odd_vectors.filter("false")
     assert maxscore.top_k(none, none).count() == 0 == rabitq.search(none, none).count()
     assert maxscore.top_k(odd_vectors, none).count() == 0
+
+
+def run_plan(df):
+    """The plan of ``df`` as it ran, and its rows."""
+    rows = df.collect()
+    return df._jdf.queryExecution().executedPlan().toString(), rows
+
+
+@pytest.fixture(scope="module")
+def drawn(spark):
+    data = np.random.default_rng(11).standard_normal((400, 16)).round(3)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(data)], "vec_id long, embedding array<double>")
+    return np.arange(400), data, rows
+
+
+def test_maxscore_queries_are_not_broadcast(drawn):
+    """Their blocks are small, but not the copies for all lanes."""
+    ids, data, rows = drawn
+    plan, got = run_plan(maxscore.top_k(rows, rows.filter("vec_id % 20 = 0"), shard_rows=64, query_rows=4))
+    assert "Broadcast" not in plan and "Generate" not in plan
+    assert grouped(got) == brute(ids, np.floor(data * 256).astype(np.int64), ids % 20 == 0, 5, lambda d, q: d @ q)
