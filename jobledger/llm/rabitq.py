@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .blocks import finite, grid, packed, query_blocks, unpacked
+from .blocks import finite, grid, lanes_for, packed, query_blocks, unpacked
 from .common import written
 
 K = 20
@@ -164,7 +164,8 @@ def search(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_c
                     "score": np.concatenate([s for _, _, s in out]).astype(np.float64)})
 
     index = written(packed(usable(vectors), id_col, vec_col, block_rows).mapInArrow(build, INDEX), "codes")
-    found = grid(index, query_blocks(usable(queries), id_col, vec_col, query_rows)).mapInArrow(probe, RESULT)
+    pairs = grid(index, query_blocks(usable(queries), id_col, vec_col, query_rows), lanes_for(index), hint="merge")
+    found = pairs.mapInArrow(probe, RESULT)
     best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
             .select("query_id", "rank", "vec_id", "score"))

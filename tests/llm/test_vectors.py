@@ -124,3 +124,13 @@ def test_maxscore_queries_are_not_broadcast(drawn):
     plan, got = run_plan(maxscore.top_k(rows, rows.filter("vec_id % 20 = 0"), shard_rows=64, query_rows=4))
     assert "Broadcast" not in plan and "Generate" not in plan
     assert grouped(got) == brute(ids, np.floor(data * 256).astype(np.int64), ids % 20 == 0, 5, lambda d, q: d @ q)
+
+
+def test_rabitq_queries_are_not_broadcast(drawn):
+    """Their blocks are small, but not the copies for all lanes."""
+    ids, data, rows = drawn
+    plan, got = run_plan(rabitq.search(rows, rows.filter("vec_id % 20 = 0"), epsilon=1e9, block_rows=64, query_rows=4))
+    assert "Broadcast" not in plan and "Generate" not in plan
+    # with an endless error bound every row is scored
+    want = brute(ids, data, ids % 20 == 0, 20, lambda d, q: rabitq.dots(d, q))
+    assert grouped(got) == want
